@@ -12,17 +12,19 @@ def time_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
 
 
-def remap_time(value: Column, bounds: DataFrame, target: tuple[dt.datetime, dt.datetime]) -> Column:
-    """Move a timestamp from the range in ``bounds`` to the target range, clamped at both ends.
+def remap_time(value: Column, bounds: Column, target: tuple[dt.datetime, dt.datetime]) -> Column:
+    """Move a timestamp from the range ``bounds(first, last)`` to the target range, clamped at both ends.
 
-    NULL and an empty source range go to the end of the target. The bounds are a scalar subquery.
+    NULL and an empty source range go to the end of the target.
     """
-    first = F.unix_micros(bounds.select("first").scalar())
-    last = F.unix_micros(bounds.select("last").scalar())
-    low, high = (F.unix_micros(F.lit(t).cast("timestamp")) for t in target)
+    first, last = F.unix_micros(bounds["first"]), F.unix_micros(bounds["last"])
+    low, high = (int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000) for t in target)
     position = (F.unix_micros(value) - first) / (last - first).cast("double")
-    position = F.least(F.lit(1.0), F.greatest(F.lit(0.0), position))
-    usable = value.isNotNull() & (last > first) & (high > low)
-    return F.when(usable, F.timestamp_micros(low + F.round(position * (high - low)).cast("bigint"))).otherwise(
-        F.lit(target[1]).cast("timestamp")
-    )
+    offset = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), position)) * (high - low)).cast("bigint")
+    usable = value.isNotNull() & (last > first) & F.lit(high > low)
+    return F.timestamp_micros(F.when(usable, F.lit(low) + offset).otherwise(F.lit(high)))
+
+
+def with_time_range(df: DataFrame, source: DataFrame, column: str, name: str = "_range") -> DataFrame:
+    """``df`` with the time range of ``source`` in every row, computed once as a scalar subquery."""
+    return df.withColumn(name, time_range(source, column).select(F.struct("first", "last")).scalar())

@@ -50,8 +50,9 @@ def bronze_to_silver(
 ) -> StepResult:
     """Merge the new rows of a Bronze run into the five Silver tables and publish the result.
 
-    Each table has its own cursor, which moves only after its snapshot is written. A table without
-    new rows is carried forward by pointing at its present snapshot; nothing is copied.
+    Each table has its own cursor. The cursors move only after the new state is published, so a
+    failure in between leads to a repeated merge, not to a gap. A table without new rows is carried
+    forward by pointing at its present snapshot; nothing is copied.
     """
     source = bronze_ts or (state.get_run_state(spark, layout.state, "bronze_latest_run") or {}).get("run_ts")
     source = source or bronze.latest_run(spark, layout.bronze)
@@ -60,11 +61,13 @@ def bronze_to_silver(
     target = silver_ts or source
     pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
     published: dict[str, str] = dict(pointer.get("tables", {}))
-    records, carried = 0, []
+    names = {table: CURSOR.format(table=table) for table, _, _ in fhir.RESOURCES.values()}
+    cursors = state.get_cursors(spark, layout.state, list(names.values()))
+    records, carried, moved = 0, [], {}
     for resource_type, (table, key, _) in fhir.RESOURCES.items():
-        cursor_name = CURSOR.format(table=table)
-        cursor = state.get_cursor(spark, layout.state, cursor_name)
-        delta = bronze.read_bronze(spark, layout.bronze, resource_type, source, since=cursor)
+        delta = bronze.read_bronze(
+            spark, layout.bronze, resource_type, source, since=cursors.get(names[table])
+        )
         # One pass over a single timestamp column answers "anything new?", the count and the cursor.
         arrived = delta.agg(F.count("*").alias("rows"), F.max("ingestion_timestamp").alias("newest")).first()
         if arrived["rows"] == 0:
@@ -79,12 +82,13 @@ def bronze_to_silver(
         merged = fresh if base is None else merge_snapshot(base, fresh, key)
         published[table] = silver.write_snapshot(merged, layout.silver, table, target)
         rejects.write.mode("append").parquet(f"{layout.rejects}/{table}")
-        state.set_cursor(spark, layout.state, cursor_name, arrived["newest"], run_time)
+        moved[names[table]] = arrived["newest"]
         records += arrived["rows"]
     state.set_run_state(
         spark, layout.state, STATE_ID, target, run_time,
         bronze_ts=source, pipeline_run_id=pipeline_run_id, tables=published,
     )
+    state.set_cursors(spark, layout.state, moved, run_time)
     state.record_job(
         spark, layout.state, "bronze_to_silver", "completed", records, run_time,
         pipeline_run_id=pipeline_run_id, details={"bronze_ts": source, "silver_ts": target},

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from casegrid.functions.dates import parse_date, parse_timestamp
 from casegrid.functions.text import blank_to_null, composite_id, mentions_any, stable_uuid
 from casegrid.operators.ranking import distributed_row_number, largest
-from casegrid.operators.remap import remap_time, time_range
+from casegrid.operators.remap import remap_time, with_time_range
 from casegrid.sources import fhir
 
 # The terms that select conditions by description.
@@ -83,8 +83,8 @@ def orphans(selected: DataFrame, patients: DataFrame, encounters: DataFrame) ->
 
 def bundle_columns(joined: DataFrame, target: tuple[dt.datetime, dt.datetime]) -> DataFrame:
     """One bundle per condition, its times moved linearly into the target range."""
-    bounds = time_range(joined, "start")
-    move = lambda c: remap_time(c, bounds, target)
+    joined = with_time_range(joined, joined, "start")
+    move = lambda c: remap_time(c, F.col("_range"), target)
     optional = lambda c: F.when(c.isNotNull(), move(c))
     key = composite_id(F.col("patient_id"), F.col("encounter_id"), F.col("source_index"))
     urn = {kind: F.concat(F.lit("urn:uuid:"), stable_uuid(F.lit(kind), key)) for kind in ("patient", "encounter", "condition")}

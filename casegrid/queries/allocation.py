@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casegrid.functions.dates import iso_utc
 from casegrid.functions.text import surrogate_cell_id
 from casegrid.operators import allocate, ranking
-from casegrid.operators.remap import remap_time, time_range
+from casegrid.operators.remap import remap_time, with_time_range
 from casegrid.queries import data
 from casegrid.queries.data import table
 from casegrid.queries.registry import query
@@ -140,10 +140,10 @@ def top_cities(spark, sf):
     FROM events, b, t""")
 def time_remap(spark, sf):
     events = table(spark, sf, "events")
-    bounds = time_range(events.where("event_id % 3 <> 0"), "ts")
+    events = with_time_range(events, events.where("event_id % 3 <> 0"), "ts")
     stamp = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
     target = (dt.datetime(2026, 1, 1), dt.datetime(2026, 12, 31, 23, 59, 59))
-    return events.select("event_id", iso_utc(remap_time(stamp, bounds, target)).alias("moved"))
+    return events.select("event_id", iso_utc(remap_time(stamp, F.col("_range"), target)).alias("moved"))
 
 
 @query("demographic_grid", sql="""

@@ -171,7 +171,7 @@ def jsonl_sink(spark, sf):
 
     path = scratch_path(spark, "jsonl")
     gold_store.export_daily_json(data.dense_fact(spark, sf), path)
-    return spark.read.schema(schemas.GOLD_FACT).json(path)
+    return spark.read.schema(schemas.GOLD_FACT).json(path).drop("condition", "day")
 
 
 @query("json_metadata", "fact", sql="""

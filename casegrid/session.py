@@ -20,15 +20,31 @@ SETTINGS = {
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
+# Settings a session can only be started with. Recording the Python call site of every column
+# expression costs more than building the expression.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(app_name: str = "casegrid", **extra: str) -> SparkSession:
     """Session for ``spark-submit``: the master and the sizing come from the submit command."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def local_session(cpus: int | str = 8, memory: str = "8g", app_name: str = "casegrid-local") -> SparkSession:
+    """Single-machine session for tests, checks and the benchmark."""
+    local = {
+        "spark.master": f"local[{cpus}]",
+        "spark.driver.memory": memory,
+        "spark.sql.shuffle.partitions": str(cpus),
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    return build_session(app_name, **local)
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Put the settings on a session somebody else created."""
     for key, value in SETTINGS.items():

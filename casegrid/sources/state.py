@@ -55,13 +55,17 @@ def current_runs(log: DataFrame) -> DataFrame:
     )
 
 
-def set_cursor(spark: SparkSession, root: str, name: str, cursor: dt.datetime, at: dt.datetime) -> None:
-    append_values(spark, root, "cursors", id=name, last_cursor=cursor, last_update=at)
+def set_cursors(spark: SparkSession, root: str, cursors: dict[str, dt.datetime], at: dt.datetime) -> None:
+    """Move named cursors. Call it after the data up to them is published."""
+    if cursors:
+        rows = [(name, cursor, at) for name, cursor in cursors.items()]
+        append(spark.createDataFrame(rows, schemas.CURSOR_LOG), root, "cursors")
 
 
-def get_cursor(spark: SparkSession, root: str, name: str) -> dt.datetime | None:
-    row = current(read_log(spark, root, "cursors").where(F.col("id") == name)).first()
-    return row["last_cursor"] if row else None
+def get_cursors(spark: SparkSession, root: str, names: list[str]) -> dict[str, dt.datetime]:
+    """Current value of each named cursor that was ever set."""
+    rows = current(read_log(spark, root, "cursors").where(F.col("id").isin(names))).collect()
+    return {row["id"]: row["last_cursor"] for row in rows}
 
 
 def set_run_state(
