@@ -27,23 +27,43 @@ def birth_date(value: Column, kind: str = "text") -> Column:
 
 
 def age_years(born: Column, as_of: dt.date) -> Column:
-    """Completed years. Compares month and day, so a 29 February birthday falls on 1 March."""
-    month_day = F.month(born) * 100 + F.dayofmonth(born)
-    before_birthday = F.lit(as_of.month * 100 + as_of.day) < month_day
-    return F.lit(as_of.year) - F.year(born) - before_birthday.cast("int")
+    """Completed years: the difference of the dates read as ``yyyyMMdd`` numbers, in ten thousands.
+
+    A 29 February birthday therefore falls on 1 March. Negative for a birth after ``as_of``.
+    """
+    today = as_of.year * 10000 + as_of.month * 100 + as_of.day
+    return F.floor((F.lit(today) - F.date_format(born, "yyyyMMdd").cast("int")) / 10000.0).cast("int")
+
+
+def age_band(age: Column) -> Column:
+    """Position of the band of an age in ``AGE_BANDS``, NULL for an unusable age."""
+    band = F.when(age < 0, F.lit(None).cast("int"))
+    for position, (upper, _) in enumerate(AGE_BANDS):
+        band = band.when(age <= upper, position)
+    return band
+
+
+def band_label(band: Column) -> Column:
+    labels = F.array(*[F.lit(label) for _, label in AGE_BANDS])
+    return F.coalesce(F.get(labels, band), F.lit("Unknown"))
 
 
 def age_group(dob: Column, as_of: dt.date, kind: str = "text") -> Column:
-    age = age_years(birth_date(dob, kind), as_of)
-    band = F.when(age.isNull() | (age < 0), "Unknown")
-    for upper, label in AGE_BANDS:
-        band = band.when(age <= upper, label)
-    return band.otherwise("Unknown")
+    return band_label(age_band(age_years(birth_date(dob, kind), as_of)))
 
 
-def normalize_gender(value: Column) -> Column:
+def gender_code(value: Column) -> Column:
+    """Position of the gender in ``GENDER_SPELLINGS``, NULL for anything else."""
     cleaned = F.lower(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""))
-    result = F.when(cleaned.isNull(), "unknown")
-    for gender, spellings in GENDER_SPELLINGS.items():
-        result = result.when(cleaned.isin(spellings), gender)
-    return result.otherwise("unknown")
+    spellings = {s: i for i, names in enumerate(GENDER_SPELLINGS.values()) for s in names}
+    lookup = F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair])
+    return F.try_element_at(lookup, cleaned)
+
+
+def gender_label(code: Column) -> Column:
+    labels = F.array(*[F.lit(name) for name in GENDER_SPELLINGS])
+    return F.coalesce(F.get(labels, code), F.lit("unknown"))
+
+
+def normalize_gender(value: Column) -> Column:
+    return gender_label(gender_code(value))

@@ -31,13 +31,34 @@ def cell_count(resolution: int) -> int:
     return 2 ** (resolution + 5) * 2 ** (resolution + 6)
 
 
-def cell_id(lat: Column, lng: Column, resolution: int = DEFAULT_RESOLUTION) -> Column:
-    """Cell of a coordinate; NULL, NaN and out-of-range coordinates -> NULL."""
+def cell_key(lat: Column, lng: Column, resolution: int = DEFAULT_RESOLUTION) -> Column:
+    """Cell of a coordinate as a number; NULL, NaN and out-of-range coordinates -> NULL.
+
+    Eight fixed bytes, where the text id takes two dozen in a shuffled row: group and join by this
+    and turn it into text afterwards.
+    """
     size, rows = cell_size(resolution), 2 ** (resolution + 5)
     row = F.least(F.floor((lat + 90.0) / size), F.lit(rows - 1))
     column = F.least(F.floor((lng + 180.0) / size), F.lit(2 * rows - 1))
     valid = lat.between(-90.0, 90.0) & lng.between(-180.0, 180.0)
-    return F.when(valid, F.concat_ws("_", F.lit(f"r{resolution}"), row.cast("string"), column.cast("string")))
+    return F.when(valid, row * (2 * rows) + column)
+
+
+def cell_name(key: Column, resolution: int = DEFAULT_RESOLUTION) -> Column:
+    """Text id of a cell key. A row of the grid has a power of two of cells."""
+    bits = resolution + 6
+    return F.concat_ws(
+        "_",
+        F.when(key.isNotNull(), f"r{resolution}"),
+        F.shiftright(key, bits).cast("string"),
+        key.bitwiseAND(F.lit(2**bits - 1).cast("bigint")).cast("string"),
+    )
+
+
+def cell_id(lat: Column, lng: Column, resolution: int = DEFAULT_RESOLUTION) -> Column:
+    """Text id of the cell of a coordinate, NULL where there is none."""
+    key = cell_key(lat, lng, resolution)
+    return F.nullif(cell_name(key, resolution), F.lit(""))
 
 
 def cell_center(cell: Column) -> tuple[Column, Column]:

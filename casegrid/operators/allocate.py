@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casegrid.operators.joins import join_checked
 from casegrid.operators.ranking import distributed_row_number
 
 
@@ -11,11 +12,11 @@ def weight_share(df: DataFrame, groups: list[str], weight: str, name: str = "sha
     """Weight divided by the group's sum; equal shares where the sum is not positive.
 
     The sums are aggregated (combining before the shuffle) and joined back, so a group of any size
-    stays spread over the tasks it was in.
+    stays spread over the tasks it was in. Runs a job for the sums.
     """
     sums = df.groupBy(*groups).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
     share = F.when(F.col("_sum") > 0, F.col(weight) / F.col("_sum")).otherwise(F.lit(1.0) / F.col("_n"))
-    return df.join(sums, groups).withColumn(name, share.cast("double")).drop("_sum", "_n")
+    return join_checked(df, sums, groups).withColumn(name, share.cast("double")).drop("_sum", "_n")
 
 
 def _parts(share: Column, total: Column) -> dict[str, Column]:
@@ -44,7 +45,7 @@ def allocate(
     given = ranked.groupBy(*groups).agg(F.sum("_floor").alias("_given"))
     left = F.greatest(F.col(total), F.lit(0)) - F.col("_given")
     extra = (F.col("_rank") <= left).cast("bigint")
-    return ranked.join(given, groups).withColumn(name, F.col("_floor") + extra).select(*df.columns, name)
+    return join_checked(ranked, given, groups).withColumn(name, F.col("_floor") + extra).select(*df.columns, name)
 
 
 def allocate_small_groups(

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegrid import schemas
 from casegrid.functions import geo
 from casegrid.functions.dates import date_key
-from casegrid.functions.demographics import age_group, normalize_gender
+from casegrid.functions.demographics import (
+    age_band, age_years, band_label, birth_date, gender_code, gender_label,
+)
 from casegrid.operators.dedupe import add_missing, changed_rows, conform, upsert
 
-REGION_KEYS = ["condition_code", "date_key", "h3"]
+# Grouping keys while rows are shuffled: fixed-width codes instead of the texts of the contract.
+CODED_KEYS = ["condition_code", "day", "cell", "age", "sex"]
+REGION_KEYS = ["condition_code", "day", "cell"]
 
 
 def located_patients(patients: DataFrame, as_of: dt.date, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
@@ -21,12 +25,12 @@ def located_patients(patients: DataFrame, as_of: dt.date, resolution: int = geo.
     lat, lng = F.col("latitude").cast("double"), F.col("longitude").cast("double")
     return patients.select(
         "patient_id",
-        geo.cell_id(lat, lng, resolution).alias("h3"),
-        age_group(F.col("dob"), as_of).alias("age_group"),
-        normalize_gender(F.col("gender")).alias("gender"),
+        geo.cell_key(lat, lng, resolution).alias("cell"),
+        age_band(age_years(birth_date(F.col("dob")), as_of)).alias("age"),
+        gender_code(F.col("gender")).alias("sex"),
         "city",
         "state",
-    ).where(F.col("h3").isNotNull())
+    ).where(F.col("cell").isNotNull())
 
 
 def dated_conditions(conditions: DataFrame) -> DataFrame:
@@ -34,8 +38,8 @@ def dated_conditions(conditions: DataFrame) -> DataFrame:
     return conditions.select(
         "patient_id",
         "condition_code",
-        date_key(F.col("condition_date")).alias("date_key"),
-    ).where(F.col("condition_code").isNotNull() & F.col("date_key").isNotNull())
+        F.col("condition_date").cast("date").alias("day"),
+    ).where(F.col("condition_code").isNotNull() & F.col("day").isNotNull())
 
 
 def demographic_join(conditions: DataFrame, patients: DataFrame) -> DataFrame:
@@ -47,23 +51,32 @@ def demographic_join(conditions: DataFrame, patients: DataFrame) -> DataFrame:
     return conditions.join(patients, on="patient_id", how="inner")
 
 
-def count_cases(joined: DataFrame) -> DataFrame:
+def count_cases(joined: DataFrame, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
     """Cases per fact key. ``min`` makes the representative place repeatable; all three aggregates
     combine before the shuffle, so one dominant key costs one row per map task."""
-    return joined.groupBy(*schemas.GOLD_KEYS).agg(
+    counted = joined.groupBy(*CODED_KEYS).agg(
         F.count("*").alias("case_count"),
         F.min("city").alias("city"),
         F.min("state").alias("state"),
     )
+    return counted.select(
+        "condition_code",
+        date_key(F.col("day")).alias("date_key"),
+        geo.cell_name(F.col("cell"), resolution).alias("h3"),
+        band_label(F.col("age")).alias("age_group"),
+        gender_label(F.col("sex")).alias("gender"),
+        "case_count",
+        "city",
+        "state",
+    )
 
 
 def gold_fact(
     conditions: DataFrame, patients: DataFrame, as_of: dt.date, resolution: int = geo.DEFAULT_RESOLUTION
 ) -> DataFrame:
     """Cases by condition, day, cell, age group and gender."""
-    return count_cases(
-        demographic_join(dated_conditions(conditions), located_patients(patients, as_of, resolution))
-    )
+    located = located_patients(patients, as_of, resolution)
+    return count_cases(demographic_join(dated_conditions(conditions), located), resolution)
 
 
 def upsert_fact(existing: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -86,8 +99,7 @@ def touched_regions(
     sides = [
         (
             conditions.select(
-                "condition_id", "patient_id", "condition_code",
-                date_key(F.col("condition_date")).alias("date_key"),
+                "condition_id", "patient_id", "condition_code", F.col("condition_date").cast("date").alias("day")
             ),
             located_patients(patients, as_of, resolution),
         )
@@ -104,7 +116,7 @@ def touched_regions(
         )
         rows = by_condition.select(*REGION_KEYS).unionByName(by_patient.select(*REGION_KEYS))
         touched = rows if touched is None else touched.unionByName(rows)
-    return touched.where("condition_code is not null and date_key is not null").distinct()
+    return touched.where("condition_code is not null and day is not null").distinct()
 
 
 def recount_regions(
@@ -120,13 +132,18 @@ def recount_regions(
     Both inputs are cut to the touched codes/days and cells before they are joined.
     """
     events = dated_conditions(conditions).join(
-        touched.select("condition_code", "date_key").distinct(), ["condition_code", "date_key"], "left_semi"
+        touched.select("condition_code", "day").distinct(), ["condition_code", "day"], "left_semi"
     )
     people = located_patients(patients, as_of, resolution).join(
-        touched.select("h3").distinct(), "h3", "left_semi"
+        touched.select("cell").distinct(), "cell", "left_semi"
+    )
+    affected = demographic_join(events, people).join(touched, REGION_KEYS, "left_semi")
+    recounted = count_cases(affected, resolution)
+    emptied = touched.select(
+        "condition_code", date_key(F.col("day")).alias("date_key"),
+        geo.cell_name(F.col("cell"), resolution).alias("h3"),
     )
-    recounted = count_cases(demographic_join(events, people)).join(touched, REGION_KEYS, "left_semi")
-    kept = conform(existing, schemas.GOLD_FACT).join(touched, REGION_KEYS, "left_anti")
+    kept = conform(existing, schemas.GOLD_FACT).join(emptied, emptied.columns, "left_anti")
     return kept.unionByName(conform(recounted, schemas.GOLD_FACT))
 
 

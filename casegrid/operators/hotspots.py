@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegrid import schemas
 from casegrid.functions import geo
 from casegrid.functions.dates import clamp_window, normalize_date_key, shift_date_key
-from casegrid.functions.text import json_string_array
+from casegrid.functions.text import json_string_array, with_default
+from casegrid.operators.joins import join_checked
 
 # Accepted spellings of each column, best first.
 FACT_ALIASES = {
@@ -95,8 +96,6 @@ def cells_metadata(df: DataFrame) -> DataFrame:
 
 def demographic_options(df: DataFrame) -> DataFrame:
     """Selectable age groups and genders of a condition dimension, with the standard defaults."""
-    from casegrid.functions.text import with_default
-
     return df.select(
         "condition_code",
         with_default(json_string_array(F.col("age_groups_json")), schemas.AGE_GROUPS).alias("age_groups"),
@@ -166,8 +165,9 @@ def daily_series(fact: DataFrame, filters: Filters) -> DataFrame:
 
 
 def latest_dates(fact: DataFrame) -> DataFrame:
-    """Latest day per condition."""
-    return fact.groupBy("condition_code").agg(F.max("date_key").alias("latest_date"))
+    """Latest day per condition. The days are made distinct first: that is a hash aggregate, while
+    the maximum of a text needs sorted input."""
+    return fact.select("condition_code", "date_key").distinct().groupBy("condition_code").agg(F.max("date_key").alias("latest_date"))
 
 
 def latest_date(fact: DataFrame, condition_code: str, today: dt.date) -> DataFrame:
@@ -182,7 +182,7 @@ def window_rows(fact: DataFrame, days, condition_code: str | None, today: dt.dat
     """Rows of the ``days`` days that end at the latest day of the condition (of each condition).
 
     For one condition the anchor is a scalar subquery that reaches the Parquet scan as a filter. For
-    all of them it is a per-condition table, bounded by the code list and joined on the code.
+    all of them it is a table with a row per condition, which is computed and counted first (a job).
     """
     back = -(clamp_window(days) - 1)
     if condition_code is not None:
@@ -192,7 +192,7 @@ def window_rows(fact: DataFrame, days, condition_code: str | None, today: dt.dat
         return fact.where((F.col("condition_code") == condition_code) & bounds)
     anchors = latest_dates(fact).withColumn("start_date", shift_date_key(F.col("latest_date"), back, today))
     inside = F.col("date_key").between(F.col("start_date"), F.col("latest_date"))
-    return fact.join(anchors, "condition_code").where(inside).drop("start_date", "latest_date")
+    return join_checked(fact, anchors, ["condition_code"]).where(inside).drop("start_date", "latest_date")
 
 
 def with_geography(points: DataFrame, cells: DataFrame, code: str = "h3") -> DataFrame:

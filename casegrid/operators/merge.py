@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casegrid.functions import geo, severity
 from casegrid.operators.components import connected_components
+from casegrid.session import cut_lineage
 
 COORDINATE_DIGITS = 8
 _SPHERE_KM_PER_DEGREE = 111.2
@@ -134,9 +135,10 @@ def hotspot_components(points: DataFrame, zoom: float) -> DataFrame:
 def merge_hotspots(points: DataFrame, zoom: float) -> DataFrame:
     """One row per component: weighted centre, summed cases, maxima, number of members.
 
-    The centre weighs longitudes on the side of the antimeridian the component is on.
+    The centre weighs longitudes on the side of the antimeridian the component is on. The collapsed
+    points, at most one per cell and condition, are checkpointed: pairs and members both need them.
     """
-    members = hotspot_components(collapse_coordinates(points), zoom)
+    members = hotspot_components(cut_lineage(collapse_coordinates(points)), zoom)
     weight = severity.center_weight(F.col("cases"))
     east = F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))
     mean = lambda c: F.sum(c * weight) / F.sum(weight)

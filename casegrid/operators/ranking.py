@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casegrid.operators.joins import join_checked
 from casegrid.session import cut_lineage
 
 
@@ -45,7 +46,7 @@ def position_ratio(
     numbered = distributed_row_number(df, order, groups, "_position")
     if groups:
         sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-        numbered, count = numbered.join(sizes, groups), F.col("_n")
+        numbered, count = join_checked(numbered, sizes, groups), F.col("_n")
     else:
         count = df.agg(F.count("*")).scalar()
     ratio = (F.col("_position") - 1) / F.greatest(count - 1, F.lit(1))

@@ -10,8 +10,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casegrid.functions.dates import iso_utc
-from casegrid.operators.gold import gold_fact
+from casegrid.operators.gold import cells_dim, conditions_dim, gold_fact
+from casegrid.session import scratch_path
 from casegrid.sources import fhir
+from casegrid.sources import gold as gold_store
 
 AS_OF = dt.date(2001, 8, 2)
 RUN_TIME = dt.datetime(2024, 2, 1, 12, 0, 0)
@@ -90,6 +92,20 @@ def dense_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_fact(dense_conditions(spark, sf_dir), dense_patients(spark, sf_dir), AS_OF)
 
 
+def published_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fact, condition and cell dimension, written to a fresh Gold folder and read from there."""
+    root = scratch_path(spark, "gold")
+    gold_store.write_fact(fact(spark, sf_dir), root)
+    written = gold_store.read_fact(spark, root)
+    gold_store.write_dimension(conditions_dim(written, STAMP), root, gold_store.CONDITIONS)
+    gold_store.write_dimension(cells_dim(written, STAMP), root, gold_store.CELLS)
+    return (
+        written,
+        gold_store.read_dimension(spark, root, gold_store.CONDITIONS),
+        gold_store.read_dimension(spark, root, gold_store.CELLS),
+    )
+
+
 def event_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact-like rows from the events table: a month of days with many cases each."""
     return table(spark, sf_dir, "events").select(
@@ -111,6 +127,20 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("*", lat.alias("lat"), lon.alias("lon")).withColumn("original_cases", F.col("cases"))
 
 
+def world_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers scattered over the globe as points, one set per market segment."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("condition_code"),
+        F.col("c_name").alias("h3"),
+        (((k * 7919007) % 160000 - 80000) / F.lit(1000e0)).alias("lat"),
+        (((k * 15485863) % 360000 - 180000) / F.lit(1000e0)).alias("lon"),
+        ((k * 37) % 60000 + 1).alias("cases"),
+        F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("latest_date"),
+        (k % 9 + 1).alias("days_with_cases"),
+    )
+
+
 def _centre(cell: Column) -> tuple[Column, Column]:
     from casegrid.functions.geo import cell_center
 
@@ -140,8 +170,17 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Bronze rows --------------------------------------------------------------------------------
 
 
+def spread(df: DataFrame, key: Column) -> DataFrame:
+    """All cores for JSON work on a table that is read by fewer tasks (one row group is one task).
+
+    Larger tables already have more tasks than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _bronze(df: DataFrame, resource_type: str, resource: Column, resource_id: Column, stamp: Column) -> DataFrame:
-    return df.select(
+    return spread(df, resource_id).select(
         resource_id.alias("resource_id"),
         stamp.alias("ingestion_timestamp"),
         F.to_json(resource).alias("resource_json"),
@@ -345,6 +384,11 @@ CTES: dict[str, str] = {
         SELECT condition_code, h3, CAST(sum(case_count) AS BIGINT) AS cases, max(date_key) AS latest_date,
                count(DISTINCT date_key) AS days_with_cases, {_LAT} AS lat, {_LON} AS lon
         FROM fact GROUP BY condition_code, h3""",
+    "world": """
+        SELECT c_mktsegment AS condition_code, c_name AS h3, ((c_custkey * 7919007) % 160000 - 80000) / 1000e0 AS lat,
+               ((c_custkey * 15485863) % 360000 - 180000) / 1000e0 AS lon, (c_custkey * 37) % 60000 + 1 AS cases,
+               '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS latest_date, c_custkey % 9 + 1 AS days_with_cases
+        FROM customer""",
     "cities": """
         SELECT s_name AS city, n_name AS country, CASE WHEN n_regionkey = 1 THEN 'US' ELSE 'XX' END AS iso2,
                CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 13 = 0 THEN 95e0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casegrid.operators import frames, gold, hotspots, merge
+from casegrid.operators import frames, hotspots, merge
 from casegrid.operators.hotspots import Filters
 from casegrid.queries import data
 from casegrid.queries.data import centre_sql, haversine_sql
@@ -25,10 +25,8 @@ _WINDOW_SQL = """SELECT f.* FROM fact f JOIN (SELECT condition_code, max(date_ke
     FROM w WHERE {_CHOSEN_SQL} GROUP BY condition_code, h3 HAVING sum(case_count) > 0""")
 def hotspots_window(spark, sf):
     """The filtered 90-day hotspot query for every condition, each anchored on its latest day."""
-    fact = data.fact(spark, sf)
-    return hotspots.hotspot_points(
-        fact, gold.cells_dim(fact, data.STAMP), gold.conditions_dim(fact, data.STAMP), 90, data.AS_OF, _CHOSEN
-    )
+    fact, conditions, cells = data.published_gold(spark, sf)
+    return hotspots.hotspot_points(fact, cells, conditions, 90, data.AS_OF, _CHOSEN)
 
 
 @query("hotspots_one_condition", "fact", sql=f"""
@@ -38,7 +36,9 @@ def hotspots_window(spark, sf):
     FROM f WHERE date_key >= (SELECT strftime(CAST(max(date_key) AS DATE) - INTERVAL 179 DAY, '%Y-%m-%d') FROM f) AND {_CHOSEN_SQL}
     GROUP BY condition_code, h3""")
 def hotspots_one_condition(spark, sf):
-    rows = hotspots.window_rows(data.fact(spark, sf), 500, "3-MEDIUM", data.AS_OF)
+    """One condition of a published fact: only its partition is read, from the window's first day on."""
+    fact, _, _ = data.published_gold(spark, sf)
+    rows = hotspots.window_rows(fact, 500, "3-MEDIUM", data.AS_OF)
     return hotspots.hotspots(rows, _CHOSEN)
 
 
@@ -138,12 +138,25 @@ def frame_stats(spark, sf):
 
 # --- distance-based operators ---------------------------------------------------------------------
 
-_ZOOM = 6
-_RADIUS = (
-    "greatest((900 + 4100 / (1 + exp(0.9e0 * ({z} - 6)))), (120000 + least(1, {c} / 50000e0) * 180000) * exp(-0.62e0 * ({z} - 2)))"
-    " * 1.3e0 / 1000"
-)
-_MAX_KM = f"greatest(50, 2 * {_RADIUS.format(z=_ZOOM, c='50000')})"
+_ZOOM, _WORLD_ZOOM = 6, 2
+
+
+def _radius_sql(zoom: int, cases: str) -> str:
+    low = f"900 + 4100 / (1 + exp(0.9e0 * ({zoom} - 6)))"
+    return f"greatest({low}, (120000 + least(1, {cases} / 50000e0) * 180000) * exp(-0.62e0 * ({zoom} - 2))) * 1.3e0 / 1000"
+
+
+def _pairs_sql(zoom: int, base_km: int) -> str:
+    limit = f"greatest({base_km}, 2 * {_radius_sql(zoom, '50000')})"
+    km = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
+    gap = "abs(a.lon - b.lon)"
+    return f"""pairs AS (
+    SELECT a.condition_code, a.h3 AS a_h3, b.h3 AS b_h3, {km} AS km
+    FROM p a JOIN p b ON a.condition_code = b.condition_code AND (a.lat < b.lat OR (a.lat = b.lat AND a.h3 < b.h3))
+    WHERE b.lat - a.lat <= {limit} / 110.574e0
+      AND CASE WHEN {gap} > 180 THEN 360 - {gap} ELSE {gap} END
+          <= least(180, {limit} / greatest(8, 111.32e0 * cos(radians(a.lat))))
+      AND {km} <= greatest({base_km}, {_radius_sql(zoom, 'a.cases')} + {_radius_sql(zoom, 'b.cases')}))"""
 
 
 def _scaled_points(spark, sf):
@@ -152,14 +165,6 @@ def _scaled_points(spark, sf):
 
 
 _SCALED = "p AS (SELECT * REPLACE (cases * 1000 AS cases) FROM points)"
-_PAIRS = f"""pairs AS (
-    SELECT a.condition_code, a.h3 AS a_h3, b.h3 AS b_h3,
-           {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km
-    FROM p a JOIN p b ON a.condition_code = b.condition_code AND (a.lat < b.lat OR (a.lat = b.lat AND a.h3 < b.h3))
-    WHERE b.lat - a.lat <= {_MAX_KM} / 110.574e0
-      AND abs(a.lon - b.lon) <= least(180, {_MAX_KM} / greatest(8, 111.32e0 * cos(radians(a.lat))))
-      AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}
-          <= greatest(50, {_RADIUS.format(z=_ZOOM, c='a.cases')} + {_RADIUS.format(z=_ZOOM, c='b.cases')}))"""
 
 
 @query("coordinate_dedupe", "dense_fact", sql=f"""
@@ -177,7 +182,7 @@ def coordinate_dedupe(spark, sf):
 
 
 @query("near_pairs", "points", sql=f"""
-    WITH {_SCALED}, {_PAIRS}
+    WITH {_SCALED}, {_pairs_sql(_ZOOM, 50)}
     SELECT condition_code, a_h3 AS h3, count(*) AS neighbours, round(min(km), 6) AS nearest_km, round(max(km), 6) AS farthest_km
     FROM pairs GROUP BY ALL""")
 def near_pairs(spark, sf):
@@ -190,24 +195,41 @@ def near_pairs(spark, sf):
     )
 
 
-@query("hotspot_components", "points", sql=f"""
-    WITH RECURSIVE {_SCALED}, {_PAIRS},
+@query("near_pairs_world", "world", sql=f"""
+    WITH p AS (SELECT * FROM world), {_pairs_sql(_WORLD_ZOOM, 900)}
+    SELECT condition_code, a_h3, b_h3, round(km, 6) AS distance_km FROM pairs""")
+def near_pairs_world(spark, sf):
+    """The pairs themselves, across the antimeridian and at all latitudes."""
+    pairs = merge.near_pairs(data.world_points(spark, sf), _WORLD_ZOOM)
+    return pairs.select("condition_code", "a_h3", "b_h3", F.round("distance_km", 6).alias("distance_km"))
+
+
+_WEIGHT = "power(p.cases, 1.25e0)"
+
+
+@query("hotspot_components", "world", sql=f"""
+    WITH RECURSIVE p AS (SELECT * FROM world), {_pairs_sql(_WORLD_ZOOM, 900)},
     links AS (SELECT condition_code, a_h3 AS x, b_h3 AS y FROM pairs UNION ALL SELECT condition_code, b_h3, a_h3 FROM pairs),
     reach(condition_code, h3, other) AS (
         SELECT condition_code, h3, h3 FROM p
         UNION SELECT r.condition_code, r.h3, l.y FROM reach r JOIN links l ON l.condition_code = r.condition_code AND l.x = r.other),
-    labelled AS (SELECT condition_code, h3, min(other) AS component FROM reach GROUP BY condition_code, h3)
-    SELECT l.condition_code, l.component AS h3, round(sum(p.lat * power(p.cases, 1.25e0)) / sum(power(p.cases, 1.25e0)), 6) AS lat,
-           round(sum(p.lon * power(p.cases, 1.25e0)) / sum(power(p.cases, 1.25e0)), 6) AS lon,
-           CAST(sum(p.cases) AS BIGINT) AS cases, max(p.cases) AS original_cases, max(p.days_with_cases) AS days_with_cases,
-           max(p.latest_date) AS latest_date, count(*) AS merged_count
-    FROM labelled l JOIN p USING (condition_code, h3) GROUP BY l.condition_code, l.component""")
+    labelled AS (SELECT condition_code, h3, min(other) AS component FROM reach GROUP BY condition_code, h3),
+    merged AS (
+        SELECT l.condition_code, l.component AS h3, sum(p.lat * {_WEIGHT}) / sum({_WEIGHT}) AS lat,
+               CASE WHEN max(p.lon) - min(p.lon) > 180
+                    THEN sum(CASE WHEN p.lon < 0 THEN p.lon + 360 ELSE p.lon END * {_WEIGHT}) / sum({_WEIGHT})
+                    ELSE sum(p.lon * {_WEIGHT}) / sum({_WEIGHT}) END AS lon,
+               CAST(sum(p.cases) AS BIGINT) AS cases, max(p.cases) AS original_cases, max(p.days_with_cases) AS days_with_cases,
+               max(p.latest_date) AS latest_date, count(*) AS merged_count
+        FROM labelled l JOIN p USING (condition_code, h3) GROUP BY l.condition_code, l.component)
+    SELECT * REPLACE (round(lat, 6) AS lat, round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 6) AS lon) FROM merged""")
 def hotspot_components(spark, sf):
-    merged = merge.merge_hotspots(_scaled_points(spark, sf), _ZOOM)
+    merged = merge.merge_hotspots(data.world_points(spark, sf), _WORLD_ZOOM)
     return merged.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
 @query("hotspot_merge_greedy")
 def hotspot_merge_greedy(spark, sf):
+    """Order-dependent, so without an SQL form; the tests compare it with a plain pairwise version."""
     merged = merge.merge_hotspots_greedy(_scaled_points(spark, sf), _ZOOM)
     return merged.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
