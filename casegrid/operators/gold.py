@@ -14,6 +14,7 @@ from casegrid.functions.demographics import (
     age_band, age_years, band_label, birth_date, gender_code, gender_label,
 )
 from casegrid.operators.dedupe import add_missing, changed_rows, conform, upsert
+from casegrid.session import cut_lineage
 
 # Grouping keys while rows are shuffled: fixed-width codes instead of the texts of the contract.
 CODED_KEYS = ["condition_code", "day", "cell", "age", "sex"]
@@ -182,7 +183,10 @@ def conditions_dim(
     labels: DataFrame | None = None,
     existing: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per condition. Conditions only the existing dimension knows are kept."""
+    """One row per condition. Conditions only the existing dimension knows are kept.
+
+    The totals are checkpointed, a row per condition, so that the fact is read once. Runs a job.
+    """
     totals = case_totals(fact)
     if labels is None:
         named = totals.withColumn("condition_display", F.col("condition_code"))
@@ -193,11 +197,12 @@ def conditions_dim(
     if existing is not None:
         known = existing.where(F.length("condition_code") > 0).select(*named.columns)
         named = upsert(known, named, ["condition_code"])
+    named = cut_lineage(named)
     return conform(
         named.withColumns(
             {
                 "generated_at": F.lit(generated_at),
-                "total_unique": named.agg(F.count("*")).scalar(),
+                "total_unique": F.lit(named.count()),
                 "age_groups_json": _json_list(schemas.AGE_GROUPS),
                 "genders_json": _json_list(schemas.GENDERS),
             }
@@ -207,7 +212,10 @@ def conditions_dim(
 
 
 def cells_dim(fact: DataFrame, generated_at: str, existing: DataFrame | None = None) -> DataFrame:
-    """One row per cell with its centre. Cells already known keep their coordinates."""
+    """One row per cell with its centre. Cells already known keep their coordinates.
+
+    The cells, a bounded number, are checkpointed, so that the fact is read once. Runs a job.
+    """
     lat, lng = geo.cell_center(F.col("h3"))
     cells = fact.where(F.length("h3") > 0).select("h3").distinct().select(
         "h3", lat.alias("latitude"), lng.alias("longitude")
@@ -216,9 +224,8 @@ def cells_dim(fact: DataFrame, generated_at: str, existing: DataFrame | None = N
         cells = add_missing(
             existing.where(F.length("h3") > 0).select("h3", "latitude", "longitude"), cells, ["h3"]
         )
+    cells = cut_lineage(cells)
     return conform(
-        cells.withColumns(
-            {"generated_at": F.lit(generated_at), "total_unique": cells.agg(F.count("*")).scalar()}
-        ),
+        cells.withColumns({"generated_at": F.lit(generated_at), "total_unique": F.lit(cells.count())}),
         schemas.CELLS_DIM,
     )

@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casegrid.functions.dates import iso_utc
+from casegrid.functions.geo import cell_center, cell_id
 from casegrid.operators.gold import cells_dim, conditions_dim, gold_fact
 from casegrid.session import scratch_path
 from casegrid.sources import fhir
@@ -123,28 +124,30 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("date_key").alias("latest_date"),
         F.count_distinct("date_key").alias("days_with_cases"),
     )
-    lat, lon = _centre(F.col("h3"))
+    lat, lon = cell_center(F.col("h3"))
     return cells.select("*", lat.alias("lat"), lon.alias("lon")).withColumn("original_cases", F.col("cases"))
 
 
 def world_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers scattered over the globe as points, one set per market segment."""
+    """Customers scattered over the globe, binned into cells of 0.7 degrees per market segment.
+
+    Points are always cells: their number stops growing when every cell is taken.
+    """
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_mktsegment").alias("condition_code"),
-        F.col("c_name").alias("h3"),
-        (((k * 7919007) % 160000 - 80000) / F.lit(1000e0)).alias("lat"),
-        (((k * 15485863) % 360000 - 180000) / F.lit(1000e0)).alias("lon"),
-        ((k * 37) % 60000 + 1).alias("cases"),
-        F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("latest_date"),
-        (k % 9 + 1).alias("days_with_cases"),
+    cell = cell_id(
+        ((k * 7919007) % 160000 - 80000) / F.lit(1000e0), ((k * 15485863) % 360000 - 180000) / F.lit(1000e0), 3
     )
-
-
-def _centre(cell: Column) -> tuple[Column, Column]:
-    from casegrid.functions.geo import cell_center
-
-    return cell_center(cell)
+    binned = (
+        table(spark, sf_dir, "customer")
+        .groupBy(F.col("c_mktsegment").alias("condition_code"), cell.alias("h3"))
+        .agg(
+            F.sum((k * 37) % 60000 + 1).alias("cases"),
+            F.max(F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("latest_date"),
+            F.max(k % 9 + 1).alias("days_with_cases"),
+        )
+    )
+    lat, lon = cell_center(F.col("h3"))
+    return binned.withColumns({"lat": lat, "lon": lon})
 
 
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,10 +388,16 @@ CTES: dict[str, str] = {
                count(DISTINCT date_key) AS days_with_cases, {_LAT} AS lat, {_LON} AS lon
         FROM fact GROUP BY condition_code, h3""",
     "world": """
-        SELECT c_mktsegment AS condition_code, c_name AS h3, ((c_custkey * 7919007) % 160000 - 80000) / 1000e0 AS lat,
-               ((c_custkey * 15485863) % 360000 - 180000) / 1000e0 AS lon, (c_custkey * 37) % 60000 + 1 AS cases,
-               '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS latest_date, c_custkey % 9 + 1 AS days_with_cases
-        FROM customer""",
+        WITH w AS (
+            SELECT c_mktsegment, c_custkey AS k,
+                   CAST(floor((((c_custkey * 7919007) % 160000 - 80000) / 1000e0 + 90) / 0.703125e0) AS BIGINT) AS row,
+                   CAST(floor((((c_custkey * 15485863) % 360000 - 180000) / 1000e0 + 180) / 0.703125e0) AS BIGINT) AS col
+            FROM customer)
+        SELECT c_mktsegment AS condition_code, 'r3_' || CAST(row AS VARCHAR) || '_' || CAST(col AS VARCHAR) AS h3,
+               (row + 0.5e0) * 0.703125e0 - 90 AS lat, (col + 0.5e0) * 0.703125e0 - 180 AS lon,
+               CAST(sum((k * 37) % 60000 + 1) AS BIGINT) AS cases,
+               max('2024-01-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0')) AS latest_date, max(k % 9 + 1) AS days_with_cases
+        FROM w GROUP BY c_mktsegment, row, col""",
     "cities": """
         SELECT s_name AS city, n_name AS country, CASE WHEN n_regionkey = 1 THEN 'US' ELSE 'XX' END AS iso2,
                CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 13 = 0 THEN 95e0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casegrid.functions.geo import cell_center
 from casegrid.operators import frames, hotspots, merge
 from casegrid.operators.hotspots import Filters
 from casegrid.queries import data
@@ -177,7 +178,7 @@ def coordinate_dedupe(spark, sf):
     rows = data.dense_fact(spark, sf).select(
         "condition_code", "h3", F.col("case_count").alias("cases"), F.col("date_key").alias("latest_date")
     )
-    lat, lon = data._centre(F.col("h3"))
+    lat, lon = cell_center(F.col("h3"))
     return merge.collapse_coordinates(rows.withColumns({"lat": lat, "lon": lon}))
 
 
@@ -197,11 +198,19 @@ def near_pairs(spark, sf):
 
 @query("near_pairs_world", "world", sql=f"""
     WITH p AS (SELECT * FROM world), {_pairs_sql(_WORLD_ZOOM, 900)}
-    SELECT condition_code, a_h3, b_h3, round(km, 6) AS distance_km FROM pairs""")
+    SELECT condition_code, a_h3 AS h3, count(*) AS neighbours, min(b_h3) AS first_neighbour, max(b_h3) AS last_neighbour,
+           round(min(km), 6) AS nearest_km, round(max(km), 6) AS farthest_km
+    FROM pairs GROUP BY ALL""")
 def near_pairs_world(spark, sf):
-    """The pairs themselves, across the antimeridian and at all latitudes."""
+    """The same across the antimeridian and at all latitudes."""
     pairs = merge.near_pairs(data.world_points(spark, sf), _WORLD_ZOOM)
-    return pairs.select("condition_code", "a_h3", "b_h3", F.round("distance_km", 6).alias("distance_km"))
+    return pairs.groupBy("condition_code", F.col("a_h3").alias("h3")).agg(
+        F.count("*").alias("neighbours"),
+        F.min("b_h3").alias("first_neighbour"),
+        F.max("b_h3").alias("last_neighbour"),
+        F.round(F.min("distance_km"), 6).alias("nearest_km"),
+        F.round(F.max("distance_km"), 6).alias("farthest_km"),
+    )
 
 
 _WEIGHT = "power(p.cases, 1.25e0)"
@@ -222,14 +231,14 @@ _WEIGHT = "power(p.cases, 1.25e0)"
                CAST(sum(p.cases) AS BIGINT) AS cases, max(p.cases) AS original_cases, max(p.days_with_cases) AS days_with_cases,
                max(p.latest_date) AS latest_date, count(*) AS merged_count
         FROM labelled l JOIN p USING (condition_code, h3) GROUP BY l.condition_code, l.component)
-    SELECT * REPLACE (round(lat, 6) AS lat, round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 6) AS lon) FROM merged""")
+    SELECT * REPLACE (round(lat, 5) AS lat, round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 5) AS lon) FROM merged""")
 def hotspot_components(spark, sf):
     merged = merge.merge_hotspots(data.world_points(spark, sf), _WORLD_ZOOM)
-    return merged.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+    return merged.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})
 
 
 @query("hotspot_merge_greedy")
 def hotspot_merge_greedy(spark, sf):
     """Order-dependent, so without an SQL form; the tests compare it with a plain pairwise version."""
     merged = merge.merge_hotspots_greedy(_scaled_points(spark, sf), _ZOOM)
-    return merged.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+    return merged.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})

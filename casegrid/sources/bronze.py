@@ -35,15 +35,16 @@ def write_bronze(rows: DataFrame, root: str) -> None:
 
 
 def latest_run(spark: SparkSession, root: str) -> str | None:
-    """Largest all-digit run id, from directory names only."""
-    runs = [
-        run
-        for kind in fs.partition_values(spark, root, "resource_type")
-        for day in fs.partition_values(spark, f"{root}/resource_type={kind}", "ingestion_date")
-        for run in fs.partition_values(spark, f"{root}/resource_type={kind}/ingestion_date={day}", "run_ts")
-        if run.isdigit()
-    ]
-    return max(runs, key=int, default=None)
+    """Largest all-digit run id, from directory names only.
+
+    The ingestion date is derived from the run id, so only the last date of a type is listed.
+    """
+    runs = []
+    for kind in fs.partition_values(spark, root, "resource_type"):
+        days = fs.partition_values(spark, f"{root}/resource_type={kind}", "ingestion_date")
+        for day in days[-1:]:
+            runs += fs.partition_values(spark, f"{root}/resource_type={kind}/ingestion_date={day}", "run_ts")
+    return max((run for run in runs if run.isdigit()), key=int, default=None)
 
 
 def newer_than(stamp: Column, cursor: dt.datetime | None) -> Column:

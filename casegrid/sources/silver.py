@@ -29,10 +29,14 @@ def snapshot_path(spark: SparkSession, root: str, table: str, run_ts: str) -> st
     return None
 
 
+def run_ids(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Run ids below the table, oldest first, finished or not. Directory names only."""
+    return sorted((r for r in fs.partition_values(spark, f"{root}/{table}", "run_ts") if r.isdigit()), key=int)
+
+
 def snapshot_runs(spark: SparkSession, root: str, table: str) -> list[str]:
-    """Run ids with a finished snapshot, oldest first. Directory names only."""
-    runs = [run for run in fs.partition_values(spark, f"{root}/{table}", "run_ts") if run.isdigit()]
-    return [run for run in sorted(runs, key=int) if snapshot_path(spark, root, table, run)]
+    """Run ids with a finished snapshot, oldest first."""
+    return [run for run in run_ids(spark, root, table) if snapshot_path(spark, root, table, run)]
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str, run_ts: str) -> DataFrame | None:
@@ -47,8 +51,11 @@ def read_current(spark: SparkSession, root: str, table: str, run_ts: str | None
         found = read_snapshot(spark, root, table, run_ts)
         if found is not None:
             return found
-    runs = snapshot_runs(spark, root, table)
-    return read_snapshot(spark, root, table, runs[-1]) if runs else None
+    for run in reversed(run_ids(spark, root, table)):
+        found = read_snapshot(spark, root, table, run)
+        if found is not None:
+            return found
+    return None
 
 
 def read_history(spark: SparkSession, root: str, table: str, runs: list[str] | None = None) -> DataFrame:

@@ -43,8 +43,9 @@ def _apply_batch(
     before = dict(pointer.get("tables", {}))
     after = dict(before)
     now = clock()
-    # Which types arrived: at most a handful of values, read from the partition column alone.
-    arrived = {row[0] for row in batch.select("resource_type").distinct().collect()}
+    # Which of the five types arrived: read from the partition column alone.
+    kinds = batch.select("resource_type").where(F.col("resource_type").isin(list(fhir.RESOURCES)))
+    arrived = {row[0] for row in kinds.distinct().collect()}
     for resource_type, (table, key, _) in fhir.RESOURCES.items():
         if resource_type not in arrived:
             continue
