@@ -1,6 +1,6 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query runs once to warm up and then ``$BENCH_RUNS`` times (default 3) into a ``noop`` sink; the
+Each query runs once to warm up and then ``$BENCH_RUNS`` times (default 2) into a ``noop`` sink; the
 median counts. ``value`` is the sum of the medians. With ``BENCH_COMPARE=1`` two comparison versions
 written for this file run as well: the three derivations of the fact as row-at-a-time Python UDFs,
 and the fact written by one job per condition.
@@ -17,8 +17,8 @@ import time
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.functions.dates import date_key
-from casegrid.operators.gold import count_cases
 from casegrid.queries import QUERIES, data
+from casegrid.schemas import GOLD_KEYS
 from casegrid.session import local_session, scratch_path
 from casegrid.sources import gold as gold_store
 
@@ -68,11 +68,12 @@ def fact_with_python_udfs(spark, sf_dir: str) -> DataFrame:
         return f"r4_{int((lat + 90) // 0.3515625)}_{int((lng + 180) // 0.3515625)}"
 
     rows = data.conditions(spark, sf_dir).join(data.patients(spark, sf_dir).where("latitude is not null"), "patient_id")
-    return count_cases(
-        rows.select(
-            "condition_code", date_key(F.col("condition_date")).alias("date_key"), cell("latitude", "longitude").alias("h3"),
-            age_group("dob").alias("age_group"), gender("gender").alias("gender"), "city", "state",
-        )
+    derived = rows.select(
+        "condition_code", date_key(F.col("condition_date")).alias("date_key"), cell("latitude", "longitude").alias("h3"),
+        age_group("dob").alias("age_group"), gender("gender").alias("gender"), "city", "state",
+    )
+    return derived.groupBy(*GOLD_KEYS).agg(
+        F.count("*").alias("case_count"), F.min("city").alias("city"), F.min("state").alias("state")
     )
 
 
@@ -85,7 +86,7 @@ def write_per_condition(fact: DataFrame, root: str) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "8g"), "casegrid-bench")
     spark.sparkContext.setLogLevel("ERROR")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
