@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from casegrid.functions.dates import iso_utc
 from casegrid.functions.geo import cell_center, cell_id
-from casegrid.operators.gold import cells_dim, conditions_dim, gold_fact
+from casegrid.operators.gold import gold_fact
 from casegrid.session import scratch_path
 from casegrid.sources import fhir
 from casegrid.sources import gold as gold_store
@@ -93,18 +93,11 @@ def dense_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_fact(dense_conditions(spark, sf_dir), dense_patients(spark, sf_dir), AS_OF)
 
 
-def published_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fact, condition and cell dimension, written to a fresh Gold folder and read from there."""
+def published_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact, written to a fresh Gold folder and read from there: the join and the count run once."""
     root = scratch_path(spark, "gold")
     gold_store.write_fact(fact(spark, sf_dir), root)
-    written = gold_store.read_fact(spark, root)
-    gold_store.write_dimension(conditions_dim(written, STAMP), root, gold_store.CONDITIONS)
-    gold_store.write_dimension(cells_dim(written, STAMP), root, gold_store.CELLS)
-    return (
-        written,
-        gold_store.read_dimension(spark, root, gold_store.CONDITIONS),
-        gold_store.read_dimension(spark, root, gold_store.CELLS),
-    )
+    return gold_store.read_fact(spark, root)
 
 
 def event_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrid.functions.geo import cell_center
-from casegrid.operators import frames, hotspots, merge
+from casegrid.operators import frames, gold, hotspots, merge
 from casegrid.operators.hotspots import Filters
 from casegrid.queries import data
 from casegrid.queries.data import centre_sql, haversine_sql
@@ -26,7 +26,8 @@ _WINDOW_SQL = """SELECT f.* FROM fact f JOIN (SELECT condition_code, max(date_ke
     FROM w WHERE {_CHOSEN_SQL} GROUP BY condition_code, h3 HAVING sum(case_count) > 0""")
 def hotspots_window(spark, sf):
     """The filtered 90-day hotspot query for every condition, each anchored on its latest day."""
-    fact, conditions, cells = data.published_gold(spark, sf)
+    fact = data.published_fact(spark, sf)
+    cells, conditions = gold.cells_dim(fact, data.STAMP), gold.conditions_dim(fact, data.STAMP)
     return hotspots.hotspot_points(fact, cells, conditions, 90, data.AS_OF, _CHOSEN)
 
 
@@ -38,8 +39,7 @@ def hotspots_window(spark, sf):
     GROUP BY condition_code, h3""")
 def hotspots_one_condition(spark, sf):
     """One condition of a published fact: only its partition is read, from the window's first day on."""
-    fact, _, _ = data.published_gold(spark, sf)
-    rows = hotspots.window_rows(fact, 500, "3-MEDIUM", data.AS_OF)
+    rows = hotspots.window_rows(data.published_fact(spark, sf), 500, "3-MEDIUM", data.AS_OF)
     return hotspots.hotspots(rows, _CHOSEN)
 
 
