@@ -15,6 +15,9 @@ SEVERITY_COLORS = [
 MERGE_STEPS_KM = [(2, 900), (3, 650), (5, 240), (7, 50), (9, 15)]
 MERGE_MIN_KM = 5
 CENTER_WEIGHT_POWER = 1.25
+RADIUS_BASE_M, RADIUS_RANGE_M, RADIUS_FACTOR = 120000.0, 180000.0, 1.3
+RADIUS_DECAY, RADIUS_FULL_ZOOM = 0.62, 2
+FLOOR_BASE_M, FLOOR_RANGE_M, FLOOR_STEEPNESS, FLOOR_MID_ZOOM = 900, 4100, 0.9, 6
 
 
 def severity_band(cases: Column) -> Column:
@@ -36,15 +39,15 @@ def center_weight(cases: Column) -> Column:
 
 def _zoom_terms(zoom: float) -> tuple[float, float]:
     """Scale factor and lower limit (m) of the radius at a zoom level."""
-    scale = math.exp(-0.62 * max(0.0, zoom - 2))
-    floor = 900 + 4100 / (1 + math.exp(0.9 * (zoom - 6)))
+    scale = math.exp(-RADIUS_DECAY * max(0.0, zoom - RADIUS_FULL_ZOOM))
+    floor = FLOOR_BASE_M + FLOOR_RANGE_M / (1 + math.exp(FLOOR_STEEPNESS * (zoom - FLOOR_MID_ZOOM)))
     return scale, floor
 
 
 def radius_m(cases: Column, zoom: float) -> Column:
     """Radius of influence in metres: grows with cases, shrinks with zoom."""
     scale, floor = _zoom_terms(zoom)
-    return F.greatest(F.lit(floor), (intensity(cases) * 180000.0 + 120000.0) * scale) * 1.3
+    return F.greatest(F.lit(floor), (intensity(cases) * RADIUS_RANGE_M + RADIUS_BASE_M) * scale) * RADIUS_FACTOR
 
 
 def radius_m_at(cases, zoom: float):
@@ -52,7 +55,8 @@ def radius_m_at(cases, zoom: float):
     import numpy as np
 
     scale, floor = _zoom_terms(zoom)
-    return np.maximum(floor, (120000.0 + np.minimum(1.0, cases / CASE_SCALE) * 180000.0) * scale) * 1.3
+    growth = np.minimum(1.0, cases / CASE_SCALE) * RADIUS_RANGE_M
+    return np.maximum(floor, (RADIUS_BASE_M + growth) * scale) * RADIUS_FACTOR
 
 
 def base_threshold_km(zoom: float) -> float:
