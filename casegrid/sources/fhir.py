@@ -10,7 +10,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casegrid import schemas
 from casegrid.functions.dates import iso_utc, parse_timestamp
 from casegrid.functions.text import blank_to_null, canonical_reference, first_present, person_name
 
@@ -339,6 +338,3 @@ def latest_source_time(resources: DataFrame, fallback: dt.datetime | None) -> Da
     stamp = parse_timestamp(F.from_json("resource_json", _META)["meta"]["lastUpdated"])
     newest = F.max(stamp)
     return resources.agg(F.greatest(newest, F.lit(fallback).cast("timestamp")).alias("latest"))
-
-
-SILVER_SCHEMAS = schemas.SILVER

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from casegrid import schemas
-from casegrid.functions import geo, severity
+from casegrid.functions import severity
 from casegrid.operators import allocate, dedupe, frames, gold, hotspots, merge, quality, ranking
 from casegrid.operators.components import connected_components
 from casegrid.operators.hotspots import Filters
