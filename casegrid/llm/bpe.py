@@ -276,8 +276,8 @@ class Transducer:
             alive = int(np.searchsorted(-sizes, -k, "right"))  # pieces with k bytes or more
             going = int(np.searchsorted(-sizes, -k, "left"))  # pieces with more than k bytes
             if going < FEW:
-                for i in range(alive):
-                    self._walk(int(state[i]), data[begins[i] + k : begins[i] + sizes[i]], steps, int(places[i]) + k)
+                for i, key in enumerate([self._keys[s] for s in state[:alive]]):
+                    self._walk(self._intern(key), data[begins[i] + k : begins[i] + sizes[i]], steps, int(places[i]) + k)
                 break
             symbol = np.full(alive, END, np.int32)
             symbol[:going] = data[begins[:going] + k]
