@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from casegrid.llm import bpe, repetition
+from casegrid.llm import bpe, huffman, repetition
 from casegrid.llm.common import ORACLES, QUERIES, query, table
+from casegrid.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -19,3 +20,10 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks)
+
+
+@query("op10_huffman_ids")
+def op10(spark, sf_dir):
+    path = scratch_path(spark, "huffman")
+    huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return huffman.read_ids(spark, path)
