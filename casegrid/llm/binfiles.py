@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_records(records: DataFrame, path: str, separator: bytes) -> None:
-    """One file per partition: column ``value`` (binary) of every row in order, each followed by ``separator``."""
+def write_records(records: DataFrame, path: str, separator: bytes, per_file: int = 0) -> None:
+    """Column ``value`` (binary) of every row in order, each followed by ``separator``.
+
+    One file per partition, or more where it has over ``per_file`` rows.
+    """
     (
         records.select(F.col("value").cast("string").alias("value"))
         .write.format("text").option("lineSep", separator.decode("latin-1")).option("encoding", "ISO-8859-1")
-        .save(path)
+        .option("maxRecordsPerFile", per_file).save(path)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from casegrid.llm import bpe, huffman, repetition
+from casegrid.llm import bpe, huffman, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -27,3 +27,22 @@ def op10(spark, sf_dir):
     path = scratch_path(spark, "huffman")
     huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return huffman.read_ids(spark, path)
+
+
+@query("op2_warc_revisits", sql="""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+""")
+def op2(spark, sf_dir):
+    source, target = scratch_path(spark, "warc"), scratch_path(spark, "warc-dedup")
+    warc.write_pages(table(spark, sf_dir, "pages"), source)
+    warc.deduplicate(spark, source, target)
+    return warc.resolved_pages(spark, target)
