@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from casegrid.llm import bpe, huffman, repetition, warc
+from casegrid.llm import bpe, huffman, jaccard_join, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -46,3 +46,8 @@ def op2(spark, sf_dir):
     warc.write_pages(table(spark, sf_dir, "pages"), source)
     warc.deduplicate(spark, source, target)
     return warc.resolved_pages(spark, target)
+
+
+@query("op6_jaccard_join")
+def op6(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
