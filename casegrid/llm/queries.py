@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from casegrid.llm import bpe, huffman, jaccard_join, repetition, warc
+from casegrid.llm import bpe, chat_rotation, huffman, jaccard_join, line_dedup, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -51,3 +52,14 @@ def op2(spark, sf_dir):
 @query("op6_jaccard_join")
 def op6(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_perspective_rotation", sql=chat_rotation.ORACLE)
+def op3(spark, sf_dir):
+    return chat_rotation.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_line_dedup", sql=line_dedup.ORACLE)
+def op7(spark, sf_dir):
+    out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
