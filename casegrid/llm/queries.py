@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casegrid.llm import bpe, chat_rotation, huffman, jaccard_join, line_dedup, repetition, warc
+from casegrid.llm import bpe, chat_rotation, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -63,3 +63,8 @@ def op3(spark, sf_dir):
 def op7(spark, sf_dir):
     out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op4_licence_scan")
+def op4(spark, sf_dir):
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))

@@ -34,11 +34,15 @@ HEADERS = (
 )
 
 
+def _packed(data: bytes, level: int) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def _record(fields: list[tuple[str, object]], block: bytes, level: int) -> bytes:
     head = "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None)
     data = f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
-    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    return _packed(data, level)
 
 
 def _line(value: str | None) -> str | None:
@@ -83,19 +87,20 @@ def write_pages(pages: DataFrame, path: str, level: int = LEVEL) -> None:
     write_records(rows.mapInArrow(run, "value binary"), path, EMPTY_MEMBER, RECORDS_PER_FILE)
 
 
-def _members(data: memoryview, step: int = 1 << 15) -> Iterator[bytes]:
-    """The contents of the gzip members of a file, or its uncompressed records."""
+def _members(data: memoryview, step: int = 1 << 15) -> Iterator[tuple[bytes, bytes]]:
+    """The records of a file: their contents, and the gzip members that hold them."""
     at = 0
     if bytes(data[:5]) == b"WARC/":
         while at < len(data):
             near = bytes(data[at : at + (1 << 16)])
             head = near.index(b"\r\n\r\n") + 4
             size = next(int(x.split(b":")[1]) for x in near[:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            yield bytes(data[at : at + head + size])
+            whole = bytes(data[at : at + head + size])
+            yield whole, _packed(whole, 1)
             at += head + size + 4
         return
     while at < len(data):
-        member, out = zlib.decompressobj(31), []
+        member, out, begin = zlib.decompressobj(31), [], at
         while not member.eof:
             if at >= len(data):
                 raise ValueError("an archive ends inside a record")
@@ -104,7 +109,7 @@ def _members(data: memoryview, step: int = 1 << 15) -> Iterator[bytes]:
         at -= len(member.unused_data)
         whole = b"".join(out)
         if whole:
-            yield whole
+            yield whole, bytes(data[begin:at])
 
 
 def _parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -124,8 +129,8 @@ def _bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Headers of the response, resource and revisit records below ``path``, and their payloads if asked for.
+def read_archives(spark: SparkSession, path: str, members: bool = False) -> DataFrame:
+    """Headers of the response, resource and revisit records below ``path``, and their gzip members if asked for.
 
     ``payload_digest`` of a record with a payload is computed from it; a revisit's is the one in its
     header. ``payload_bytes`` of a revisit is null: it is that of the response it refers to.
@@ -135,8 +140,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for member in _members(memoryview(content.as_buffer())):
-                    fields, payload = _parse(member)
+                for whole, member in _members(memoryview(content.as_buffer())):
+                    fields, payload = _parse(whole)
                     kind = fields.get("warc-type")
                     if kind not in ("response", "resource", "revisit"):
                         continue
@@ -148,7 +153,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                         int(page) if page is not None else None, hashlib.sha256(payload).hexdigest() if full else stated,
                         len(payload) if full else None, _bare(fields.get("warc-refers-to")),
                     )
-                    rows.append(row + (payload if full else None,) if payloads else row)
+                    rows.append(row + (member,) if members else row)
                     size += len(payload)
                     if size > BATCH_BYTES or len(rows) >= 5000:
                         yield batch_of(rows)
@@ -159,7 +164,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    schema = HEADERS + ", payload binary" * payloads
+    schema = HEADERS + ", member binary" * members
     names = [c.split()[0] for c in schema.split(",")]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     types = [kinds[c.split()[1]] for c in schema.split(",")]
@@ -191,14 +196,14 @@ def resolve(headers: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
 def deduplicate(spark: SparkSession, source: str, target: str, min_payload: int = MIN_PAYLOAD, level: int = LEVEL) -> None:
     """Rewrite the archives below ``source`` to ``target`` with every repeated payload as a revisit.
 
-    Payloads travel once, by record id, which no two records share.
+    Records travel once and compressed, by record id, which no two records share.
     """
     decided = resolve(read_archives(spark, source), min_payload)
-    records = read_archives(spark, source, payloads=True).join(decided, "record_id", "left")
+    records = read_archives(spark, source, members=True).join(decided, "record_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "payload", BATCH_BYTES):
+            for part in chunks(batch, "member", BATCH_BYTES):
                 values = []
                 for r in part.to_pylist():
                     to = (r["to_id"], r["to_uri"], r["to_date"]) if r["to_id"] else (r["refers_to_id"], None, None)
@@ -206,7 +211,8 @@ def deduplicate(spark: SparkSession, source: str, target: str, min_payload: int
                     if r["to_id"] or r["warc_type"] == "revisit":
                         values.append(_revisit(*common, *to, level))
                     else:
-                        values.append(_response(*common, r["payload"], level))
+                        payload = _parse(zlib.decompress(r["member"], 31))[1]
+                        values.append(_response(*common, payload, level))
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
 
     write_records(records.mapInArrow(run, "value binary"), target, EMPTY_MEMBER, RECORDS_PER_FILE)
