@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casegrid.llm import bpe, chat_rotation, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
+from casegrid.llm import bpe, chat_rotation, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -68,3 +68,8 @@ def op7(spark, sf_dir):
 @query("op4_licence_scan")
 def op4(spark, sf_dir):
     return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
