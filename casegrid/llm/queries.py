@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casegrid.llm import bpe, chat_rotation, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
+from casegrid.llm import bpe, chat_rotation, cotraining, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -73,3 +73,8 @@ def op4(spark, sf_dir):
 @query("op8_benchmark_decontamination")
 def op8(spark, sf_dir):
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_cotraining_quality")
+def op1(spark, sf_dir):
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
