@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casegrid.llm.binfiles import read_files, write_records
 from casegrid.llm.bytetext import chunks
+from casegrid.session import scratch_path
 
 # The gzip member of no bytes.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
@@ -196,9 +197,12 @@ def resolve(headers: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
 def deduplicate(spark: SparkSession, source: str, target: str, min_payload: int = MIN_PAYLOAD, level: int = LEVEL) -> None:
     """Rewrite the archives below ``source`` to ``target`` with every repeated payload as a revisit.
 
-    Records travel once and compressed, by record id, which no two records share.
+    Records travel once at most and compressed, by record id, which no two records share.
     """
-    decided = resolve(read_archives(spark, source), min_payload)
+    # Written first, so that its size is known: few revisits are broadcast and the records stay in place.
+    decisions = scratch_path(spark, "revisits")
+    resolve(read_archives(spark, source), min_payload).write.parquet(decisions)
+    decided = spark.read.parquet(decisions)
     records = read_archives(spark, source, members=True).join(decided, "record_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
