@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 # Bytes of text handled at once inside a task; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -120,7 +120,7 @@ def windows(values: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(total[inside]), inside
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts in ``column`` hold about ``limit`` bytes."""
     if not batch.num_rows:
         return

@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     rows = _columns(docs)
     # The ids of a sample of bounded size.
     with_y = rows.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).drop("_id")
-    free = rows.where(_picked("doc_id", min(1.0, UNLABELLED_ROWS / max(1, docs.count())), "unlabelled")).withColumn("_y", F.lit(None).cast("double"))
+    free = rows.where("doc_id is not null").where(_picked("doc_id", min(1.0, UNLABELLED_ROWS / max(1, docs.count())), "unlabelled")).withColumn("_y", F.lit(None).cast("double"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,13 +299,13 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``score_documents`` keeps, with all their columns."""
     model = fit(docs, labels)
     names = docs.columns
-    own = [f"_{c}_" for c in COLUMNS]
+    # Behind the columns of docs, and read by place: names may clash.
     wide = docs.select("*", *(F.col(c).cast("bigint" if c == "n_chars" else "string").alias(f"_{c}_") for c in COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text_"):
-                inputs = pa.RecordBatch.from_arrays([part.column(c) for c in own], list(COLUMNS))
+            for part in chunks(batch, len(names)):
+                inputs = pa.RecordBatch.from_arrays([part.column(len(names) + i) for i in range(len(COLUMNS))], list(COLUMNS))
                 kept = _verdict(model, inputs)[-1]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))], names).filter(kept)
 

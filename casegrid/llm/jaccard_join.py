@@ -29,7 +29,7 @@ MAX_FREQUENT = 1 << 20
 # Most ids of sets that are broadcast to pick texts; beyond, the texts are joined by a shuffle.
 MAX_BROADCAST_IDS = 1 << 20
 # Shingles counted at once inside a task.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 # Sizes considered for the boundary between small and large sets.
 MAX_SMALL = 16
 BUCKETS = 256  # of the histogram that bounds an overlap from above
@@ -332,3 +332,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("first_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component, the rows with its smallest doc_id.
+
+    Rows with a null id stay, and so do all rows of a doc_id that stays. Documents with an empty set are
+    linked with nothing and stay.
+    """
+    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")

@@ -129,18 +129,18 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool
     )
     drops.write.parquet(f"{path}/drops")
     drops = spark.read.parquet(f"{path}/drops")
-    left = docs.alias("d")
-    found = left.join(
-        drops, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("_row")), "left"
+    found = docs.alias("d").join(
+        drops.alias("x"),
+        F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("x._id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("x._row")), "left",
     )
     pieces = F.split(F.col("d.text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("drops", i)), "\n")
-    text = F.when(F.col("drops").isNull(), F.col("d.text").cast("string")).otherwise(kept).alias("text")
+    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("x.drops"), i)), "\n")
+    text = F.when(F.col("x.drops").isNull(), F.col("d.text").cast("string")).otherwise(kept).alias("text")
     columns = [text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     if counts:
         columns += [
             F.when(F.col("d.text").isNull(), 0).otherwise(F.size(pieces)).cast("bigint").alias("n_lines"),
-            F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
+            F.coalesce(F.size("x.drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
         ]
     return found.select(*columns)
 
