@@ -5,8 +5,8 @@ c = ceil(4 (n + m) / 9) members. Small sets meet on their c-subsets; of large se
 members as must contain a common one are put into inverted lists, rarest first. The size where one
 way becomes cheaper than the other is computed from the table.
 
-Equal sets are one set. Within a list every set is first compared with one partner only; sets found
-linked are one component, and what is left to compare are sets of different components.
+Equal sets are one set. In a few rounds every set is compared with a few partners of its lists only;
+sets found linked are one component, and what is left to compare are sets of different components.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
 from casegrid.llm.shingles import Sets
@@ -32,6 +32,12 @@ MAX_BROADCAST_IDS = 1 << 20
 COUNTED = 2 << 20
 # Sizes considered for the boundary between small and large sets.
 MAX_SMALL = 16
+# Rounds of few comparisons before all that is left is compared, and partners of a set in each.
+ROUNDS = 2
+PARTNERS = 3
+# 64-bit words of a set's parities: of each of so many times 64 classes of members, whether their
+# number is odd. Sets differ in as many members at least as parities.
+PARITY_WORDS = 8
 BUCKETS = 256  # of the histogram that bounds an overlap from above
 
 
@@ -93,6 +99,7 @@ def _stats(docs: DataFrame, path: str) -> DataFrame:
 
 _STATS = {"kind": "int", "doc_id": "bigint", "sid": "bigint", "n": "bigint", "key": "bigint"}
 _POSTINGS = {"key": "bigint", "sid": "bigint", "n": "int", "pos": "int", "leads": "boolean", "light": "boolean"}
+_PARITIES = [f"parity_{i}" for i in range(PARITY_WORDS)]
 _KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -190,7 +197,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     """``sid, n, members, histogram`` of the wanted documents' sets."""
     n = wanted.count()
     rows = _texts(docs).join(F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    schema = {"sid": "bigint", "n": "bigint", "members": "binary", "histogram": "binary"}
+    schema = {"sid": "bigint", "n": "bigint", "members": "binary", "histogram": "binary", **{c: "bigint" for c in _PARITIES}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +205,17 @@ def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
                 sets = Sets(Texts(part.column("text")))
                 cell = sets.owner * BUCKETS + (mix(sets.values.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
                 counts = np.bincount(cell, minlength=len(sets.sizes) * BUCKETS).astype("<u2")
+                classes = 64 * PARITY_WORDS
+                cell = sets.owner * classes + (mix(~sets.values.astype(np.uint64)) % np.uint64(classes)).astype(np.int64)
+                odd = np.bincount(cell, minlength=len(sets.sizes) * classes).astype(np.uint8) & 1
+                words = np.packbits(odd).view(np.int64).reshape(-1, PARITY_WORDS)
                 ends = np.arange(len(sets.sizes) + 1)
                 cells = [
                     pa.Array.from_buffers(pa.binary(), len(sets.sizes), [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(d)])
                     for o, d in ((8 * sets.bounds, sets.values.astype("<i8")), (2 * BUCKETS * ends, np.minimum(counts, 65535)))
                 ]
-                yield _batch(schema, sid=sets.names(), n=sets.sizes, members=cells[0], histogram=cells[1])
+                yield _batch(schema, sid=sets.names(), n=sets.sizes, members=cells[0], histogram=cells[1],
+                             **{c: words[:, i] for i, c in enumerate(_PARITIES)})
 
     rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in schema.items())).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -257,6 +269,53 @@ def _settle(edges: DataFrame, path: str) -> DataFrame:
     return edges.sparkSession.read.parquet(path).select(F.col("node").alias("sid"), "component")
 
 
+def _mixed(lists: DataFrame, labels: DataFrame | None, path: str) -> DataFrame:
+    """Entries of the lists that hold more than one component, with it and the commonest of the list."""
+    spark = lists.sparkSession
+    labelled = lists.withColumn("component", F.col("sid")) if labels is None else (
+        lists.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    )
+    per = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("commonest"), F.count("*").alias("k")).where("k > 1")
+    labelled.join(mixed.select("key", "commonest"), "key").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _few_pairs(mixed: DataFrame, x: int, turn: int) -> DataFrame:
+    """For every entry outside its list's commonest component one partner of that component; of each
+    set's, ``PARTNERS``. The partner of a list changes from round to round."""
+    draw = F.xxhash64("sid", F.lit(turn))
+    leaders = mixed.where("component = commonest").groupBy("key").agg(
+        F.min(F.struct(draw.alias("draw"), "sid", "n", "pos", "leads")).alias("r")
+    )
+    joined = mixed.where("component <> commonest").alias("l").join(leaders.alias("r"), "key").where(
+        f"(light or greatest(n, r.n) > {x}) and 4 * greatest(n, r.n) <= 5 * least(n, r.n)"
+    )
+    # The draw is the same for all lists, so that near copies share their partners.
+    best = joined.groupBy("sid", F.col("r.sid").alias("other")).agg(F.count("*").alias("lists"), F.min("r.draw").alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("lists"), "draw"))
+    return (
+        best.withColumn("rank", rank).where(F.col("rank") <= PARTNERS)
+        .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    )
+
+
+def _all_pairs(mixed: DataFrame, sets: DataFrame, x: int, path: str) -> DataFrame:
+    """All but the commonest component of a list, with the rest of the list, as far as parities let through."""
+    mixed.join(sets.select("sid", *_PARITIES), "sid").write.parquet(path)
+    mixed = mixed.sparkSession.read.parquet(path)
+    apart = " + ".join(f"bit_count(l.{c} ^ r.{c})" for c in _PARITIES)
+    return (
+        mixed.where("component <> commonest").alias("l")
+        .join(mixed.alias("r"), F.expr(
+            "l.key = r.key and l.component <> r.component and (r.component = r.commonest or l.sid < r.sid)"
+            f" and (l.light or greatest(l.n, r.n) > {x}) and {_close('l', 'r')}"
+            f" and 9 * ({apart}) <= l.n + r.n"
+        ))
+        .select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct()
+    )
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -281,7 +340,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = _postings(docs.where("doc_id is not null"), frequent, x)
     rows.createOrReplaceTempView("jaccard_rows")
     counted = spark.sql("select *, min(sid) over (partition by key) as least_sid, max(sid) over (partition by key) as most_sid from jaccard_rows")
-    counted.where("least_sid <> most_sid").select(*_POSTINGS, "least_sid").distinct().write.parquet(f"{root}/lists")
+    counted.where("least_sid <> most_sid").select(*_POSTINGS).distinct().write.parquet(f"{root}/lists")
     lists = spark.read.parquet(f"{root}/lists")
 
     # The sets in them, from the text of each one's first document.
@@ -289,40 +348,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = _set_table(docs, wanted.select("doc_id").distinct(), f"{root}/sets")
     sets = sets.dropDuplicates(["sid"])
 
-    # Each set against the first set of one of its lists.
-    star = (
-        lists.where("sid <> least_sid").groupBy("sid").agg(F.min("least_sid").alias("a"))
-        .select("a", F.col("sid").alias("b"))
-    )
-    star.write.parquet(f"{root}/star")
-    star = spark.read.parquet(f"{root}/star")
-    linked = _verified(star, sets, f"{root}/star-links")
-    same_doc = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("m")).where("a <> m")
-    same_doc = named.join(same_doc, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b"))
-    linked = linked.unionByName(same_doc)
-    labels = _settle(linked, f"{root}/components-1")
-
-    # What is left: lists that hold more than one component. All but the commonest component of a list
-    # are paired with the rest of it.
-    labelled = lists.drop("least_sid").join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    per = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("commonest"), F.count("*").alias("k")).where("k > 1")
-    labelled.join(mixed.select("key", "commonest"), "key").write.parquet(f"{root}/mixed")
-    left = spark.read.parquet(f"{root}/mixed").alias("l")
-    right = spark.read.parquet(f"{root}/mixed").alias("r")
-    pairs = (
-        left.where("l.component <> l.commonest")
-        .join(right, F.expr(
-            "l.key = r.key and l.component <> r.component and (r.component = r.commonest or l.sid < r.sid)"
-            f" and (l.light or greatest(l.n, r.n) > {x}) and {_close('l', 'r')}"
-        ))
-        .select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    # Sets of one doc_id are one node.
+    least = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("m")).where("a <> m")
+    linked = named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b"))
+    labels, checked = None, None
+    # Rounds of few comparisons: lists whose sets are known to be of one component need no more.
+    for turn in range(ROUNDS):
+        mixed = _mixed(lists, labels, f"{root}/mixed-{turn}")
+        pairs = _few_pairs(mixed, x, turn)
+        pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
+        pairs.write.parquet(f"{root}/few-{turn}")
+        pairs = spark.read.parquet(f"{root}/few-{turn}")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        more = _verified(pairs, sets, f"{root}/few-links-{turn}")
+        linked = linked.unionByName(more)
+        if turn and more.isEmpty():
+            break
+        labels = _settle(linked, f"{root}/components-{turn}")
+
+    # What is left: all sets of different components that meet in a list.
+    pairs = _all_pairs(_mixed(lists, labels, f"{root}/mixed"), sets, x, f"{root}/entries").join(checked, ["a", "b"], "left_anti")
     pairs.write.parquet(f"{root}/rest")
     more = _verified(spark.read.parquet(f"{root}/rest"), sets, f"{root}/rest-links")
     if not more.isEmpty():
-        labels = _settle(linked.unionByName(more), f"{root}/components-2")
+        labels = _settle(linked.unionByName(more), f"{root}/components")
 
     found = documents.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = found.where("doc_id is not null and n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
