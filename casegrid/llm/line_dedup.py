@@ -9,9 +9,10 @@ replacement apart exactly if they share such a string with the same place of del
 insertion from another exactly if it is one of the other's strings. So equal keys are grouped, not
 paired: the earliest of a group is all that its members need.
 
-Only lines that can have a neighbour emit these strings. Those are found with the same idea in coarse
-steps: of ``PARTS`` parts of a line, all but one are left as they are by an edit, so the line without
-one part, hashed, has to meet that of another line.
+Long strings have many such rests, so the place of an edit is first narrowed down with the same idea
+in coarse steps: of ``PARTS`` parts of a string an edit leaves all but one as they are. The string
+without one part, hashed, has to meet that of another line, and the part it lacks is what is looked
+at next, until it has no more than ``FINE`` characters.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from casegrid.session import scratch_path
 
 MIN_CHARS = 20
 PARTS = 4
+FINE = 64
 # Most keys (8 bytes each) that are broadcast to pick lines; beyond, the join is a shuffle.
 MAX_BROADCAST_KEYS = 1 << 20
 
@@ -41,19 +43,20 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "no")
 
 
-def _coarse_keys(line: str = "line") -> Column:
-    """The line without each of its parts, hashed, as the shorter (or an equal) and as the longer of two lines."""
-    n = F.length(line)
-    keys = []
-    for longer in (0, 1):
-        m = n - longer  # length of the shorter of the two
-        for part in range(PARTS):
-            begin, end = F.floor(m * part / PARTS), F.floor(m * (part + 1) / PARTS)
-            keys.append(F.xxhash64(
-                m, F.lit(part), F.substr(F.col(line), F.lit(1), begin.cast("int")),
-                F.substr(F.col(line), (end + longer + 1).cast("int"), n),
-            ))
-    return F.array(*keys)
+def _parts(text: Column, role: Column, before: Column) -> Column:
+    """For each part of a string: the hash of the rest, and the part.
+
+    ``role`` is 1 where the string is to be the longer one of two; parts are cut by the length of the
+    shorter, and the part of the longer has one more character.
+    """
+    n = F.length(text)
+    m = n - role
+    out = []
+    for part in range(PARTS):
+        begin, end = F.floor(m * part / PARTS).cast("int"), F.floor(m * (part + 1) / PARTS).cast("int")
+        key = F.xxhash64(before, m, F.lit(part), F.substr(text, F.lit(1), begin), F.substr(text, end + role + 1, n))
+        out.append(F.struct(key.alias("key"), role.alias("role"), F.substr(text, begin + 1, end - begin + role).alias("middle")))
+    return F.array(*out)
 
 
 def _picked(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -61,40 +64,55 @@ def _picked(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on, "left_semi")
 
 
+def _meeting(rows: DataFrame, path: str) -> DataFrame:
+    """Rows ``h, key, ...`` whose key is also that of another line."""
+    keys = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    keys.write.parquet(path)
+    return _picked(rows, rows.sparkSession.read.parquet(path), "key")
+
+
 def _near(lines: DataFrame, path: str) -> DataFrame:
     """``h`` of the lines (each with its first place) that have an earlier line within one edit."""
     spark = lines.sparkSession
-    coarse = lines.select("*", F.explode(_coarse_keys()).alias("key"))
+    zero, one = F.lit(0), F.lit(1)
+    line = F.col("line")
+    rows = lines.select("*", F.inline(F.concat(_parts(line, zero, zero), _parts(line, one, zero))))
     (
-        coarse.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-        .write.parquet(f"{path}/keys")
-    )
-    met = _picked(coarse, spark.read.parquet(f"{path}/keys"), "key")
-    (
-        met.groupBy("h").agg(F.min(_place()).alias("place"), F.any_value("line").alias("line"))
-        .write.parquet(f"{path}/candidates")
+        _meeting(rows, f"{path}/keys-0").groupBy("h", "key", "role")
+        .agg(F.min(_place()).alias("place"), F.any_value("middle").alias("middle"), F.any_value("line").alias("line"))
+        .write.parquet(f"{path}/rows-0")
     )
+    rows, level = spark.read.parquet(f"{path}/rows-0"), 0
+    candidates = rows.groupBy("h").agg(F.min("place").alias("place"), F.any_value("line").alias("line"))
+    candidates.write.parquet(f"{path}/candidates")
     candidates = spark.read.parquet(f"{path}/candidates")
-    n = F.length("line")
-    deleted = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            i.alias("at"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1, n))).alias("v")
-        ),
-    )
-    itself = F.array(F.struct(F.lit(0).alias("at"), F.col("h").alias("v")))
-    variants = candidates.select("h", "place", F.inline(F.concat(itself, deleted)))
-    # Replacement: the earliest line with the same rest at the same place.
-    replaced = variants.where("at > 0").groupBy("v", "at").agg(F.min(F.struct("place", "h")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    whole = variants.where("at = 0").select("v", F.struct("place", "h").alias("short"))
-    # Insertion: a whole line meets the rests of longer lines.
-    rests = variants.where("at > 0").join(whole, "v").select("v", "short", F.struct("place", "h").alias("long"))
-    earlier = (
-        variants.where("at > 0").join(replaced, ["v", "at"]).select("h", "place", "first")
-        .unionByName(rests.select(F.col("long.h").alias("h"), F.col("long.place").alias("place"), F.col("short").alias("first")))
-        .unionByName(rests.groupBy("short").agg(F.min("long").alias("first")).select(F.col("short.h").alias("h"), F.col("short.place").alias("place"), "first"))
-        .where("first.place < place").groupBy("h").agg(F.min("first").alias("first"))
+    rows = rows.select("h", "key", "role", "middle")
+    m = F.length("middle") - F.col("role")
+    while (rows.agg(F.max(m)).first()[0] or 0) > FINE:
+        level += 1
+        cut = rows.where(m > FINE).select("h", F.inline(_parts(F.col("middle"), F.col("role"), F.col("key"))))
+        _meeting(cut, f"{path}/keys-{level}").unionByName(rows.where(m <= FINE)).distinct().write.parquet(f"{path}/rows-{level}")
+        rows = spark.read.parquet(f"{path}/rows-{level}")
+    # The rests of what is left: with one character deleted, and of the shorter role whole.
+    n = F.length("middle")
+    rest = lambda i: F.xxhash64("key", F.concat(F.substr("middle", one, i - 1), F.substr("middle", i + 1, n)))
+    deleted = F.when(n > 0, F.transform(F.sequence(one, F.greatest(n, one)), lambda i: F.struct(i.alias("at"), rest(i).alias("rest"))))
+    itself = F.when(F.col("role") == 0, F.array(F.struct(zero.alias("at"), F.xxhash64("key", "middle").alias("rest"))))
+    none = F.array().cast("array<struct<at:int,rest:bigint>>")
+    variants = rows.select("h", "role", F.inline(F.concat(F.coalesce(itself, none), F.coalesce(deleted, none))))
+    met = _meeting(variants.withColumnRenamed("rest", "key"), f"{path}/rests").distinct().join(candidates.select("h", "place"), "h")
+    met.write.parquet(f"{path}/variants")
+    met = spark.read.parquet(f"{path}/variants")
+    first = F.min(F.struct("place", "h")).alias("first")
+    # A replacement: two of the shorter role with the same rest at the same place.
+    replaced = met.where("role = 0 and at > 0")
+    replaced = replaced.join(replaced.groupBy("key", "at").agg(first), ["key", "at"]).select("h", "place", "first")
+    # An insertion: a whole string and a rest of a longer one.
+    whole, longer = met.where("role = 0 and at = 0"), met.where("role = 1")
+    inserted = whole.join(longer.groupBy("key").agg(first), "key").select("h", "place", "first").unionByName(
+        longer.join(whole.groupBy("key").agg(first), "key").select("h", "place", "first")
     )
+    earlier = replaced.unionByName(inserted).where("first.place < place").groupBy("h").agg(F.min("first").alias("first"))
     a, b = candidates.select("h", "line"), candidates.select(F.col("h").alias("first_h"), F.col("line").alias("first_line"))
     return (
         earlier.select("h", F.col("first.h").alias("first_h")).join(a, "h").join(b, "first_h")

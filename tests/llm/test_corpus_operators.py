@@ -139,6 +139,23 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(9)
+    rows, k = [], 0
+    for n in (20, 63, 64, 65, 66, 255, 256, 257, 258, 300, 1030, 5000):
+        line = "".join(rng.choice("abcdé ") for _ in range(n - 2))
+        line = f"x{line}x"
+        for at in (0, n // 3, n // 2, n - 1):
+            for edit in (line[:at] + line[at + 1 :], line[:at] + "Z" + line[at:], line[:at] + "Y" + line[at + 1 :]):
+                rows.append((k, edit))
+                k += 1
+        rows.append((k, line))
+        k += 1
+    rng.shuffle(rows)
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == plain_lines(rows, 20)
+
+
 def test_line_dedup_spares_short_lines_and_equal_rows(spark):
     text = "short\nshort\n" + "x" * 30
     rows = [(1, text), (1, text), (2, "y" + "x" * 29 + "\nshort")]
