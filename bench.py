@@ -27,7 +27,7 @@ HEADLINE = [
     "cumulative_frames", "frame_stats", "silver_merge", "batch_dedupe", "gold_upsert", "gold_refresh",
     "fhir_patient_roundtrip", "fhir_observation_roundtrip", "fhir_medreq_roundtrip", "conditions_dim",
     "cells_dim", "overview", "hierarchical_allocation", "proportional_allocation", "near_pairs",
-    "hotspot_components", "hotspot_merge_greedy", "csv_to_fhir", "gold_sink",
+    "hotspot_components", "csv_to_fhir", "gold_sink",
 ]
 
 

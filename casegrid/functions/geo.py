@@ -7,10 +7,8 @@ many events are binned. Totals equal those of any other binning; per-cell member
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 DEFAULT_RESOLUTION = 4
@@ -87,23 +85,3 @@ def longitude_gap(lng1: Column, lng2: Column) -> Column:
 
 def km_per_lon_degree(lat: Column) -> Column:
     return F.greatest(F.lit(MIN_KM_PER_LON_DEGREE), F.cos(F.radians(lat)) * KM_PER_LON_DEGREE)
-
-
-def h3_encoder(resolution: int = DEFAULT_RESOLUTION) -> Callable[[Column, Column], Column] | None:
-    """Arrow-batched adapter to the ``h3`` package (major versions 3 and 4), None when it is absent."""
-    try:
-        import h3
-    except ImportError:
-        return None
-    encode = getattr(h3, "latlng_to_cell", None) or getattr(h3, "geo_to_h3")
-
-    def one(lat: float, lng: float) -> str | None:
-        if not (math.isfinite(lat) and math.isfinite(lng) and abs(lat) <= 90 and abs(lng) <= 180):
-            return None
-        return encode(lat, lng, resolution)
-
-    @F.pandas_udf("string")
-    def h3_cell(lat: pd.Series, lng: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(lat, lng)], dtype="object")
-
-    return h3_cell

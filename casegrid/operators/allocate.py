@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casegrid.operators.joins import join_checked
+from casegrid.operators.joins import join_groups
 from casegrid.operators.ranking import distributed_row_number
 
 
@@ -12,15 +12,20 @@ def weight_share(df: DataFrame, groups: list[str], weight: str, name: str = "sha
     """Weight divided by the group's sum; equal shares where the sum is not positive.
 
     The sums are aggregated (combining before the shuffle) and joined back, so a group of any size
-    stays spread over the tasks it was in. Runs a job for the sums.
+    can stay spread over the tasks it was in. Rows whose group is NULL are a group of their own.
     """
     sums = df.groupBy(*groups).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
     share = F.when(F.col("_sum") > 0, F.col(weight) / F.col("_sum")).otherwise(F.lit(1.0) / F.col("_n"))
-    return join_checked(df, sums, groups).withColumn(name, share.cast("double")).drop("_sum", "_n")
+    return join_groups(df, sums, groups).withColumn(name, share.cast("double")).drop("_sum", "_n")
+
+
+# Digits after the point of a unit's exact part. A sum of doubles depends on the order of the rows in
+# its last digits; rounded, equal fractions stay equal from run to run.
+DIGITS = 9
 
 
 def _parts(share: Column, total: Column) -> dict[str, Column]:
-    raw = share * F.greatest(total, F.lit(0))
+    raw = F.round(share * F.greatest(total, F.lit(0)), DIGITS)
     return {"_floor": F.floor(raw).cast("bigint"), "_fraction": raw - F.floor(raw)}
 
 
@@ -45,34 +50,7 @@ def allocate(
     given = ranked.groupBy(*groups).agg(F.sum("_floor").alias("_given"))
     left = F.greatest(F.col(total), F.lit(0)) - F.col("_given")
     extra = (F.col("_rank") <= left).cast("bigint")
-    return join_checked(ranked, given, groups).withColumn(name, F.col("_floor") + extra).select(*df.columns, name)
-
-
-def allocate_small_groups(
-    df: DataFrame,
-    groups: list[str],
-    weight: str,
-    total: str,
-    order: list[str],
-    name: str = "allocated",
-) -> DataFrame:
-    """:func:`allocate` for groups whose size is fixed by design (days of a window, demographics).
-
-    One shuffle and one sort for all steps; lazy.
-    """
-    whole = Window.partitionBy(*groups)
-    share = F.when(F.sum(weight).over(whole) > 0, F.col(weight) / F.sum(weight).over(whole)).otherwise(
-        F.lit(1.0) / F.count("*").over(whole)
-    )
-    shared = df.withColumn("_share", share.cast("double")).withColumns(_parts(F.col("_share"), F.col(total)))
-    by_fraction = Window.partitionBy(*groups).orderBy(F.col("_fraction").desc(), *[F.col(c) for c in order])
-    left = F.greatest(F.col(total), F.lit(0)) - F.sum("_floor").over(whole)
-    return (
-        shared.withColumn("_rank", F.row_number().over(by_fraction))
-        .withColumn("_left", left)
-        .withColumn(name, F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("bigint"))
-        .select(*df.columns, name)
-    )
+    return join_groups(ranked, given, groups).withColumn(name, F.col("_floor") + extra).select(*df.columns, name)
 
 
 def allocate_with_subgroup(
@@ -106,6 +84,20 @@ def demographic_grid(
     return df.select("*", F.inline(F.array(*entries)))
 
 
+def _allocate_grid(df: DataFrame, row: list[str], weight: str, total: str, order: str, name: str) -> DataFrame:
+    """:func:`allocate` within the rows that :func:`demographic_grid` made of one row.
+
+    Their number is that of the literal grid and their weights sum to 1, so one window suffices.
+    """
+    parts = df.withColumns(_parts(F.col(weight), F.col(total)))
+    whole = Window.partitionBy(*row)
+    left = F.greatest(F.col(total), F.lit(0)) - F.sum("_floor").over(whole)
+    rank = F.row_number().over(whole.orderBy(F.col("_fraction").desc(), order))
+    return parts.withColumns({"_rank": rank, "_left": left}).withColumn(
+        name, F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("bigint")
+    ).select(*df.columns, name)
+
+
 def hierarchical_allocation(
     units: DataFrame,
     unit: str,
@@ -119,12 +111,12 @@ def hierarchical_allocation(
     ``day_weights`` has ``{unit}, date_key, day_weight``: the active days of every unit.
     """
     positive = units.where(F.col(total) > 0).select(unit, total)
-    per_day = allocate_small_groups(
+    per_day = allocate(
         positive.join(day_weights, unit), [unit], "day_weight", total, ["date_key"], "day_total"
     ).where("day_total > 0").select(unit, "date_key", "day_total")
     split = demographic_grid(per_day, age_weights, gender_weights, "demo_weight")
     return (
-        allocate_small_groups(split, [unit, "date_key"], "demo_weight", "day_total", ["demo_idx"], "case_count")
+        _allocate_grid(split, [unit, "date_key"], "demo_weight", "day_total", "demo_idx", "case_count")
         .where("case_count > 0")
         .select(unit, "date_key", "age_group", "gender", "case_count")
     )

@@ -50,7 +50,7 @@ def _is_settled(links: DataFrame) -> bool:
     return degrees.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(src, dst)``; the component is its smallest node.
 
     Node ids are any orderable type. The number of rounds grows with the logarithm of the longest
@@ -59,11 +59,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = cut_lineage(edges.select("src", "dst").distinct())
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     links = links.where("src <> dst")
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         links = cut_lineage(_small_star(_large_star(links)))
-        if _is_settled(links):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        settled = _is_settled(links)
     labels = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

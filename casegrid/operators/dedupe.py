@@ -86,15 +86,10 @@ def changed_rows(before: DataFrame, after: DataFrame, ignore: tuple[str, ...] =
 
 
 def cap_per_group(df: DataFrame, group: str, limit: int, order: list[Column]) -> DataFrame:
-    """The first ``limit`` rows of each group (a fetch cap).
+    """The first ``limit`` rows of each group (a fetch cap), in an order without ties.
 
-    Spark drops the losers before the shuffle up to a limit of a thousand. Above it the rows are
-    numbered without gathering a group in one task, which runs a job and needs a total order.
+    Numbered without gathering a group in one task, whatever its size and the limit. Runs a job.
     """
-    if limit > 1000:
-        from casegrid.operators.ranking import distributed_row_number
+    from casegrid.operators.ranking import distributed_row_number
 
-        ranked = distributed_row_number(df, order, [group], "_rank")
-    else:
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+    return distributed_row_number(df, order, [group], "_rank").where(F.col("_rank") <= limit).drop("_rank")

@@ -92,19 +92,21 @@ def touched_regions(
     after: tuple[DataFrame, DataFrame],
     as_of: dt.date,
     resolution: int = geo.DEFAULT_RESOLUTION,
+    before_as_of: dt.date | None = None,
 ) -> DataFrame:
     """(code, day, cell) groups a changed patient or condition belonged to before or belongs to now.
 
-    ``before`` and ``after`` are (conditions, patients).
+    ``before`` and ``after`` are (conditions, patients). ``before_as_of`` is the day the ages of the
+    existing fact were taken on: a patient who has aged into another group since is a changed one.
     """
     sides = [
         (
             conditions.select(
                 "condition_id", "patient_id", "condition_code", F.col("condition_date").cast("date").alias("day")
             ),
-            located_patients(patients, as_of, resolution),
+            located_patients(patients, day, resolution),
         )
-        for conditions, patients in (before, after)
+        for (conditions, patients), day in ((before, before_as_of or as_of), (after, as_of))
     ]
     (old_conditions, old_patients), (new_conditions, new_patients) = sides
     changed_conditions = changed_rows(old_conditions, new_conditions).select("condition_id").distinct()

@@ -11,7 +11,7 @@ from casegrid import schemas
 from casegrid.functions import geo
 from casegrid.functions.dates import clamp_window, normalize_date_key, shift_date_key
 from casegrid.functions.text import json_string_array, with_default
-from casegrid.operators.joins import join_checked
+from casegrid.operators.joins import join_groups
 
 # Accepted spellings of each column, best first.
 FACT_ALIASES = {
@@ -192,7 +192,7 @@ def window_rows(fact: DataFrame, days, condition_code: str | None, today: dt.dat
         return fact.where((F.col("condition_code") == condition_code) & bounds)
     anchors = latest_dates(fact).withColumn("start_date", shift_date_key(F.col("latest_date"), back, today))
     inside = F.col("date_key").between(F.col("start_date"), F.col("latest_date"))
-    return join_checked(fact, anchors, ["condition_code"]).where(inside).drop("start_date", "latest_date")
+    return join_groups(fact, anchors, ["condition_code"]).where(inside).drop("start_date", "latest_date")
 
 
 def with_geography(points: DataFrame, cells: DataFrame, code: str = "h3") -> DataFrame:

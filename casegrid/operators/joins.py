@@ -1,23 +1,19 @@
-"""Joins with a side whose size is checked first."""
+"""Joins of rows with what was aggregated of their groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from casegrid.session import cut_lineage
+from functools import reduce
 
-# Rows of a few short columns: well below a hundred megabytes in memory.
-BROADCAST_ROWS = 500_000
+from pyspark.sql import DataFrame, functions as F
 
 
-def join_checked(
-    df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join with a side that is expected to be small, such as totals per group.
+def join_groups(df: DataFrame, groups_df: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a frame of one row per group; NULL is a group like any other.
 
-    The small side is computed once, into the checkpoint folder, and counted. Up to ``max_rows`` it
-    is broadcast, and ``df`` keeps its partitioning however uneven the groups are. Beyond that it is
-    an ordinary shuffled join, whose oversized partitions AQE splits. Runs a job.
+    How the join is done is left to the adaptive planner, which knows the measured bytes: a small
+    side is broadcast, otherwise oversized partitions of ``df`` are split.
     """
-    small = cut_lineage(small)
-    return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+    keys = {c: f"_group_{i}" for i, c in enumerate(on)}
+    right = groups_df.select(*[F.col(c).alias(k) for c, k in keys.items()], *[c for c in groups_df.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return df.join(right, same, how).drop(*keys.values())

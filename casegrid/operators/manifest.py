@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from casegrid.sources import fs
+
 
 def read_manifest(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """Relative path, size, modification second and content hash of every matching file below ``root``."""
@@ -11,7 +13,8 @@ def read_manifest(spark: SparkSession, root: str, pattern: str = "*.parquet") ->
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(root)
     )
-    relative = F.substring_index(F.col("path"), root.rstrip("/").split("/")[-1] + "/", -1)
+    base = fs.qualified(spark, root).rstrip("/") + "/"
+    relative = F.substr(F.col("path"), F.lit(len(base) + 1))
     return files.select(
         relative.alias("path"),
         F.col("length").alias("size"),

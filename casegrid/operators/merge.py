@@ -7,10 +7,6 @@ days_with_cases, condition_display``. Points that come from a cell-binned fact a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casegrid.functions import geo, severity
@@ -158,107 +154,3 @@ def merge_hotspots(points: DataFrame, zoom: float) -> DataFrame:
         .withColumn("lon", F.when(F.col("lon") > 180.0, F.col("lon") - 360.0).otherwise(F.col("lon")))
         .withColumnRenamed("component", "h3")
     )
-
-
-# --- order-dependent merge ------------------------------------------------------------------------
-
-GREEDY_SCHEMA = (
-    "condition_code string, h3 string, lat double, lon double, cases bigint, original_cases bigint,"
-    " days_with_cases bigint, latest_date string, merged_count bigint"
-)
-
-
-def _slabs(points: DataFrame, zoom: float) -> DataFrame:
-    """Adds ``_slab``: runs of latitude bands without an empty band in between.
-
-    A band is as high as the latitude limit, so no merge can reach over an empty one and slabs are
-    independent. The window runs over the occupied bands of a condition, at most 180 degrees' worth.
-    """
-    height = severity.max_threshold_km(zoom) / geo.KM_PER_LAT_DEGREE
-    banded = points.withColumn("_band", F.floor((F.col("lat") + 90.0) / height).cast("int"))
-    occupied = banded.select("condition_code", "_band").distinct()
-    by_band = Window.partitionBy("condition_code").orderBy("_band")
-    starts = (F.col("_band") - F.lag("_band", 1, -9).over(by_band) > 1).cast("int")
-    slabs = occupied.withColumn("_start", starts).withColumn("_slab", F.sum("_start").over(by_band))
-    return banded.join(slabs.drop("_start"), ["condition_code", "_band"]).drop("_band")
-
-
-def merge_hotspots_greedy(
-    points: DataFrame, zoom: float, resolution: int = geo.DEFAULT_RESOLUTION
-) -> DataFrame:
-    """Seed-by-seed merge in latitude order with a growing centre, like an interactive map does it.
-
-    The outcome depends on the order, so a slab is processed by one task. Its size is limited by the
-    cell grid, not by the data; points that are not on the grid of ``resolution`` are refused.
-    """
-    limit = geo.cell_count(resolution)
-
-    def merge_slab(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"{len(pdf)} points in one slab, the grid has {limit} cells; bin the points first")
-        return pd.DataFrame(list(_greedy(pdf, zoom)), columns=[f.split()[0] for f in GREEDY_SCHEMA.split(", ")])
-
-    collapsed = collapse_coordinates(points).select(
-        "condition_code", "h3", "lat", "lon", "cases", "original_cases", "days_with_cases", "latest_date"
-    )
-    return _slabs(collapsed, zoom).groupBy("condition_code", "_slab").applyInPandas(merge_slab, GREEDY_SCHEMA)
-
-
-def _greedy(pdf: pd.DataFrame, zoom: float, chunk: int = 512) -> Iterator[tuple]:
-    """Rows of the merged hotspots of one slab.
-
-    Candidates are tested a chunk at a time with numpy; each hit moves the centre, after which the
-    rest is tested again from the next candidate on.
-    """
-    pdf = pdf.sort_values(["lat", "h3"], kind="stable")
-    lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
-    cases = pdf["cases"].to_numpy(float)
-    radius = severity.radius_m_at(cases, zoom) / 1000
-    weight = np.maximum(1.0, cases) ** severity.CENTER_WEIGHT_POWER
-    base, limit = severity.base_threshold_km(zoom), severity.max_threshold_km(zoom)
-    max_lat = limit / geo.KM_PER_LAT_DEGREE
-    free = np.ones(len(pdf), bool)
-    rows = pdf.to_dict("records")
-    for seed, row in enumerate(rows):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        members = [seed]
-        c_lat, c_lon, c_cases, c_radius, c_weight = lat[seed], lon[seed], cases[seed], radius[seed], weight[seed]
-        km_per_lon = max(geo.MIN_KM_PER_LON_DEGREE, geo.KM_PER_LON_DEGREE * np.cos(np.radians(lat[seed])))
-        max_lon = min(180.0, limit / km_per_lon)
-        at = seed + 1
-        while at < len(rows) and lat[at] - c_lat <= max_lat:
-            idx = np.arange(at, min(at + chunk, len(rows)))
-            idx = idx[free[idx]]
-            gap = np.abs(lon[idx] - c_lon)
-            near = (lat[idx] - c_lat <= max_lat) & (np.where(gap > 180, 360 - gap, gap) <= max_lon)
-            idx = idx[near]
-            hit = idx[_distance_km(c_lat, c_lon, lat[idx], lon[idx]) <= np.maximum(base, c_radius + radius[idx])]
-            if not len(hit):
-                at += chunk
-                continue
-            j = hit[0]
-            free[j] = False
-            members.append(j)
-            total = c_weight + weight[j]
-            c_lat = (c_lat * c_weight + lat[j] * weight[j]) / total
-            c_lon = (c_lon * c_weight + lon[j] * weight[j]) / total
-            c_weight, c_cases = total, c_cases + cases[j]
-            c_radius = float(severity.radius_m_at(c_cases, zoom)) / 1000
-            at = j + 1
-        group = [rows[m] for m in members]
-        dates = [g["latest_date"] for g in group if g["latest_date"] is not None]
-        yield (
-            row["condition_code"], row["h3"], float(c_lat), float(c_lon), int(c_cases),
-            int(max(g["original_cases"] for g in group)), int(max(g["days_with_cases"] for g in group)),
-            max(dates, default=None), len(members),
-        )
-
-
-def _distance_km(lat1: float, lon1: float, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + (
-        np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    )
-    a = np.minimum(1.0, a)
-    return 2 * geo.EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a))

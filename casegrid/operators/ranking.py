@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casegrid.operators.joins import join_checked
+from casegrid.operators.joins import join_groups
 from casegrid.session import cut_lineage
 
 
@@ -46,7 +46,7 @@ def position_ratio(
     numbered = distributed_row_number(df, order, groups, "_position")
     if groups:
         sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-        numbered, count = join_checked(numbered, sizes, groups), F.col("_n")
+        numbered, count = join_groups(numbered, sizes, groups), F.col("_n")
     else:
         count = df.agg(F.count("*")).scalar()
     ratio = (F.col("_position") - 1) / F.greatest(count - 1, F.lit(1))
@@ -58,7 +58,7 @@ def largest(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def valid_cities(cities: DataFrame, min_population: int = 50_000) -> DataFrame:
+def valid_cities(cities: DataFrame, min_population: int) -> DataFrame:
     """Anchor cities: readable numbers, coordinates in range, population at least the minimum."""
     number = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("0")).try_cast("double")
     return (
@@ -70,7 +70,7 @@ def valid_cities(cities: DataFrame, min_population: int = 50_000) -> DataFrame:
     )
 
 
-def top_cities(cities: DataFrame, max_cities: int = 10_000, min_population: int = 50_000) -> DataFrame:
+def top_cities(cities: DataFrame, max_cities: int, min_population: int) -> DataFrame:
     """The most populous valid cities, by name on a tie."""
     order = [F.col("population").desc(), F.col("city")]
     return largest(valid_cities(cities, min_population), order, max_cities)

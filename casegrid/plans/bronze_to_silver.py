@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,6 @@ from casegrid.plans.layout import Layout
 from casegrid.sources import bronze, fhir, silver, state
 
 STATE_ID = "silver_latest_run"
-CURSOR = "bronze_to_silver:{table}"
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,27 @@ def extract(delta: DataFrame, resource_type: str, run_time: dt.datetime) -> tupl
     return latest_per_key(usable, key), rejects
 
 
+def unmerged(
+    spark: SparkSession, layout: Layout, resource_type: str, cursors: dict[str, dt.datetime], run: str | None
+) -> tuple[DataFrame, list[str]]:
+    """Rows of a type that no step has merged, and the runs they may be in.
+
+    A named run is read whole, whatever was merged before. Otherwise these are all runs without a
+    cursor, and of the newest merged run the rows that came after its cursor.
+    """
+    landed = bronze.landed_runs(spark, layout.bronze, resource_type)
+    if run is not None:
+        return bronze.read_bronze(spark, layout.bronze, resource_type, run), [run] if run in landed else []
+    merged = [r for r in landed if r in cursors]
+    fresh = [r for r in landed if r not in cursors]
+    rows = bronze.read_bronze(spark, layout.bronze, resource_type)
+    wanted = F.col("run_ts").isin(fresh)
+    if merged:
+        late = bronze.newer_than(F.col("ingestion_timestamp"), cursors[merged[-1]])
+        wanted = wanted | ((F.col("run_ts") == merged[-1]) & late)
+    return rows.where(F.col("run_ts").isin(fresh + merged[-1:])).where(wanted), fresh + merged[-1:]
+
+
 def bronze_to_silver(
     spark: SparkSession,
     layout: Layout,
@@ -48,29 +69,43 @@ def bronze_to_silver(
     silver_ts: str | None = None,
     pipeline_run_id: str | None = None,
 ) -> StepResult:
-    """Merge the new rows of a Bronze run into the five Silver tables and publish the result.
+    """Merge what has landed in Bronze into the five Silver tables and publish the result.
 
-    Each table has its own cursor. The cursors move only after the new state is published, so a
-    failure in between leads to a repeated merge, not to a gap. A table without new rows is carried
-    forward by pointing at its present snapshot; nothing is copied.
+    Without ``bronze_ts`` every run that a table has not merged is read, so that landings which meet
+    one step are not lost; with it that run is read whole. Each table keeps a cursor per run, moved
+    only over runs that were read and only after the new state is published: a failure in between
+    leads to a repeated merge, not to a gap. A table without new rows is carried forward by pointing
+    at its present snapshot. Rejects are written below a name that a repeated step writes again.
     """
-    source = bronze_ts or (state.get_run_state(spark, layout.state, "bronze_latest_run") or {}).get("run_ts")
-    source = source or bronze.latest_run(spark, layout.bronze)
+    try:
+        return _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id)
+    except Exception as error:
+        state.record_job(
+            spark, layout.state, "bronze_to_silver", "failed", 0, run_time, error=str(error)[:1000], pipeline_run_id=pipeline_run_id
+        )
+        raise
+
+
+def _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id) -> StepResult:
+    pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
+    published: dict[str, str] = dict(pointer.get("tables", {}))
+    cursors = state.get_run_cursors(spark, layout.state, [table for table, _, _ in fhir.RESOURCES.values()])
+    pending = {kind: unmerged(spark, layout, kind, cursors.get(table, {}), bronze_ts) for kind, (table, _, _) in fhir.RESOURCES.items()}
+    runs = sorted({run for _, found in pending.values() for run in found}, key=bronze.run_order)
+    source = bronze_ts or (runs[-1] if runs else None)
     if source is None:
         raise FileNotFoundError(f"no Bronze run below {layout.bronze}")
     target = silver_ts or source
-    pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
-    published: dict[str, str] = dict(pointer.get("tables", {}))
-    names = {table: CURSOR.format(table=table) for table, _, _ in fhir.RESOURCES.values()}
-    cursors = state.get_cursors(spark, layout.state, list(names.values()))
-    records, carried, moved = 0, [], {}
+    attempt = f"{target}-{zlib.crc32(repr(sorted((t, sorted(c.items())) for t, c in cursors.items())).encode()):08x}"
+    records, carried, moved, metrics = 0, [], {}, []
     for resource_type, (table, key, _) in fhir.RESOURCES.items():
-        delta = bronze.read_bronze(
-            spark, layout.bronze, resource_type, source, since=cursors.get(names[table])
-        )
-        # One pass over a single timestamp column answers "anything new?", the count and the cursor.
-        arrived = delta.agg(F.count("*").alias("rows"), F.max("ingestion_timestamp").alias("newest")).first()
-        if arrived["rows"] == 0:
+        delta, _ = pending[resource_type]
+        # One pass over two narrow columns answers "anything new?", the counts and the cursors.
+        arrived = {
+            r["run_ts"]: (r["rows"], r["newest"])
+            for r in delta.groupBy("run_ts").agg(F.count("*").alias("rows"), F.max("ingestion_timestamp").alias("newest")).collect()
+        }
+        if not arrived:
             carried.append(table)
             continue
         base = (
@@ -81,16 +116,20 @@ def bronze_to_silver(
         fresh, rejects = extract(delta, resource_type, run_time)
         merged = fresh if base is None else merge_snapshot(base, fresh, key)
         published[table] = silver.write_snapshot(merged, layout.silver, table, target)
-        rejects.write.mode("append").parquet(f"{layout.rejects}/{table}")
-        moved[names[table]] = arrived["newest"]
-        records += arrived["rows"]
+        refused = f"{layout.rejects}/{table}/batch={attempt}"
+        rejects.write.mode("overwrite").parquet(refused)
+        rows = sum(n for n, _ in arrived.values())
+        metrics += [(table, "rows", rows), (table, "rejects", spark.read.parquet(refused).count())]
+        moved[table] = {run: newest for run, (_, newest) in arrived.items()}
+        records += rows
     state.set_run_state(
         spark, layout.state, STATE_ID, target, run_time,
         bronze_ts=source, pipeline_run_id=pipeline_run_id, tables=published,
     )
-    state.set_cursors(spark, layout.state, moved, run_time)
+    state.set_run_cursors(spark, layout.state, moved, run_time)
+    state.record_quality(spark, layout.state, metrics, run_time)
     state.record_job(
         spark, layout.state, "bronze_to_silver", "completed", records, run_time,
-        pipeline_run_id=pipeline_run_id, details={"bronze_ts": source, "silver_ts": target},
+        pipeline_run_id=pipeline_run_id, details={"bronze_ts": source, "silver_ts": target, "runs": runs},
     )
     return StepResult(target, records, published, carried)

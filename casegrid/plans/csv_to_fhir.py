@@ -64,14 +64,24 @@ def wanted(rows: DataFrame, id_column: str, selected: DataFrame, ref_column: str
 
 
 def with_parents(selected: DataFrame, patients: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Conditions whose patient and encounter both exist, with the parents' columns prefixed."""
-    p = patients.select(F.trim("Id").alias("patient_id"), *[F.col(c).alias(f"p_{c}") for c in patients.columns])
-    e = encounters.select(F.trim("Id").alias("encounter_id"), *[F.col(c).alias(f"e_{c}") for c in encounters.columns])
-    p = p.dropDuplicates(["patient_id"])
-    e = e.dropDuplicates(["encounter_id"])
+    """Conditions whose patient and encounter both exist, with the parents' columns prefixed.
+
+    Of several rows with one id the last of the file counts, where the parents are numbered
+    (``source_index``, see :func:`number_rows`), and otherwise the one with the largest content.
+    """
+    p, e = _last(patients, "patient_id", "p_"), _last(encounters, "encounter_id", "e_")
     return selected.join(p, "patient_id").join(e, "encounter_id")
 
 
+def _last(parents: DataFrame, key: str, prefix: str) -> DataFrame:
+    """One row per id, found by an aggregate that combines before the shuffle."""
+    columns = [c for c in parents.columns if c != "source_index"]
+    order = [F.col("source_index")] if "source_index" in parents.columns else []
+    last = F.max_by(F.struct(*columns), F.struct(*order, *columns)).alias("_row")
+    rows = parents.groupBy(F.trim("Id").alias(key)).agg(last)
+    return rows.select(key, *[F.col(f"_row.{c}").alias(f"{prefix}{c}") for c in columns])
+
+
 def orphans(selected: DataFrame, patients: DataFrame, encounters: DataFrame) -> DataFrame:
     """Conditions that miss a parent."""
     p = patients.select(F.trim("Id").alias("patient_id"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from casegrid import schemas
 from casegrid.functions import geo
 from casegrid.operators import gold as ops
+from casegrid.operators.quality import unlocated_patients
 from casegrid.plans.bronze_to_silver import silver_table
 from casegrid.plans.layout import Layout
 from casegrid.sources import gold, silver, state
@@ -37,23 +39,40 @@ def silver_to_gold(
         raise FileNotFoundError("patient or condition snapshot is missing")
     fact = ops.gold_fact(conditions, patients, as_of, resolution)
     if parity:
-        fact = ops.upsert_fact(gold.read_fact(spark, layout.gold), fact)
+        published = read_published(spark, layout)
+        fact = ops.upsert_fact(published and published["fact"], fact)
     labels = None if parity else ops.condition_labels(conditions)
-    return publish(spark, layout, fact, labels, run_time, parity, pipeline_run_id)
+    counts = unlocated_patients(patients).first()
+    state.record_quality(spark, layout.state, [("patient", name, counts[name]) for name in ("patients", "unlocated")], run_time)
+    return publish(spark, layout, fact, labels, run_time, parity, as_of, pipeline_run_id)
 
 
-def publish(spark, layout, fact, labels, run_time, keep_old_dimensions, pipeline_run_id=None) -> str:
-    """Write fact, then dimensions from the written fact, then the run state."""
+def read_published(spark: SparkSession, layout: Layout, condition_code: str | None = None) -> dict[str, DataFrame] | None:
+    """Fact and dimensions of the published state, all of one publication; None before the first."""
+    pointer = state.get_run_state(spark, layout.state, STATE_ID)
+    if pointer is None:
+        return None
+    fact = spark.read.schema(schemas.GOLD_FACT).parquet(pointer["path"])
+    if condition_code is not None:
+        fact = fact.where(F.col("condition_code") == condition_code)
+    kinds = {gold.CONDITIONS: schemas.CONDITIONS_DIM, gold.CELLS: schemas.CELLS_DIM}
+    return {"fact": fact} | {k: spark.read.schema(s).parquet(pointer["dimensions"][k]) for k, s in kinds.items()}
+
+
+def publish(spark, layout, fact, labels, run_time, keep_old_dimensions, as_of, pipeline_run_id=None) -> str:
+    """Write fact, then dimensions from the written fact, then one state row that names all three."""
+    before = read_published(spark, layout) if keep_old_dimensions else None
     path = gold.write_fact(fact, layout.gold)
-    written = gold.read_fact(spark, layout.gold)
-    old = [
-        gold.read_dimension(spark, layout.gold, name) if keep_old_dimensions else None
-        for name in (gold.CONDITIONS, gold.CELLS)
-    ]
+    written = spark.read.schema(schemas.GOLD_FACT).parquet(path)
+    old = [before[name] if before else None for name in (gold.CONDITIONS, gold.CELLS)]
     stamp = run_time.isoformat()
-    gold.write_dimension(ops.conditions_dim(written, stamp, labels, old[0]), layout.gold, gold.CONDITIONS)
-    gold.write_dimension(ops.cells_dim(written, stamp, old[1]), layout.gold, gold.CELLS)
-    state.set_run_state(spark, layout.state, STATE_ID, path.rsplit("=", 1)[-1], run_time, path=path)
+    dimensions = {
+        gold.CONDITIONS: gold.write_dimension(ops.conditions_dim(written, stamp, labels, old[0]), layout.gold, gold.CONDITIONS),
+        gold.CELLS: gold.write_dimension(ops.cells_dim(written, stamp, old[1]), layout.gold, gold.CELLS),
+    }
+    state.set_run_state(
+        spark, layout.state, STATE_ID, path.rsplit("=", 1)[-1], run_time, path=path, dimensions=dimensions, as_of=as_of.isoformat()
+    )
     cases = written.groupBy().sum("case_count").first()[0] or 0
     state.record_job(
         spark, layout.state, "silver_to_gold", "completed", cases, run_time, pipeline_run_id=pipeline_run_id
@@ -70,9 +89,11 @@ def refresh_gold(
     run_time: dt.datetime,
     resolution: int = geo.DEFAULT_RESOLUTION,
 ) -> str:
-    """Recount only the groups touched between two published Silver states (table -> path)."""
-    from casegrid import schemas
+    """Recount only the groups touched between two published Silver states (table -> path).
 
+    The old side is seen as of the day the published fact was counted for, so patients who aged into
+    another group since are recounted too.
+    """
     def pair(paths):
         return tuple(
             spark.read.schema(schemas.SILVER[t]).parquet(paths[t]) if t in paths else silver.empty(spark, t)
@@ -80,10 +101,11 @@ def refresh_gold(
         )
 
     old, new = pair(before), pair(after)
-    existing = gold.read_fact(spark, layout.gold)
-    if existing is None:
+    pointer = state.get_run_state(spark, layout.state, STATE_ID)
+    if pointer is None or "as_of" not in pointer:
         fact = ops.gold_fact(*new, as_of, resolution)
     else:
-        touched = ops.touched_regions(old, new, as_of, resolution)
+        existing = spark.read.schema(schemas.GOLD_FACT).parquet(pointer["path"])
+        touched = ops.touched_regions(old, new, as_of, resolution, dt.date.fromisoformat(pointer["as_of"]))
         fact = ops.recount_regions(existing, touched, *new, as_of, resolution)
-    return publish(spark, layout, fact, ops.condition_labels(new[0]), run_time, False)
+    return publish(spark, layout, fact, ops.condition_labels(new[0]), run_time, False, as_of)

@@ -27,8 +27,9 @@ def _largest_remainder(units: str, group: str, order: str, unit_columns: str) ->
     return f"""
     u AS ({units}),
     s AS (SELECT *, sum(weight) OVER (PARTITION BY {group}) AS w, count(*) OVER (PARTITION BY {group}) AS n FROM u),
-    r AS (SELECT *, CASE WHEN w > 0 THEN weight / w ELSE 1e0 / n END * greatest(total, 0) AS raw FROM s),
-    f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS base, raw - floor(raw) AS fraction FROM r),
+    r AS (SELECT *, CASE WHEN w > 0 THEN weight / w ELSE 1e0 / n END * greatest(total, 0) AS exact FROM s),
+    e AS (SELECT *, round(exact, 9) AS raw FROM r),
+    f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS base, raw - floor(raw) AS fraction FROM e),
     k AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY fraction DESC, {order}) AS rank,
                  greatest(total, 0) - sum(base) OVER (PARTITION BY {group}) AS remainder FROM f),
     allocated AS (SELECT {unit_columns}, base + CASE WHEN rank <= remainder THEN 1 ELSE 0 END AS allocated FROM k)"""
@@ -53,7 +54,7 @@ def proportional_allocation_small_groups(spark, sf):
     units = table(spark, sf, "events").select(
         "event_id", "user_id", F.col("value").alias("weight"), (F.col("user_id") % 5 * 100).alias("total")
     )
-    given = allocate.allocate_small_groups(units, ["user_id"], "weight", "total", ["event_id"])
+    given = allocate.allocate(units, ["user_id"], "weight", "total", ["event_id"])
     return given.groupBy("user_id").agg(F.count("*").alias("units"), F.sum("allocated").alias("allocated"))
 
 
@@ -82,7 +83,7 @@ _GENDERS = {"male": 1.0, "female": 1.0}
     grid AS (SELECT * FROM (VALUES (0, '0-17', 'male', 0.0625e0), (1, '0-17', 'female', 0.0625e0), (2, '18-34', 'male', 0.25e0),
         (3, '18-34', 'female', 0.25e0), (4, '35-54', 'male', 0.125e0), (5, '35-54', 'female', 0.125e0),
         (6, '55+', 'male', 0.0625e0), (7, '55+', 'female', 0.0625e0)) g(demo_idx, age_group, gender, share)),
-    raws AS (SELECT l_orderkey, date_key, day_total, demo_idx, age_group, gender, share * day_total AS raw
+    raws AS (SELECT l_orderkey, date_key, day_total, demo_idx, age_group, gender, round(share * day_total, 9) AS raw
              FROM per_day, grid WHERE day_total > 0),
     floors AS (SELECT *, CAST(floor(raw) AS BIGINT) AS base FROM raws),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, date_key ORDER BY raw - base DESC, demo_idx) AS rank,
@@ -128,7 +129,7 @@ def surrogate_ids(spark, sf):
     WHERE population >= 50000 AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180
     ORDER BY population DESC, city LIMIT 10000""")
 def top_cities(spark, sf):
-    return ranking.top_cities(data.cities(spark, sf))
+    return ranking.top_cities(data.cities(spark, sf), max_cities=10_000, min_population=50_000)
 
 
 @query("time_remap", sql="""

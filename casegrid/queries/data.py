@@ -17,6 +17,7 @@ from casegrid.sources import fhir
 from casegrid.sources import gold as gold_store
 
 AS_OF = dt.date(2001, 8, 2)
+LATER = dt.date(2003, 1, 15)  # of a second publication: everybody is older
 RUN_TIME = dt.datetime(2024, 2, 1, 12, 0, 0)
 STAMP = RUN_TIME.isoformat()
 RUN_1, RUN_2 = "1706745600000", "1706832000000"  # 2024-02-01 and 2024-02-02, 00:00 UTC
@@ -166,17 +167,8 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Bronze rows --------------------------------------------------------------------------------
 
 
-def spread(df: DataFrame, key: Column) -> DataFrame:
-    """All cores for JSON work on a table that is read by fewer tasks (one row group is one task).
-
-    Larger tables already have more tasks than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _bronze(df: DataFrame, resource_type: str, resource: Column, resource_id: Column, stamp: Column) -> DataFrame:
-    return spread(df, resource_id).select(
+    return df.select(
         resource_id.alias("resource_id"),
         stamp.alias("ingestion_timestamp"),
         F.to_json(resource).alias("resource_json"),
@@ -312,9 +304,9 @@ AGE_SQL = (
 )
 
 
-def age_sql(dob: str) -> str:
+def age_sql(dob: str, day: dt.date = AS_OF) -> str:
     born = f"TRY_CAST({dob} AS DATE)"
-    age = f"(2001 - year({born}) - CASE WHEN '0802' < strftime({born}, '%m%d') THEN 1 ELSE 0 END)"
+    age = f"({day.year} - year({born}) - CASE WHEN '{day:%m%d}' < strftime({born}, '%m%d') THEN 1 ELSE 0 END)"
     return AGE_SQL.format(age=age)
 
 
@@ -332,13 +324,13 @@ def haversine_sql(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
     )
 
 
-def fact_sql(condition_table: str, patient_table: str) -> str:
+def fact_sql(condition_table: str, patient_table: str, day: dt.date = AS_OF) -> str:
     return f"""
         SELECT c.condition_code, c.date_key, p.h3, p.age_group, p.gender, count(*) AS case_count,
                min(p.city) AS city, min(p.state) AS state
         FROM {condition_table} c JOIN (
             SELECT patient_id, city, state, {cell_sql('latitude', 'longitude')} AS h3,
-                   {age_sql('dob')} AS age_group, {gender_sql('gender')} AS gender
+                   {age_sql('dob', day)} AS age_group, {gender_sql('gender')} AS gender
             FROM {patient_table} WHERE latitude IS NOT NULL AND longitude IS NOT NULL
         ) p ON p.patient_id = c.patient_id
         GROUP BY ALL"""

@@ -56,16 +56,16 @@ def gold_upsert(spark, sf):
     WITH moved AS (SELECT * REPLACE (CASE WHEN CAST(patient_id AS BIGINT) % 7 = 0 THEN latitude + 1 ELSE latitude END AS latitude)
                    FROM patients),
     kept AS (SELECT * FROM conditions WHERE CAST(condition_id AS BIGINT) % 11 <> 0)
-    {data.fact_sql('kept', 'moved')}""")
+    {data.fact_sql('kept', 'moved', data.LATER)}""")
 def gold_refresh(spark, sf):
-    """Patients move and conditions vanish: only touched groups are recounted, emptied groups go."""
+    """Patients move and age, conditions vanish: only touched groups are recounted, emptied groups go."""
     people, rows = data.patients(spark, sf), data.conditions(spark, sf)
     k = F.col("patient_id").cast("bigint")
     moved = people.withColumn("latitude", F.when(k % 7 == 0, F.col("latitude") + 1).otherwise(F.col("latitude")))
     kept = rows.where(F.col("condition_id").cast("bigint") % 11 != 0)
-    touched = gold.touched_regions((rows, people), (kept, moved), data.AS_OF)
+    touched = gold.touched_regions((rows, people), (kept, moved), data.LATER, before_as_of=data.AS_OF)
     return gold.recount_regions(
-        gold.gold_fact(rows, people, data.AS_OF), touched, kept, moved, data.AS_OF
+        gold.gold_fact(rows, people, data.AS_OF), touched, kept, moved, data.LATER
     )
 
 

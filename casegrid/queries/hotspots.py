@@ -235,10 +235,3 @@ _WEIGHT = "power(p.cases, 1.25e0)"
 def hotspot_components(spark, sf):
     merged = merge.merge_hotspots(data.world_points(spark, sf), _WORLD_ZOOM)
     return merged.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})
-
-
-@query("hotspot_merge_greedy")
-def hotspot_merge_greedy(spark, sf):
-    """Order-dependent, so without an SQL form; the tests compare it with a plain pairwise version."""
-    merged = merge.merge_hotspots_greedy(_scaled_points(spark, sf), _ZOOM)
-    return merged.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})

@@ -175,20 +175,21 @@ def jsonl_sink(spark, sf):
 
 
 @query("json_metadata", "fact", sql="""
-    SELECT h3, CAST(sum(case_count) AS BIGINT) AS cases, count(*) OVER () AS total_unique FROM fact GROUP BY h3""")
+    SELECT 'cell' AS kind, h3 AS id, CAST(sum(case_count) AS BIGINT) AS cases, count(*) OVER () AS total_unique FROM fact GROUP BY h3
+    UNION ALL
+    SELECT 'condition', condition_code, CAST(sum(case_count) AS BIGINT), count(*) OVER () FROM fact GROUP BY condition_code""")
 def json_metadata(spark, sf):
-    """Both documents written as text; the cell document joined back to the fact it describes."""
-    fact = data.fact(spark, sf)
+    """Both dimensions written as JSON lines and read back; cells joined to the fact they describe."""
+    fact = data.published_fact(spark, sf)
     cells, conditions = scratch_path(spark, "cells"), scratch_path(spark, "conditions")
-    exports.write_document(exports.cells_document(gold.cells_dim(fact, data.STAMP), data.STAMP), cells)
-    exports.write_document(exports.conditions_document(gold.conditions_dim(fact, data.STAMP), data.STAMP), conditions)
-    assert spark.read.text(conditions).count() == 1
-    shape = "h3_cells map<string,struct<latitude:double,longitude:double>>, total_unique bigint"
-    known = spark.read.text(cells).withColumn("d", F.from_json("value", shape)).select(
-        F.explode("d.h3_cells").alias("h3", "centre"), F.col("d.total_unique").alias("total_unique")
-    )
+    exports.write_lines(exports.cells_lines(gold.cells_dim(fact, data.STAMP), data.STAMP), cells)
+    exports.write_lines(exports.conditions_lines(gold.conditions_dim(fact, data.STAMP), data.STAMP), conditions)
+    known = spark.read.schema("h3 string, latitude double, longitude double, total_unique bigint").json(cells)
+    codes = spark.read.schema("condition_code string, patient_count bigint, total_unique bigint").json(conditions)
     totals = fact.groupBy("h3").agg(F.sum("case_count").alias("cases"))
-    return totals.join(known, "h3").select("h3", "cases", "total_unique")
+    return totals.join(known.where("latitude is not null"), "h3").select(F.lit("cell").alias("kind"), F.col("h3").alias("id"), "cases", "total_unique").unionByName(
+        codes.select(F.lit("condition").alias("kind"), F.col("condition_code").alias("id"), F.col("patient_count").alias("cases"), "total_unique")
+    )
 
 
 @query("csv_scan", "conditions", sql="""

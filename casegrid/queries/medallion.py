@@ -222,6 +222,29 @@ def incremental_step(spark, sf):
     return rows.select("patient_id", "name", iso_utc(F.col("created_at")).alias("created_at"))
 
 
+@query("incremental_backlog", "patients", sql="""
+    SELECT patient_id, CASE CAST(patient_id AS BIGINT) % 4 WHEN 0 THEN 'second ' WHEN 1 THEN 'third ' WHEN 2 THEN 'late ' ELSE '' END || name AS name
+    FROM patients""")
+def incremental_backlog(spark, sf):
+    """Three landings meet one step, and an older landing that came late is named in another one."""
+    layout, people = Layout(scratch_path(spark, "backlog")), data.patients(spark, sf)
+    renamed = lambda k, word: people.where(F.col("patient_id").cast("bigint") % 4 == k).withColumn("name", F.concat(F.lit(word + " "), "name"))
+
+    def land(rows, run_ts, day, month):
+        stamped = data.patient_bronze(spark, sf, rows).withColumn(
+            "resource_json", F.regexp_replace("resource_json", '"lastUpdated":"2024-01', f'"lastUpdated":"2024-{month}')
+        )
+        bronze.write_bronze(bronze.bronze_rows(stamped, run_ts, dt.datetime(2024, 2, day, 6)), layout.bronze)
+
+    land(people, data.RUN_1, 1, "01")
+    land(renamed(0, "second"), data.RUN_2, 2, "03")
+    land(renamed(1, "third"), "manual", 3, "03")
+    bronze_to_silver(spark, layout, dt.datetime(2024, 2, 4, 7))
+    land(renamed(2, "late"), "1700000000000", 1, "03")
+    bronze_to_silver(spark, layout, dt.datetime(2024, 2, 5, 7), "1700000000000")
+    return silver_table(spark, layout, "patient").select("patient_id", "name")
+
+
 @query("carry_forward", "conditions", sql="""
     SELECT condition_id, condition_code, '1706832000000' AS run_ts FROM conditions""")
 def carry_forward(spark, sf):

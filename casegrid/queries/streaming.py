@@ -61,9 +61,9 @@ def stream_upsert(spark, sf):
 @query("stream_gold", "patients", "conditions", sql=f"""
     WITH moved AS (SELECT * REPLACE (CASE WHEN CAST(patient_id AS BIGINT) % 4 = 0 THEN latitude + 2 ELSE latitude END AS latitude,
                                      CASE WHEN dob = 'bad' THEN NULL ELSE dob END AS dob) FROM patients)
-    {data.fact_sql('conditions', 'moved')}""")
+    {data.fact_sql('conditions', 'moved', data.LATER)}""")
 def stream_gold_refresh(spark, sf):
-    """Patients move in the second landing: the groups they left and joined are recounted."""
+    """Patients move in the second landing, and all are older: groups they left and joined are recounted."""
     layout, checkpoint, clock = Layout(scratch_path(spark, "stream")), scratch_path(spark, "stream-checkpoint"), _clock()
     people = data.patients(spark, sf)
     first = data.patient_bronze(spark, sf, people).unionByName(data.condition_bronze(spark, sf))
@@ -71,7 +71,7 @@ def stream_gold_refresh(spark, sf):
     _drain(stream_gold(spark, layout, checkpoint, data.AS_OF, clock=clock))
     moved = people.where(F.col("patient_id").cast("bigint") % 4 == 0).withColumn("latitude", F.col("latitude") + 2)
     _land(layout, _later(data.patient_bronze(spark, sf, moved)), data.RUN_2, dt.datetime(2024, 2, 2, 6))
-    _drain(stream_gold(spark, layout, checkpoint, data.AS_OF, clock=clock))
+    _drain(stream_gold(spark, layout, checkpoint, data.LATER, clock=clock))
     return gold_store.read_fact(spark, layout.gold)
 
 

@@ -34,17 +34,27 @@ def write_bronze(rows: DataFrame, root: str) -> None:
     )
 
 
-def latest_run(spark: SparkSession, root: str) -> str | None:
-    """Largest all-digit run id, from directory names only.
+def run_order(run: str) -> tuple[bool, int, str]:
+    """All-digit run ids by number, after all others by name."""
+    return run.isdigit(), int(run) if run.isdigit() else 0, run
 
-    The ingestion date is derived from the run id, so only the last date of a type is listed.
-    """
-    runs = []
-    for kind in fs.partition_values(spark, root, "resource_type"):
-        days = fs.partition_values(spark, f"{root}/resource_type={kind}", "ingestion_date")
-        for day in days[-1:]:
-            runs += fs.partition_values(spark, f"{root}/resource_type={kind}/ingestion_date={day}", "run_ts")
-    return max((run for run in runs if run.isdigit()), key=int, default=None)
+
+def landed_runs(spark: SparkSession, root: str, resource_type: str) -> list[str]:
+    """Run ids of a type, oldest first, from directory names of all dates."""
+    kind = f"{root}/resource_type={resource_type}"
+    found = {
+        run
+        for day in fs.partition_values(spark, kind, "ingestion_date")
+        for run in fs.partition_values(spark, f"{kind}/ingestion_date={day}", "run_ts")
+    }
+    return sorted(found, key=run_order)
+
+
+def latest_run(spark: SparkSession, root: str) -> str | None:
+    """Largest all-digit run id of any type and date."""
+    kinds = fs.partition_values(spark, root, "resource_type")
+    runs = {run for kind in kinds for run in landed_runs(spark, root, kind) if run.isdigit()}
+    return max(runs, key=int, default=None)
 
 
 def newer_than(stamp: Column, cursor: dt.datetime | None) -> Column:

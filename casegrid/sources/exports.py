@@ -1,53 +1,28 @@
-"""JSON metadata documents."""
+"""Metadata of the dimensions as JSON lines: one object per code or cell, written in parallel."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from casegrid import schemas
 from casegrid.functions import geo
 
-# A metadata document is one JSON object by definition, so it is only built for bounded dimensions.
-MAX_ENTRIES = geo.cell_count(geo.DEFAULT_RESOLUTION)
 
-
-def _bounded(df: DataFrame) -> DataFrame:
-    found = df.limit(MAX_ENTRIES + 1).count()
-    if found > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} entries; publish the dimension as Parquet instead")
-    return df
-
-
-def _sorted_map(key: str, value: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))))
-
-
-def conditions_document(conditions: DataFrame, generated_at: str) -> DataFrame:
-    """One JSON text: codes, labels, totals and the demographic domains."""
-    rows = _bounded(conditions)
-    document = rows.agg(
-        F.lit(generated_at).alias("generated_at"),
-        F.array_sort(F.collect_list("condition_code")).alias("conditions"),
-        _sorted_map("condition_code", F.col("condition_display")).alias("condition_display_map"),
-        _sorted_map("condition_code", F.col("patient_count")).alias("condition_patient_counts"),
-        F.count("*").alias("total_unique"),
+def conditions_lines(conditions: DataFrame, generated_at: str) -> DataFrame:
+    """Code, label and count of every condition, with the total and the demographic domains in each row."""
+    return conditions.select(
+        F.lit(generated_at).alias("generated_at"), "condition_code", "condition_display", "patient_count", "total_unique",
         F.array(*[F.lit(v) for v in schemas.AGE_GROUPS]).alias("age_groups"),
         F.array(*[F.lit(v) for v in schemas.GENDERS]).alias("genders"),
     )
-    return document.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def cells_document(cells: DataFrame, generated_at: str, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
-    """One JSON text: coordinates per cell."""
-    rows = _bounded(cells)
-    document = rows.agg(
-        F.lit(generated_at).alias("generated_at"),
-        F.lit(resolution).alias("h3_resolution"),
-        _sorted_map("h3", F.struct("latitude", "longitude")).alias("h3_cells"),
-        F.count("*").alias("total_unique"),
+def cells_lines(cells: DataFrame, generated_at: str, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
+    """Coordinates of every cell, with the resolution and the total in each row."""
+    return cells.select(
+        F.lit(generated_at).alias("generated_at"), F.lit(resolution).alias("h3_resolution"), "h3", "latitude", "longitude", "total_unique"
     )
-    return document.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_document(document: DataFrame, path: str) -> None:
-    document.write.mode("errorifexists").text(path)
+def write_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("errorifexists").json(path)

@@ -15,6 +15,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as readers report it."""
+    jvm_path, fs = _path(spark, path)
+    return fs.makeQualified(jvm_path).toString()
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The data files below ``path`` (or the file itself), in name order; hidden names are left out."""
+    jvm_path, fs = _path(spark, path)
+    status = fs.getFileStatus(jvm_path)
+    if not status.isDirectory():
+        return [path]
+    found = [s.getPath() for s in fs.listStatus(jvm_path) if not s.getPath().getName().startswith(("_", "."))]
+    return sorted(name for p in found for name in files(spark, p.toString()))
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file; nothing else of it is read."""
+    jvm_path, fs = _path(spark, path)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    stream, codec = fs.open(jvm_path), codecs.getCodec(jvm_path)
+    reader = spark._jvm.java.io.BufferedReader(
+        spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+    )
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of one partition column directly below ``path``: directory names, no file is opened."""
     jvm_path, fs = _path(spark, path)

@@ -68,6 +68,32 @@ def get_cursors(spark: SparkSession, root: str, names: list[str]) -> dict[str, d
     return {row["id"]: row["last_cursor"] for row in rows}
 
 
+def set_run_cursors(
+    spark: SparkSession, root: str, cursors: dict[str, dict[str, dt.datetime]], at: dt.datetime
+) -> None:
+    """Move the cursors of runs, by table; in one write."""
+    set_cursors(spark, root, {f"{table}@{run}": stamp for table, runs in cursors.items() for run, stamp in runs.items()}, at)
+
+
+def get_run_cursors(spark: SparkSession, root: str, tables: list[str]) -> dict[str, dict[str, dt.datetime]]:
+    """Cursor of every run that a table has merged, in one read of the log."""
+    names = current(read_log(spark, root, "cursors").where(F.substring_index("id", "@", 1).isin(tables) & F.col("id").contains("@")))
+    out: dict[str, dict[str, dt.datetime]] = {}
+    for row in names.collect():
+        table, _, run = row["id"].partition("@")
+        out.setdefault(table, {})[run] = row["last_cursor"]
+    return out
+
+
+def record_quality(
+    spark: SparkSession, root: str, metrics: list[tuple[str, str, int]], at: dt.datetime
+) -> None:
+    """One row per (table, metric, value) of a job."""
+    if metrics:
+        rows = [(table, at, metric, float(value)) for table, metric, value in metrics]
+        append(spark.createDataFrame(rows, schemas.QUALITY_LOG), root, "quality")
+
+
 def set_run_state(
     spark: SparkSession, root: str, state_id: str, run_ts: str, at: dt.datetime, **details: Any
 ) -> None:

@@ -54,7 +54,8 @@ def _apply_batch(
         run_ts = str(int(now.timestamp() * 1000))
         merged = fresh if base is None else merge_snapshot(base, fresh, key)
         after[table] = silver.write_snapshot(merged, layout.silver, table, run_ts)
-        rejects.write.mode("append").parquet(f"{layout.rejects}/{table}")
+        # A batch that is delivered again writes the same folder again.
+        rejects.write.mode("overwrite").parquet(f"{layout.rejects}/{table}/batch={stream}-{batch_id}")
     state.set_run_state(
         spark, layout.state, STATE_ID, str(int(now.timestamp() * 1000)), now,
         stream=stream, batch_id=batch_id, tables=after,
@@ -99,10 +100,13 @@ def stream_gold(
         # Compared by what Gold was last built from, so a batch that failed between Silver and Gold
         # is made up for when it is delivered again.
         tables = state.get_run_state(session, layout.state, STATE_ID)["tables"]
-        built_from = (state.get_run_state(session, layout.state, GOLD_SOURCE) or {}).get("tables", {})
-        if tables != built_from:
+        source = state.get_run_state(session, layout.state, GOLD_SOURCE) or {}
+        built_from = source.get("tables", {})
+        if tables != built_from or source.get("as_of") != as_of.isoformat():
             refresh_gold(session, layout, built_from, tables, as_of, clock(), resolution)
-            state.set_run_state(session, layout.state, GOLD_SOURCE, str(batch_id), clock(), tables=tables)
+            state.set_run_state(
+                session, layout.state, GOLD_SOURCE, str(batch_id), clock(), tables=tables, as_of=as_of.isoformat()
+            )
 
     return _start(read_bronze_stream(spark, layout.bronze, max_files), refresh_batch, checkpoint)
 

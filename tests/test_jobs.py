@@ -79,11 +79,72 @@ def test_failure_before_the_cursor_moves_is_repeated(spark, layout, monkeypatch)
         patch.setattr(state, "set_run_state", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             b2s.bronze_to_silver(spark, layout, T1)
-    assert state.get_cursors(spark, layout.state, ["bronze_to_silver:patient"]) == {}
+    assert state.get_run_cursors(spark, layout.state, ["patient"]) == {}
+    jobs = state.latest_jobs(state.read_log(spark, layout.state, "jobs"), 1).first()
+    assert (jobs["status"], jobs["error_message"]) == ("failed", "lost")
     assert b2s.bronze_to_silver(spark, layout, T1).records == 1
     assert names(spark, layout) == {"a": "A"}
 
 
+def test_every_landed_run_is_merged_once(spark, layout):
+    land(spark, layout, [patient("a", "A", "2026-01-01T00:00:00Z"), patient(None, "keyless", "2026-01-01T00:00:00Z")], RUN_1, T1)
+    land(spark, layout, [patient("b", "B", "2026-01-02T00:00:00Z")], RUN_2, T2)
+    land(spark, layout, [patient("c", "C", "2026-01-02T00:00:00Z")], "by-hand", T2 + dt.timedelta(days=3))
+    assert bronze.latest_run(spark, layout.bronze) == RUN_2
+    assert b2s.bronze_to_silver(spark, layout, T2).records == 4
+    assert names(spark, layout) == {"a": "A", "b": "B", "c": "C"}
+    assert b2s.bronze_to_silver(spark, layout, T2).records == 0
+    quality = {(r["metric"], r["value"]) for r in state.read_log(spark, layout.state, "quality").collect()}
+    assert ("rejects", 1.0) in quality and ("rows", 4.0) in quality
+    # A run that is named is read whole, merged or not, and changes nothing a second time.
+    assert b2s.bronze_to_silver(spark, layout, T2, RUN_1).records == 2
+    assert names(spark, layout) == {"a": "A", "b": "B", "c": "C"}
+
+
+def test_gold_readers_see_one_publication(spark, layout, monkeypatch):
+    from casegrid.plans.silver_to_gold import read_published, silver_to_gold
+    from casegrid.sources import gold as gold_store
+
+    land(spark, layout, [patient("a", "A", "2026-01-01T00:00:00Z"), condition("x", "a")], RUN_1, T1)
+    b2s.bronze_to_silver(spark, layout, T1)
+    silver_to_gold(spark, layout, dt.date(2026, 2, 1), T1)
+    land(spark, layout, [condition("y", "a", "other")], RUN_2, T2)
+    b2s.bronze_to_silver(spark, layout, T2)
+    with monkeypatch.context() as patch:
+        patch.setattr(gold_store, "write_dimension", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            silver_to_gold(spark, layout, dt.date(2026, 2, 1), T2)
+    codes = lambda name: {r[0] for r in read_published(spark, layout)[name].select("condition_code").collect()}
+    assert codes("fact") == codes(gold_store.CONDITIONS) == {"840539006"}
+    silver_to_gold(spark, layout, dt.date(2026, 2, 1), T2)
+    assert codes("fact") == codes(gold_store.CONDITIONS) == {"840539006", "other"}
+
+
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    from casegrid.sources.csvs import read_csv
+
+    head = "city,country,iso2,lat,lng,population"
+    (tmp_path / "a.csv").write_text(f'{head}\nA,X,x,1,2,3\n"line\nbreak",X,x,1,2,3\n')
+    (tmp_path / "b.csv").write_text("country,city,population,lat,lng,iso2,extra\nY,B,3,1,2,y,e\n")
+    got = {(r["city"], r["country"]) for r in read_csv(spark, str(tmp_path), "worldcities").collect()}
+    assert got == {("A", "X"), ("line\nbreak", "X"), ("B", "Y")}
+
+
+def test_null_groups_and_one_large_group(spark):
+    from casegrid.operators import allocate, ranking
+    from pyspark.sql import functions as F
+
+    rows = [(None, i, 0.1 * (i % 7 + 1), 10) for i in range(9)] + [("g", i, 1 / 3, 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, w double, t bigint").repartition(4)
+    runs = [sorted(map(str, allocate.allocate(df, ["g"], "w", "t", ["i"]).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    sums = {r["g"]: r["n"] for r in allocate.allocate(df, ["g"], "w", "t", ["i"]).groupBy("g").agg(F.sum("allocated").alias("n")).collect()}
+    assert sums == {None: 10, "g": 7}
+    shares = allocate.weight_share(df, ["g"], "w").groupBy("g").agg(F.round(F.sum("share"), 6).alias("s")).collect()
+    assert {r["g"]: r["s"] for r in shares} == {None: 1.0, "g": 1.0}
+    assert ranking.position_ratio(df, [F.col("i")], ["g"]).count() == 209
+
+
 def test_gold_is_idempotent_and_parity_keeps_old_keys(spark, layout):
     land(spark, layout, [patient("a", "A", "2026-01-01T00:00:00Z"), condition("x", "a"), condition("y", "a", "a b/c")], RUN_1, T1)
     b2s.bronze_to_silver(spark, layout, T1)
@@ -174,12 +235,12 @@ def test_csv_to_fhir(spark, tmp_path):
     assert csv_to_fhir(conditions, patients, encounters, target, max_records=1).bundles.count() == 1
 
 
-def test_metadata_documents(spark):
+def test_metadata_lines(spark):
     dim = spark.createDataFrame([("b", "B", 2, "t", 2, "[]", "[]"), ("a", "A", 1, "t", 2, "[]", "[]")], gold.schemas.CONDITIONS_DIM)
-    doc = json.loads(exports.conditions_document(dim, "now").first()[0])
-    assert doc["conditions"] == ["a", "b"] and doc["condition_display_map"] == {"a": "A", "b": "B"} and doc["total_unique"] == 2
+    lines = exports.conditions_lines(dim, "now").collect()
+    assert {r["condition_code"]: (r["condition_display"], r["total_unique"]) for r in lines} == {"a": ("A", 2), "b": ("B", 2)}
     cells = spark.createDataFrame([("x", 1.0, 2.0, "t", 1)], gold.schemas.CELLS_DIM)
-    assert json.loads(exports.cells_document(cells, "now").first()[0])["h3_cells"] == {"x": {"latitude": 1.0, "longitude": 2.0}}
+    assert exports.cells_lines(cells, "now").first()["latitude"] == 1.0
 
 
 def test_run_summary_keeps_first_creation(spark, layout):

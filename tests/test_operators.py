@@ -217,7 +217,7 @@ def plain_allocation(total, weights):
 def test_allocation_matches_the_definition(spark, weights, total):
     df = spark.createDataFrame([("g", i, float(w), total) for i, w in enumerate(weights)], "g string, i int, w double, t bigint")
     expected = plain_allocation(total, weights)
-    small = allocate.allocate_small_groups(df, ["g"], "w", "t", ["i"]).orderBy("i").collect()
+    small = allocate.allocate(df, ["g"], "w", "t", ["i"]).orderBy("i").collect()
     assert [r["allocated"] for r in small] == expected
     assert sum(expected) == max(total, 0)
 
@@ -258,8 +258,8 @@ def test_cities(spark):
         [("a", "1.5", "2", "60000"), ("b", "x", "2", "90000"), ("c", "95", "2", "90000"), ("d", "", "", "70000.9"), ("e", "1", "2", "10")],
         "city string, lat string, lng string, population string",
     )
-    assert [(r["city"], r["population"]) for r in ranking.top_cities(df).collect()] == [("d", 70000), ("a", 60000)]
-    assert [r["city"] for r in ranking.top_cities(df, 1).collect()] == ["d"]
+    assert [(r["city"], r["population"]) for r in ranking.top_cities(df, 10_000, 50_000).collect()] == [("d", 70000), ("a", 60000)]
+    assert [r["city"] for r in ranking.top_cities(df, 1, 50_000).collect()] == ["d"]
 
 
 # --- components and merging ---
@@ -342,45 +342,6 @@ def test_near_pairs_and_components(spark, zoom, spread, lat_shift):
     assert merged.count() == len(set(expected.values()))
 
 
-def plain_greedy(points, zoom):
-    """The order-dependent merge, one candidate at a time."""
-    limit, base = severity.max_threshold_km(zoom), severity.base_threshold_km(zoom)
-    left = sorted(points, key=lambda p: (p[2], p[1]))
-    out = []
-    while left:
-        seed = left.pop(0)
-        lat, lon, cases, weight, n = seed[2], seed[3], seed[4], max(1, seed[4]) ** 1.25, 1
-        max_lon = min(180, limit / max(8, 111.32 * math.cos(math.radians(seed[2]))))
-        rest = []
-        for p in left:
-            gap = abs(lon - p[3])
-            gap = 360 - gap if gap > 180 else gap
-            near = p[2] - lat <= limit / 110.574 and gap <= max_lon
-            if near and km((0, 0, lat, lon), p) <= max(base, radius(cases, zoom) + radius(p[4], zoom)):
-                w = max(1, p[4]) ** 1.25
-                lat, lon = (lat * weight + p[2] * w) / (weight + w), (lon * weight + p[3] * w) / (weight + w)
-                weight, cases, n = weight + w, cases + p[4], n + 1
-            else:
-                rest.append(p)
-        left = rest
-        out.append((seed[1], round(lat, 6), round(lon, 6), cases, n))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("zoom, spread", [(2, 60.0), (4, 30.0), (6, 8.0), (10, 0.5)])
-def test_greedy_merge(spark, zoom, spread):
-    points = random_points(zoom + 20, 80, spread, lon0=100.0)
-    merged = merge.merge_hotspots_greedy(spark.createDataFrame(points, POINT), zoom)
-    got = rows(merged.select("h3", F.round("lat", 6), F.round("lon", 6), "cases", "merged_count"))
-    assert got == plain_greedy(points, zoom)
-
-
-def test_greedy_single_point_and_zoom(spark):
-    points = random_points(9, 60, 10.0, lon0=0.0)
-    df = spark.createDataFrame(points, POINT)
-    assert rows(merge.merge_hotspots_greedy(df.limit(1), 5).select("cases", "merged_count")) == [(points[0][4], 1)]
-    assert merge.merge_hotspots_greedy(df, 2).count() < merge.merge_hotspots_greedy(df, 10).count()
-
 
 def test_equal_coordinates_are_summed(spark):
     df = spark.createDataFrame([("c", "b", 1.0, 2.0, 5, "2026-01-01", 1), ("c", "a", 1.0, 2.0, 7, "2026-01-03", 4)], POINT)

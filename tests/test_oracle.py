@@ -6,7 +6,7 @@ import __spark_entry__ as contract
 import check
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"csv_to_fhir", "hotspot_merge_greedy"}
+WITHOUT_SQL = {"csv_to_fhir"}
 
 
 @pytest.fixture(scope="module")
