@@ -11,11 +11,12 @@ from casegrid.operators import dedupe
 from casegrid.plans.bronze_to_silver import bronze_to_silver, silver_table
 from casegrid.plans.csv_to_fhir import csv_to_fhir, orphans as find_orphans, wanted
 from casegrid.plans.layout import Layout
+from casegrid.plans.pages_to_bronze import pages_to_bronze
 from casegrid.queries import data
 from casegrid.queries.data import table
 from casegrid.queries.registry import query
 from casegrid.session import scratch_path
-from casegrid.sources import bronze, fhir
+from casegrid.sources import bronze, fhir, state
 
 
 @query("fhir_patient_roundtrip", "patients", sql="""
@@ -102,6 +103,29 @@ def bundle_explode(spark, sf):
     return found.select("resource_id", "resource_type", F.get(code, F.lit(0))["code"].alias("condition_code"))
 
 
+@query("pages_to_bronze", "conditions", sql="""
+    SELECT condition_id AS resource_id, 'Condition' AS resource_type, condition_code, '1706745600000' AS run_ts, true AS at_cursor
+    FROM conditions""")
+def pages_to_bronze_run(spark, sf):
+    """Page files landed as a Bronze run, read back through the run state; nothing is newer than the cursor."""
+    layout, root = Layout(scratch_path(spark, "landing")), scratch_path(spark, "page-files")
+    rows = data.condition_bronze(spark, sf)
+    entry = F.concat(F.lit('{"resource":'), F.col("resource_json"), F.lit("}"))
+    pages = rows.groupBy(F.floor(F.col("resource_id").cast("bigint") / 100).alias("page")).agg(
+        F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value")
+    )
+    pages.write.partitionBy("page").text(root)
+    pages_to_bronze(spark, layout, root, data.RUN_1, data.RUN_TIME)
+    run = state.get_run_state(spark, layout.state, "bronze_latest_run")["run_ts"]
+    cursor = state.get_cursors(spark, layout.state, ["pages_to_bronze:Condition"])["pages_to_bronze:Condition"]
+    found = bronze.read_bronze(spark, layout.bronze, run_ts=run)
+    body = F.from_json("resource_json", "code struct<coding:array<struct<code:string>>>, meta struct<lastUpdated:timestamp>")
+    return found.withColumn("b", body).select(
+        "resource_id", "resource_type", F.get("b.code.coding", F.lit(0))["code"].alias("condition_code"), "run_ts",
+        (F.col("b.meta.lastUpdated") <= F.lit(cursor)).alias("at_cursor"),
+    )
+
+
 @query("batch_dedupe", sql="""
     SELECT CAST(user_id AS VARCHAR) AS patient_id, arg_max(event_type, event_id) AS observation_code,
            CAST(max(event_id) AS BIGINT) AS event_id

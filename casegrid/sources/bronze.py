@@ -23,11 +23,14 @@ def bronze_rows(resources: DataFrame, run_ts: str, ingested_at: dt.datetime) ->
     )
 
 
-def write_bronze(rows: DataFrame, root: str) -> None:
-    """Append a run. A resource type with very many rows is spread over several tasks and files."""
+def write_bronze(rows: DataFrame, root: str, replace: bool = False) -> None:
+    """Append a run, or replace the partitions it touches.
+
+    A resource type with very many rows is spread over several tasks and files.
+    """
     (
         rows.hint("rebalance", *schemas.BRONZE_PARTITIONS)
-        .write.mode("append")
+        .write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*schemas.BRONZE_PARTITIONS)
         .option("compression", "snappy")
         .parquet(root)

@@ -120,6 +120,27 @@ def test_gold_readers_see_one_publication(spark, layout, monkeypatch):
     assert codes("fact") == codes(gold_store.CONDITIONS) == {"840539006", "other"}
 
 
+def test_pages_to_bronze_job(spark, layout, tmp_path):
+    from casegrid.plans.pages_to_bronze import pages_to_bronze
+
+    def page(name, *resources):
+        body = {"resourceType": "Bundle", "entry": [{"resource": json.loads(r[2])} for r in resources]}
+        (tmp_path / name).write_text(json.dumps(body))
+
+    page("1.json", patient("a", "A", "2026-01-01T00:00:00Z"), condition("x", "a"))
+    page("2.json", patient("b", "B", "2026-01-05T00:00:00Z"))
+    for _ in range(2):  # landed again, the run replaces itself
+        done = pages_to_bronze(spark, layout, str(tmp_path), RUN_1, T1, "p1")
+        assert done.records == 3 and bronze.read_bronze(spark, layout.bronze, run_ts=RUN_1).count() == 3
+    assert state.get_cursors(spark, layout.state, ["pages_to_bronze:Patient"]) == {"pages_to_bronze:Patient": dt.datetime(2026, 1, 5)}
+    assert b2s.bronze_to_silver(spark, layout, T1).records == 3
+    with pytest.raises(Exception):
+        pages_to_bronze(spark, layout, str(tmp_path / "absent"), RUN_2, T2, "p2")
+    runs = {r["id"]: r["status"] for r in state.current_runs(state.read_log(spark, layout.state, "runs")).collect()}
+    assert runs == {"p1": "completed", "p2": "failed"}
+    assert state.get_run_state(spark, layout.state, "bronze_latest_run")["run_ts"] == RUN_1
+
+
 def test_csv_files_with_headers_of_their_own(spark, tmp_path):
     from casegrid.sources.csvs import read_csv
 
