@@ -11,6 +11,7 @@ from casegrid.functions.dates import parse_date, parse_timestamp
 from casegrid.functions.text import blank_to_null, composite_id, mentions_any, stable_uuid
 from casegrid.operators.ranking import distributed_row_number, largest
 from casegrid.operators.remap import remap_time, with_time_range
+from casegrid.session import scratch_path
 from casegrid.sources import fhir
 
 # The terms that select conditions by description.
@@ -128,9 +129,14 @@ def csv_to_fhir(
     terms: list[str] = TERMS,
     max_records: int | None = None,
 ) -> Conversion:
-    """Conditions need ``source_index`` (see :func:`number_rows`)."""
+    """Conditions need ``source_index`` (see :func:`number_rows`).
+
+    The joined rows are written once, below the shared folder: the time range and the bundles read them.
+    """
     selected = select_conditions(conditions, terms, max_records)
     patients = wanted(patients, "Id", selected, "patient_id")
     encounters = wanted(encounters, "Id", selected, "encounter_id")
-    joined = with_parents(selected, patients, encounters)
+    path = scratch_path(conditions.sparkSession, "csv-joined")
+    with_parents(selected, patients, encounters).write.parquet(path)
+    joined = conditions.sparkSession.read.parquet(path)
     return Conversion(bundle_columns(joined, target), selected, orphans(selected, patients, encounters))
