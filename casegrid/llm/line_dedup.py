@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegrid.session import scratch_path
 
 MIN_CHARS = 20
-PARTS = 4
+PARTS = 3
 FINE = 64
 # Most keys (8 bytes each) that are broadcast to pick lines; beyond, the join is a shuffle.
 MAX_BROADCAST_KEYS = 1 << 20
