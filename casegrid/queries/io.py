@@ -153,16 +153,23 @@ def gold_export(spark, sf):
 
 
 @query("dimension_scan", "fact", sql="""
-    SELECT 'conditions' AS kind, CAST(count(DISTINCT condition_code) AS BIGINT) AS n FROM fact
-    UNION ALL SELECT 'cells', CAST(count(DISTINCT h3) AS BIGINT) FROM fact""")
+    SELECT 'condition' AS kind, condition_code AS id, CAST(sum(case_count) AS BIGINT) AS cases, CAST(count(*) OVER () AS INTEGER) AS total
+    FROM fact GROUP BY condition_code
+    UNION ALL SELECT 'cell', h3, NULL, CAST(count(*) OVER () AS INTEGER) FROM fact GROUP BY h3""")
 def dimension_scan(spark, sf):
-    root, fact = scratch_path(spark, "gold"), data.fact(spark, sf)
+    """Both dimensions of a published fact, as their readers give them."""
+    root, fact = scratch_path(spark, "gold"), data.published_fact(spark, sf)
     gold_store.write_dimension(gold.conditions_dim(fact, data.STAMP), root, gold_store.CONDITIONS)
     gold_store.write_dimension(gold.cells_dim(fact, data.STAMP), root, gold_store.CELLS)
-    count = lambda name, kind: gold_store.read_dimension(spark, root, name).agg(F.count("*").alias("n")).select(
-        F.lit(kind).alias("kind"), "n"
+    codes = gold_store.read_dimension(spark, root, gold_store.CONDITIONS).select(
+        F.lit("condition").alias("kind"), F.col("condition_code").alias("id"), F.col("patient_count").alias("cases"),
+        F.col("total_unique").cast("int").alias("total"),
     )
-    return count(gold_store.CONDITIONS, "conditions").unionByName(count(gold_store.CELLS, "cells"))
+    cells = gold_store.read_dimension(spark, root, gold_store.CELLS).select(
+        F.lit("cell").alias("kind"), F.col("h3").alias("id"), F.lit(None).cast("bigint").alias("cases"),
+        F.col("total_unique").cast("int").alias("total"),
+    )
+    return codes.unionByName(cells)
 
 
 @query("jsonl_sink", "dense_fact", sql="SELECT * FROM dense_fact")

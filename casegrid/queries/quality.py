@@ -94,11 +94,18 @@ def stale_paths(spark, sf):
 
 
 @query("file_manifest", "fact", sql="""
-    SELECT condition_code, 'skipped' AS action, CAST(1 AS BIGINT) AS trees FROM fact GROUP BY condition_code""")
+    SELECT DISTINCT 'early/gold' AS tree, condition_code, CASE WHEN condition_code < '3' THEN 'skipped' ELSE 'copied' END AS action
+    FROM fact WHERE date_key < '1996-01-01'
+    UNION ALL
+    SELECT DISTINCT 'late/gold', condition_code, CASE WHEN condition_code < '3' THEN 'skipped' ELSE 'copied' END
+    FROM fact WHERE date_key >= '1996-01-01'""")
 def file_manifest(spark, sf):
-    """Files of a published fact against themselves: every path is unchanged, hash included."""
-    path = gold_store.write_fact(data.fact(spark, sf), scratch_path(spark, "manifest"))
-    files = manifest.read_manifest(spark, path)
-    same = manifest.manifest_diff(files, files).join(files.select("path", "sha256"), "path").where(F.length("sha256") == 64)
+    """Two facts below folders of one name inside a folder of that name, against a target that lacks some codes."""
+    root, fact = scratch_path(spark, "manifest") + "/gold", data.published_fact(spark, sf)
+    gold_store.write_fact(fact.where("date_key < '1996-01-01'"), f"{root}/early/gold")
+    gold_store.write_fact(fact.where("date_key >= '1996-01-01'"), f"{root}/late/gold")
+    files = manifest.read_manifest(spark, root).where(F.length("sha256") == 64)
     code = F.url_decode(F.regexp_extract("path", "condition_code=([^/]+)/", 1))
-    return same.groupBy(code.alias("condition_code"), "action").agg(F.lit(1).cast("bigint").alias("trees"))
+    diff = manifest.manifest_diff(files, files.where(code < "3"))
+    tree = F.regexp_extract("path", "^([^/]+/gold)/", 1)
+    return diff.select(tree.alias("tree"), code.alias("condition_code"), "action").distinct()
