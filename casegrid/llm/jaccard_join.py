@@ -5,8 +5,8 @@ c = ceil(4 (n + m) / 9) members. Small sets meet on their c-subsets; of large se
 members as must contain a common one are put into inverted lists, rarest first. The size where one
 way becomes cheaper than the other is computed from the table.
 
-Equal sets are one set. In a few rounds every set is compared with a few partners of its lists only;
-sets found linked are one component, and what is left to compare are sets of different components.
+Equal sets are one set. Every set is first compared with one partner of its lists only; sets found
+linked are one component, and what is left to compare are sets of different components.
 """
 
 from __future__ import annotations
@@ -28,16 +28,15 @@ from casegrid.session import scratch_path
 MAX_FREQUENT = 1 << 20
 # Most ids of sets that are broadcast to pick texts; beyond, the texts are joined by a shuffle.
 MAX_BROADCAST_IDS = 1 << 20
+# Most sets whose parities (32 bytes each) are broadcast; beyond, they are joined by a shuffle.
+MAX_BROADCAST_PARITIES = 1 << 18
 # Shingles counted at once inside a task.
 COUNTED = 2 << 20
 # Sizes considered for the boundary between small and large sets.
 MAX_SMALL = 16
-# Rounds of few comparisons before all that is left is compared, and partners of a set in each.
-ROUNDS = 2
-PARTNERS = 3
 # 64-bit words of a set's parities: of each of so many times 64 classes of members, whether their
 # number is odd. Sets differ in as many members at least as parities.
-PARITY_WORDS = 8
+PARITY_WORDS = 4
 BUCKETS = 256  # of the histogram that bounds an overlap from above
 
 
@@ -269,40 +268,26 @@ def _settle(edges: DataFrame, path: str) -> DataFrame:
     return edges.sparkSession.read.parquet(path).select(F.col("node").alias("sid"), "component")
 
 
-def _mixed(lists: DataFrame, labels: DataFrame | None, path: str) -> DataFrame:
-    """Entries of the lists that hold more than one component, with it and the commonest of the list."""
-    spark = lists.sparkSession
-    labelled = lists.withColumn("component", F.col("sid")) if labels is None else (
-        lists.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    )
-    per = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("commonest"), F.count("*").alias("k")).where("k > 1")
-    labelled.join(mixed.select("key", "commonest"), "key").write.parquet(path)
-    return spark.read.parquet(path)
+def _attached(rows: DataFrame, by_sid: DataFrame, most: int, how: str) -> DataFrame:
+    """Rows with what is known of their sets; broadcast only where that is of at most ``most`` sets."""
+    return rows.join(F.broadcast(by_sid) if by_sid.count() <= most else by_sid, "sid", how)
 
 
-def _few_pairs(mixed: DataFrame, x: int, turn: int) -> DataFrame:
-    """For every entry outside its list's commonest component one partner of that component; of each
-    set's, ``PARTNERS``. The partner of a list changes from round to round."""
-    draw = F.xxhash64("sid", F.lit(turn))
-    leaders = mixed.where("component = commonest").groupBy("key").agg(
-        F.min(F.struct(draw.alias("draw"), "sid", "n", "pos", "leads")).alias("r")
-    )
-    joined = mixed.where("component <> commonest").alias("l").join(leaders.alias("r"), "key").where(
-        f"(light or greatest(n, r.n) > {x}) and 4 * greatest(n, r.n) <= 5 * least(n, r.n)"
-    )
-    # The draw is the same for all lists, so that near copies share their partners.
-    best = joined.groupBy("sid", F.col("r.sid").alias("other")).agg(F.count("*").alias("lists"), F.min("r.draw").alias("draw"))
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("lists"), "draw"))
-    return (
-        best.withColumn("rank", rank).where(F.col("rank") <= PARTNERS)
-        .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    )
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the lists that hold more than one component, with it and the commonest of the list."""
+    labelled = _attached(lists, labels, MAX_BROADCAST_IDS, "left").withColumn("component", F.coalesce("component", "sid"))
+    # All three windows lie in one partition of the key.
+    whole, same = Window.partitionBy("key"), Window.partitionBy("key", "component")
+    counted = labelled.withColumn("k", F.count("*").over(same))
+    return counted.select(
+        *lists.columns, "component", F.max(F.struct("k", "component")).over(whole)["component"].alias("commonest"),
+        F.min("component").over(whole).alias("least"), F.max("component").over(whole).alias("most"),
+    ).where("least <> most").drop("least", "most")
 
 
 def _all_pairs(mixed: DataFrame, sets: DataFrame, x: int, path: str) -> DataFrame:
     """All but the commonest component of a list, with the rest of the list, as far as parities let through."""
-    mixed.join(sets.select("sid", *_PARITIES), "sid").write.parquet(path)
+    _attached(mixed, sets.select("sid", *_PARITIES), MAX_BROADCAST_PARITIES, "inner").write.parquet(path)
     mixed = mixed.sparkSession.read.parquet(path)
     apart = " + ".join(f"bit_count(l.{c} ^ r.{c})" for c in _PARITIES)
     return (
@@ -340,7 +325,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = _postings(docs.where("doc_id is not null"), frequent, x)
     rows.createOrReplaceTempView("jaccard_rows")
     counted = spark.sql("select *, min(sid) over (partition by key) as least_sid, max(sid) over (partition by key) as most_sid from jaccard_rows")
-    counted.where("least_sid <> most_sid").select(*_POSTINGS).distinct().write.parquet(f"{root}/lists")
+    counted.where("least_sid <> most_sid").select(*_POSTINGS, "least_sid").distinct().write.parquet(f"{root}/lists")
     lists = spark.read.parquet(f"{root}/lists")
 
     # The sets in them, from the text of each one's first document.
@@ -348,30 +333,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = _set_table(docs, wanted.select("doc_id").distinct(), f"{root}/sets")
     sets = sets.dropDuplicates(["sid"])
 
+    # Each set against the first set of one of its lists: near copies become one component early.
+    star = (
+        lists.where("sid <> least_sid").groupBy("sid").agg(F.min("least_sid").alias("a"))
+        .select("a", F.col("sid").alias("b"))
+    )
+    star.write.parquet(f"{root}/star")
+    star = spark.read.parquet(f"{root}/star")
     # Sets of one doc_id are one node.
     least = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("m")).where("a <> m")
-    linked = named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b"))
-    labels, checked = None, None
-    # Rounds of few comparisons: lists whose sets are known to be of one component need no more.
-    for turn in range(ROUNDS):
-        mixed = _mixed(lists, labels, f"{root}/mixed-{turn}")
-        pairs = _few_pairs(mixed, x, turn)
-        pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
-        pairs.write.parquet(f"{root}/few-{turn}")
-        pairs = spark.read.parquet(f"{root}/few-{turn}")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        more = _verified(pairs, sets, f"{root}/few-links-{turn}")
-        linked = linked.unionByName(more)
-        if turn and more.isEmpty():
-            break
-        labels = _settle(linked, f"{root}/components-{turn}")
+    same_doc = named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b"))
+    linked = _verified(star, sets, f"{root}/star-links").unionByName(same_doc)
+    labels = _settle(linked, f"{root}/components-1")
 
     # What is left: all sets of different components that meet in a list.
-    pairs = _all_pairs(_mixed(lists, labels, f"{root}/mixed"), sets, x, f"{root}/entries").join(checked, ["a", "b"], "left_anti")
+    pairs = _all_pairs(_mixed(lists.drop("least_sid"), labels), sets, x, f"{root}/entries").join(star, ["a", "b"], "left_anti")
     pairs.write.parquet(f"{root}/rest")
     more = _verified(spark.read.parquet(f"{root}/rest"), sets, f"{root}/rest-links")
     if not more.isEmpty():
-        labels = _settle(linked.unionByName(more), f"{root}/components")
+        labels = _settle(linked.unionByName(more), f"{root}/components-2")
 
     found = documents.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = found.where("doc_id is not null and n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
