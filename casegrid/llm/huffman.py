@@ -139,11 +139,11 @@ def _record(kind: bytes, rest: bytes) -> bytes:
     return kind + struct.pack("<Q", len(rest)) + rest
 
 
-def _ids_table(docs: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
+def _ids_table(docs: DataFrame, tokenizer_path: str, path: str, added_tokens: bool) -> DataFrame:
     """Tokenise once: ``doc_id, tie, n_tokens, ids``, with the end id, written below the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer_path)
+        encoder = piece_encoder(tokenizer_path, added_tokens)
         kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -197,15 +197,16 @@ def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, kind).astype(np.uint32), batch.column("n_tokens").to_numpy(zero_copy_only=False)
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> None:
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str, added_tokens: bool = False) -> None:
     """Encode ``docs(doc_id, text)`` and write the files below ``path``.
 
     A null text is empty and has the end id alone. Rows come in ascending (doc_id, CRC of the ids)
-    order, nulls first; rows with equal ids and texts are interchangeable. To the driver go a bounded
+    order, nulls first; rows with equal ids and texts are interchangeable. With ``added_tokens`` the
+    file's added tokens are found in texts, as by the library's default; without, they are text. To the driver go a bounded
     sample of keys, the counts of the vocabulary's ids and one sum per range.
     """
     spark = docs.sparkSession
-    table = _ids_table(docs, tokenizer_path, scratch_path(spark, "ids"))
+    table = _ids_table(docs, tokenizer_path, scratch_path(spark, "ids"), added_tokens)
     size = table.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts = max(1, -(-2 * int(size[1]) // FILE_BYTES), min(int(size[0]), spark.sparkContext.defaultParallelism))
     cuts = _cuts(table, int(size[0]), parts)

@@ -26,7 +26,7 @@ def op9(spark, sf_dir):
 @query("op10_huffman_ids")
 def op10(spark, sf_dir):
     path = scratch_path(spark, "huffman")
-    huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, added_tokens=True)
     return huffman.read_ids(spark, path)
 
 

@@ -19,6 +19,7 @@ from casegrid.llm import bpe, huffman, repetition
 from casegrid.llm.bytetext import Texts
 from casegrid.llm.library_bpe import PieceEncoder
 from casegrid.llm.pieces import split
+from casegrid.llm.queries import QUERIES
 from casegrid.session import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -162,6 +163,30 @@ def test_piece_encoder_follows_the_library():
         assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
+def test_added_tokens_are_found_as_by_the_library():
+    tokenizer, token = Tokenizer.from_file(VOCABULARY), "<|endoftext|>"
+    rng = random.Random(7)
+    values = ["a <|endoftext|> b", token, token * 2 + "x", "<|endof", "text|>", f"x {token}\n don't{token}'s", "", None, token] + EDGE_TEXTS
+    values += ["".join(rng.choice([*LETTERS, token, "<|end", "oftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    encoder = PieceEncoder(VOCABULARY, max_pieces=100, added_tokens=True)
+    for part in (values[:1], values[:9], values):
+        ids, counts = encoder.encode(texts_of(part))
+        expected = [tokenizer.encode(v or "", add_special_tokens=False).ids for v in part]
+        assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_huffman_query_finds_added_tokens(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "after it")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op10_huffman_ids"](spark, str(tmp_path)).collect()}
+    at = 0
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert got[doc_id] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("limit", [9, 20])
 @pytest.mark.parametrize("size", [0, 1, 2, 400])
 def test_huffman_round_trip(size, limit):
