@@ -320,6 +320,19 @@ def test_licences(spark):
     assert licence_scan.scan_licences(df.limit(0)).count() == 0
 
 
+def test_licences_without_anchor_and_wrapped(spark):
+    texts = {
+        "Words of a story.\nReleased under the GNU GPL, version 2.\nMore words.": (1, "gpl"), "Released under CC BY 4.0.": (0, "cc-by"),
+    }
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = docs.unionByName(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    rows = licence_scan.scan_licences(df).where("doc_id >= 20000").orderBy("paragraph_no").collect()
+    named = [(r["doc_id"] - 20_000, r["paragraph_no"], r["family"]) for r in rows if r["family"] != "unknown"]
+    for i, expected in enumerate(texts.values()):
+        mine = [r[1:] for r in named if r[0] == i]
+        assert mine and mine[0] == expected and {f for _, f in mine} == {expected[1]}, (i, mine, [r for r in rows if r["doc_id"] == 20_000 + i])
+
+
 # --- Quality
 
 
