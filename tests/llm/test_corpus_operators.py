@@ -321,8 +321,15 @@ def test_licences(spark):
 
 
 def test_licences_without_anchor_and_wrapped(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction."
+    gpl = (
+        " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * More words."
+    )
     texts = {
         "Words of a story.\nReleased under the GNU GPL, version 2.\nMore words.": (1, "gpl"), "Released under CC BY 4.0.": (0, "cc-by"),
+        f"Title\n\n{mit}\n\nThe end.": (2, "mit"), f"/*\n{gpl}\n */": (1, "gpl"), "The sun rose.\nLicensed under\nCC BY-SA 4.0.": (1, "cc-by-sa"),
+        "He slept under the bridge.\nReleased under the MIT License.": (1, "mit"),
     }
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     df = docs.unionByName(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
