@@ -15,6 +15,8 @@ import pyarrow.compute
 
 # Bytes of text handled at once inside a task; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+# Most texts of a chunk, however short they are: their numbers share 64-bit words with other values.
+CHUNK_ROWS = 1000
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -121,12 +123,13 @@ def windows(values: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def chunks(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts in ``column`` hold about ``limit`` bytes."""
+    """Slices of a batch whose texts in ``column`` hold about ``limit`` bytes, of ``CHUNK_ROWS`` texts at most."""
     if not batch.num_rows:
         return
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(lengths.astype(np.int64)) - lengths) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
+    cuts = np.union1d(cuts, np.arange(CHUNK_ROWS, batch.num_rows, CHUNK_ROWS))
     for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]])):
         yield batch.slice(int(a), int(b - a))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casegrid.llm import bpe, chat_rotation, cotraining, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, repetition, warc
+from casegrid.llm import (
+    bpe, chat_rotation, cotraining, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, minhash_hamming, repetition, warc,
+)
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
 
@@ -78,3 +80,8 @@ def op8(spark, sf_dir):
 @query("op1_cotraining_quality")
 def op1(spark, sf_dir):
     return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_minhash_hamming", sql=minhash_hamming.ORACLE)
+def op11(spark, sf_dir):
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
