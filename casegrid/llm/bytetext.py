@@ -50,13 +50,16 @@ def _powers(bits: int, base: int) -> np.ndarray:
 
 
 class RollingHash:
-    """Prefix sums over ``data``; ``spans(starts, ends)`` hashes any spans."""
+    """Prefix sums over ``data``; ``spans(starts, ends)`` hashes any spans.
 
-    def __init__(self, data: np.ndarray):
+    ``data`` are bytes, or numbers below the length of ``values``.
+    """
+
+    def __init__(self, data: np.ndarray, values: np.ndarray = _VALUES):
         bits = max(int(CHUNK_BYTES).bit_length(), int(len(data)).bit_length())
         self._inverse = _powers(bits, _R_INVERSE)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * _powers(bits, _R)[: len(data)], out=self._sums[1:])
+        np.cumsum(values[data] * _powers(bits, _R)[: len(data)], out=self._sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])

@@ -8,7 +8,6 @@ runs of letters, numbers, white space or other characters, a space joining the r
 from __future__ import annotations
 
 import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,18 +17,22 @@ from casegrid.llm.bytetext import Texts
 LETTER, NUMBER, OTHER, WHITE = range(4)
 # Fixed value: the endings that follow an apostrophe in the pattern.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-# Fixed value: the characters with the Unicode property White_Space.
-WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of every code point, from its Unicode category."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter(
-        (kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1
-    )
-    out[list(WHITE_SPACE)] = WHITE
+def classes() -> np.ndarray:
+    """Class of every code point, as the library's own regular expressions see it.
+
+    Python's Unicode tables are older. The tokenizers library has the same letters and numbers.
+    """
+    import tiktoken
+
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    single = {bytes([i]): i for i in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        found = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(everything)
+        out[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -55,7 +58,7 @@ def split(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(1, np.int64), np.zeros(len(texts), np.int64)
     point, at = code_points(data)
-    kind = _classes()[point]
+    kind = classes()[point]
     n = len(kind)
     bounds = np.searchsorted(at, texts.offsets)  # texts in characters
     first = np.zeros(n + 1, bool)

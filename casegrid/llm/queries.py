@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from casegrid.llm import (
-    bpe, chat_rotation, cotraining, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, minhash_hamming, repetition, warc,
+    alignment, bpe, chat_rotation, collocations, cotraining, decontaminate, huffman, jaccard_join, licence_scan, line_dedup, minhash_hamming,
+    repetition, warc,
 )
 from casegrid.llm.common import ORACLES, QUERIES, query, table
 from casegrid.session import scratch_path
@@ -85,3 +86,14 @@ def op1(spark, sf_dir):
 @query("op11_minhash_hamming", sql=minhash_hamming.ORACLE)
 def op11(spark, sf_dir):
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), a, b)
+
+
+@query("op13_collocations", sql=collocations.ORACLE)
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

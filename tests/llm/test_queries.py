@@ -16,7 +16,9 @@ from casegrid.llm.line_dedup import MIN_CHARS
 from test_corpus_operators import WORD, components, lower, plain_lines, shingles
 
 SF = "/root/testdata/sf0.001"
-WITH_SQL = {"op2_warc_revisits", "op3_perspective_rotation", "op7_line_dedup"}
+WITH_SQL = {
+    "op2_warc_revisits", "op3_perspective_rotation", "op7_line_dedup", "op11_minhash_hamming", "op13_collocations",
+}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -28,7 +30,7 @@ def test_query(spark, name):
 
 def test_registered():
     assert set(queries.ORACLES) == WITH_SQL
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
