@@ -76,15 +76,6 @@ def add_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return existing.unionByName(new.join(existing.select(*keys), on=keys, how="left_anti"))
 
 
-def changed_rows(before: DataFrame, after: DataFrame, ignore: tuple[str, ...] = ("updated_at",)) -> DataFrame:
-    """Rows that differ between two snapshots, in their old and their new form."""
-    columns = [c for c in after.columns if c not in ignore]
-    both = before.select(*columns, F.lit(1).alias("_side")).unionByName(
-        after.select(*columns, F.lit(-1).alias("_side"))
-    )
-    return both.groupBy(*columns).agg(F.sum("_side").alias("_side")).where("_side <> 0").drop("_side")
-
-
 def cap_per_group(df: DataFrame, group: str, limit: int, order: list[Column]) -> DataFrame:
     """The first ``limit`` rows of each group (a fetch cap), in an order without ties.
 

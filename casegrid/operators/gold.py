@@ -13,16 +13,17 @@ from casegrid.functions.dates import date_key
 from casegrid.functions.demographics import (
     age_band, age_years, band_label, birth_date, gender_code, gender_label,
 )
-from casegrid.operators.dedupe import add_missing, changed_rows, conform, upsert
+from casegrid.operators.dedupe import add_missing, conform, upsert
 from casegrid.session import cut_lineage
 
 # Grouping keys while rows are shuffled: fixed-width codes instead of the texts of the contract.
 CODED_KEYS = ["condition_code", "day", "cell", "age", "sex"]
-REGION_KEYS = ["condition_code", "day", "cell"]
 
 
-def located_patients(patients: DataFrame, as_of: dt.date, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
-    """Patients with a valid cell, with everything the fact needs derived once per patient."""
+def located_patients(
+    patients: DataFrame, as_of: dt.date, resolution: int = geo.DEFAULT_RESOLUTION, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Patients with a valid cell, with everything the fact needs (and ``extra`` columns) derived once per patient."""
     lat, lng = F.col("latitude").cast("double"), F.col("longitude").cast("double")
     return patients.select(
         "patient_id",
@@ -31,6 +32,7 @@ def located_patients(patients: DataFrame, as_of: dt.date, resolution: int = geo.
         gender_code(F.col("gender")).alias("sex"),
         "city",
         "state",
+        *extra,
     ).where(F.col("cell").isNotNull())
 
 
@@ -52,6 +54,17 @@ def demographic_join(conditions: DataFrame, patients: DataFrame) -> DataFrame:
     return conditions.join(patients, on="patient_id", how="inner")
 
 
+def labelled_keys(resolution: int = geo.DEFAULT_RESOLUTION) -> list[Column]:
+    """The keys of the contract from the coded ones."""
+    return [
+        F.col("condition_code"),
+        date_key(F.col("day")).alias("date_key"),
+        geo.cell_name(F.col("cell"), resolution).alias("h3"),
+        band_label(F.col("age")).alias("age_group"),
+        gender_label(F.col("sex")).alias("gender"),
+    ]
+
+
 def count_cases(joined: DataFrame, resolution: int = geo.DEFAULT_RESOLUTION) -> DataFrame:
     """Cases per fact key. ``min`` makes the representative place repeatable; all three aggregates
     combine before the shuffle, so one dominant key costs one row per map task."""
@@ -60,16 +73,7 @@ def count_cases(joined: DataFrame, resolution: int = geo.DEFAULT_RESOLUTION) ->
         F.min("city").alias("city"),
         F.min("state").alias("state"),
     )
-    return counted.select(
-        "condition_code",
-        date_key(F.col("day")).alias("date_key"),
-        geo.cell_name(F.col("cell"), resolution).alias("h3"),
-        band_label(F.col("age")).alias("age_group"),
-        gender_label(F.col("sex")).alias("gender"),
-        "case_count",
-        "city",
-        "state",
-    )
+    return counted.select(*labelled_keys(resolution), "case_count", "city", "state")
 
 
 def gold_fact(
@@ -87,69 +91,6 @@ def upsert_fact(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     return upsert(conform(existing, schemas.GOLD_FACT), conform(new, schemas.GOLD_FACT), schemas.GOLD_KEYS)
 
 
-def touched_regions(
-    before: tuple[DataFrame, DataFrame],
-    after: tuple[DataFrame, DataFrame],
-    as_of: dt.date,
-    resolution: int = geo.DEFAULT_RESOLUTION,
-    before_as_of: dt.date | None = None,
-) -> DataFrame:
-    """(code, day, cell) groups a changed patient or condition belonged to before or belongs to now.
-
-    ``before`` and ``after`` are (conditions, patients). ``before_as_of`` is the day the ages of the
-    existing fact were taken on: a patient who has aged into another group since is a changed one.
-    """
-    sides = [
-        (
-            conditions.select(
-                "condition_id", "patient_id", "condition_code", F.col("condition_date").cast("date").alias("day")
-            ),
-            located_patients(patients, day, resolution),
-        )
-        for (conditions, patients), day in ((before, before_as_of or as_of), (after, as_of))
-    ]
-    (old_conditions, old_patients), (new_conditions, new_patients) = sides
-    changed_conditions = changed_rows(old_conditions, new_conditions).select("condition_id").distinct()
-    changed_patients = changed_rows(old_patients, new_patients).select("patient_id").distinct()
-    touched = None
-    for conditions, patients in sides:
-        by_condition = conditions.join(changed_conditions, "condition_id", "left_semi").join(patients, "patient_id")
-        by_patient = conditions.join(
-            patients.join(changed_patients, "patient_id", "left_semi"), "patient_id"
-        )
-        rows = by_condition.select(*REGION_KEYS).unionByName(by_patient.select(*REGION_KEYS))
-        touched = rows if touched is None else touched.unionByName(rows)
-    return touched.where("condition_code is not null and day is not null").distinct()
-
-
-def recount_regions(
-    existing: DataFrame,
-    touched: DataFrame,
-    conditions: DataFrame,
-    patients: DataFrame,
-    as_of: dt.date,
-    resolution: int = geo.DEFAULT_RESOLUTION,
-) -> DataFrame:
-    """Fact after a change: touched groups counted anew, so keys that became empty disappear.
-
-    Both inputs are cut to the touched codes/days and cells before they are joined.
-    """
-    events = dated_conditions(conditions).join(
-        touched.select("condition_code", "day").distinct(), ["condition_code", "day"], "left_semi"
-    )
-    people = located_patients(patients, as_of, resolution).join(
-        touched.select("cell").distinct(), "cell", "left_semi"
-    )
-    affected = demographic_join(events, people).join(touched, REGION_KEYS, "left_semi")
-    recounted = count_cases(affected, resolution)
-    emptied = touched.select(
-        "condition_code", date_key(F.col("day")).alias("date_key"),
-        geo.cell_name(F.col("cell"), resolution).alias("h3"),
-    )
-    kept = conform(existing, schemas.GOLD_FACT).join(emptied, emptied.columns, "left_anti")
-    return kept.unionByName(conform(recounted, schemas.GOLD_FACT))
-
-
 def _json_list(values: list[str]) -> Column:
     return F.lit(json.dumps(values))
 
@@ -169,14 +110,29 @@ def true_patient_counts(conditions: DataFrame, patients: DataFrame, as_of: dt.da
     )
 
 
-def condition_labels(conditions: DataFrame) -> DataFrame:
-    """Most frequent text per code, first in alphabetical order on a tie."""
-    counted = (
+def condition_cells(fact: DataFrame) -> DataFrame:
+    """Cases per condition and cell: a bounded table from which both dimensions follow."""
+    return fact.groupBy("condition_code", "h3").agg(F.sum("case_count").alias("case_count"))
+
+
+def condition_texts(conditions: DataFrame) -> DataFrame:
+    """How often each condition comes with each text; signed rows count with their sign."""
+    count = F.sum("sign") if "sign" in conditions.columns else F.count("*")
+    return (
         conditions.where(F.col("condition_code").isNotNull() & (F.length("condition_text") > 0))
-        .groupBy("condition_code", "condition_text").agg(F.count("*").alias("n"))
+        .groupBy("condition_code", "condition_text").agg(count.alias("n"))
     )
+
+
+def labels_of(texts: DataFrame) -> DataFrame:
+    """Most frequent text per code, first in alphabetical order on a tie."""
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("condition_text").alias("text")))
-    return counted.groupBy("condition_code").agg(best["text"].alias("condition_display"))
+    return texts.groupBy("condition_code").agg(best["text"].alias("condition_display"))
+
+
+def condition_labels(conditions: DataFrame) -> DataFrame:
+    """Most frequent text per code, first in alphabetical order on a tie."""
+    return labels_of(condition_texts(conditions))
 
 
 def conditions_dim(

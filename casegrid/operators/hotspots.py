@@ -224,7 +224,11 @@ def hotspot_points(
 ) -> DataFrame:
     """The filtered hotspot query: window, aggregate, coordinates and label."""
     rows = window_rows(fact, days, filters.condition_code, today)
-    points = hotspots(rows, filters)
+    return labelled_points(hotspots(rows, filters), cells, conditions)
+
+
+def labelled_points(points: DataFrame, cells: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Hotspots with coordinates and label, as map points."""
     return with_labels(with_geography(points, cells), conditions).select(
         "condition_code", "condition_display", "h3", "lat", "lon",
         F.col("case_count").alias("cases"), F.col("case_count").alias("original_cases"),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casegrid import schemas
-from casegrid.operators.dedupe import conform, latest_per_key, merge_snapshot, split_rejects
+from casegrid.operators.dedupe import conform, latest_per_key, split_rejects
 from casegrid.plans.layout import Layout
 from casegrid.sources import bronze, fhir, silver, state
 
@@ -28,7 +28,7 @@ def silver_table(spark: SparkSession, layout: Layout, table: str, run_ts: str |
     """Published table: by the pointer in the run state, else by the newest finished snapshot."""
     pointer = state.get_run_state(spark, layout.state, STATE_ID)
     if pointer and run_ts in (None, pointer["run_ts"]) and table in pointer.get("tables", {}):
-        return spark.read.schema(schemas.SILVER[table]).parquet(pointer["tables"][table])
+        return silver.open_snapshot(spark, pointer["tables"][table], table)
     return silver.read_current(spark, layout.silver, table, run_ts)
 
 
@@ -41,24 +41,33 @@ def extract(delta: DataFrame, resource_type: str, run_time: dt.datetime) -> tupl
 
 
 def unmerged(
-    spark: SparkSession, layout: Layout, resource_type: str, cursors: dict[str, dt.datetime], run: str | None
-) -> tuple[DataFrame, list[str]]:
-    """Rows of a type that no step has merged, and the runs they may be in.
+    spark: SparkSession,
+    layout: Layout,
+    resource_type: str,
+    cursors: dict[str, dt.datetime],
+    marks: dict[str, dt.datetime],
+    run: str | None,
+) -> tuple[DataFrame, dict[str, dt.datetime]]:
+    """Rows of a type that no step has merged, and the runs they are in with the marks of their files.
 
     A named run is read whole, whatever was merged before. Otherwise these are all runs without a
-    cursor, and of the newest merged run the rows that came after its cursor.
+    cursor, and of every merged run, however old, the files written since it was merged: rows that
+    came late, or a run that was landed again. Which runs have such files is seen from directory
+    listings; the other files are not opened.
     """
-    landed = bronze.landed_runs(spark, layout.bronze, resource_type)
+    landed = bronze.run_marks(spark, layout.bronze, resource_type)
     if run is not None:
-        return bronze.read_bronze(spark, layout.bronze, resource_type, run), [run] if run in landed else []
-    merged = [r for r in landed if r in cursors]
-    fresh = [r for r in landed if r not in cursors]
+        return bronze.read_bronze(spark, layout.bronze, resource_type, run), {run: landed[run]} if run in landed else {}
     rows = bronze.read_bronze(spark, layout.bronze, resource_type)
+    fresh = [r for r in landed if r not in cursors]
+    late = [r for r in landed if r in cursors and landed[r] > marks.get(r, dt.datetime.min)]
+    if not fresh and not late:
+        return rows.limit(0), {}
     wanted = F.col("run_ts").isin(fresh)
-    if merged:
-        late = bronze.newer_than(F.col("ingestion_timestamp"), cursors[merged[-1]])
-        wanted = wanted | ((F.col("run_ts") == merged[-1]) & late)
-    return rows.where(F.col("run_ts").isin(fresh + merged[-1:])).where(wanted), fresh + merged[-1:]
+    for r in late:
+        since = bronze.written_after(marks[r]) if r in marks else bronze.newer_than(F.col("ingestion_timestamp"), cursors[r])
+        wanted = wanted | ((F.col("run_ts") == r) & since)
+    return rows.where(F.col("run_ts").isin(fresh + late)).where(wanted), {r: landed[r] for r in fresh + late}
 
 
 def bronze_to_silver(
@@ -75,7 +84,8 @@ def bronze_to_silver(
     one step are not lost; with it that run is read whole. Each table keeps a cursor per run, moved
     only over runs that were read and only after the new state is published: a failure in between
     leads to a repeated merge, not to a gap. A table without new rows is carried forward by pointing
-    at its present snapshot. Rejects are written below a name that a repeated step writes again.
+    at its present snapshot; of the others only the buckets that get rows are written. Rejects are
+    written below a name that a repeated step writes again.
     """
     try:
         return _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id)
@@ -89,17 +99,25 @@ def bronze_to_silver(
 def _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id) -> StepResult:
     pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
     published: dict[str, str] = dict(pointer.get("tables", {}))
-    cursors = state.get_run_cursors(spark, layout.state, [table for table, _, _ in fhir.RESOURCES.values()])
-    pending = {kind: unmerged(spark, layout, kind, cursors.get(table, {}), bronze_ts) for kind, (table, _, _) in fhir.RESOURCES.items()}
+    names = [table for table, _, _ in fhir.RESOURCES.values()]
+    cursors, marks = (state.get_run_cursors(spark, layout.state, names, sign) for sign in "@#")
+    pending = {
+        kind: unmerged(spark, layout, kind, cursors.get(table, {}), marks.get(table, {}), bronze_ts)
+        for kind, (table, _, _) in fhir.RESOURCES.items()
+    }
     runs = sorted({run for _, found in pending.values() for run in found}, key=bronze.run_order)
-    source = bronze_ts or (runs[-1] if runs else None)
+    source = bronze_ts or (runs[-1] if runs else pointer.get("bronze_ts"))
     if source is None:
         raise FileNotFoundError(f"no Bronze run below {layout.bronze}")
     target = silver_ts or source
-    attempt = f"{target}-{zlib.crc32(repr(sorted((t, sorted(c.items())) for t, c in cursors.items())).encode()):08x}"
-    records, carried, moved, metrics = 0, [], {}, []
-    for resource_type, (table, key, _) in fhir.RESOURCES.items():
-        delta, _ = pending[resource_type]
+    before = [sorted((table, sorted(stamps.items())) for table, stamps in values.items()) for values in (cursors, marks)]
+    attempt = f"{target}-{zlib.crc32(repr(before).encode()):08x}"
+    records, carried, moved, seen, metrics = 0, [], {}, {}, []
+    for resource_type, (table, _, _) in fhir.RESOURCES.items():
+        delta, seen[table] = pending[resource_type]
+        if not seen[table]:
+            carried.append(table)
+            continue
         # One pass over two narrow columns answers "anything new?", the counts and the cursors.
         arrived = {
             r["run_ts"]: (r["rows"], r["newest"])
@@ -108,25 +126,20 @@ def _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id) -> Ste
         if not arrived:
             carried.append(table)
             continue
-        base = (
-            spark.read.schema(schemas.SILVER[table]).parquet(published[table])
-            if table in published
-            else silver.read_current(spark, layout.silver, table, target)
-        )
+        base = published.get(table) or silver.current_path(spark, layout.silver, table, target)
         fresh, rejects = extract(delta, resource_type, run_time)
-        merged = fresh if base is None else merge_snapshot(base, fresh, key)
-        published[table] = silver.write_snapshot(merged, layout.silver, table, target)
+        published[table] = silver.merge_delta(spark, base, fresh, layout.silver, table, target)
         refused = f"{layout.rejects}/{table}/batch={attempt}"
         rejects.write.mode("overwrite").parquet(refused)
         rows = sum(n for n, _ in arrived.values())
         metrics += [(table, "rows", rows), (table, "rejects", spark.read.parquet(refused).count())]
-        moved[table] = {run: newest for run, (_, newest) in arrived.items()}
+        moved[table] = {run: max(newest, cursors.get(table, {}).get(run, newest)) for run, (_, newest) in arrived.items()}
         records += rows
     state.set_run_state(
         spark, layout.state, STATE_ID, target, run_time,
         bronze_ts=source, pipeline_run_id=pipeline_run_id, tables=published,
     )
-    state.set_run_cursors(spark, layout.state, moved, run_time)
+    state.set_run_cursors(spark, layout.state, moved, run_time, seen)
     state.record_quality(spark, layout.state, metrics, run_time)
     state.record_job(
         spark, layout.state, "bronze_to_silver", "completed", records, run_time,

@@ -101,6 +101,13 @@ def published_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_store.read_fact(spark, root)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to a fresh folder and read from there."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def event_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact-like rows from the events table: a month of days with many cases each."""
     return table(spark, sf_dir, "events").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrid import schemas
-from casegrid.operators import gold, hotspots
+from casegrid.operators import deltas, gold, hotspots
 from casegrid.operators.dedupe import add_missing, conform, union_all
 from casegrid.queries import data
 from casegrid.queries.data import centre_sql
@@ -58,15 +58,20 @@ def gold_upsert(spark, sf):
     kept AS (SELECT * FROM conditions WHERE CAST(condition_id AS BIGINT) % 11 <> 0)
     {data.fact_sql('kept', 'moved', data.LATER)}""")
 def gold_refresh(spark, sf):
-    """Patients move and age, conditions vanish: only touched groups are recounted, emptied groups go."""
+    """Patients move and age, conditions vanish: signed rows move the counts, emptied groups go."""
     people, rows = data.patients(spark, sf), data.conditions(spark, sf)
     k = F.col("patient_id").cast("bigint")
     moved = people.withColumn("latitude", F.when(k % 7 == 0, F.col("latitude") + 1).otherwise(F.col("latitude")))
     kept = rows.where(F.col("condition_id").cast("bigint") % 11 != 0)
-    touched = gold.touched_regions((rows, people), (kept, moved), data.LATER, before_as_of=data.AS_OF)
-    return gold.recount_regions(
-        gold.gold_fact(rows, people, data.AS_OF), touched, kept, moved, data.LATER
+    existing, after = data.published_fact(spark, sf), gold.located_patients(moved, data.LATER)
+    changes = deltas.signed_cases(
+        deltas.signed_changes(deltas.condition_forms(rows), deltas.condition_forms(kept)),
+        deltas.signed_changes(gold.located_patients(people, data.AS_OF), after),
+        gold.dated_conditions(rows), after,
     )
+    changes = data.written(changes, "changes")
+    lost = data.written(deltas.lost_places(existing, changes), "lost")
+    return deltas.apply_changes(existing, changes, deltas.recounted_places(lost, kept, moved, data.LATER))
 
 
 @query("conditions_dim", "fact", "conditions", sql="""

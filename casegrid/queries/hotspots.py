@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrid.functions.geo import cell_center
-from casegrid.operators import frames, gold, hotspots, merge
+from casegrid.operators import dayindex, frames, gold, hotspots, merge
 from casegrid.operators.hotspots import Filters
 from casegrid.queries import data
 from casegrid.queries.data import centre_sql, haversine_sql
 from casegrid.queries.registry import query
+from casegrid.session import scratch_path
+from casegrid.sources import gold as gold_store
 
 _LAT, _LON = centre_sql("h3")
 _CHOSEN = Filters(age_groups=("18-34", "35-54", "55+"), genders=("male", "female", "unknown"))
@@ -18,16 +20,37 @@ _WINDOW_SQL = """SELECT f.* FROM fact f JOIN (SELECT condition_code, max(date_ke
     WHERE f.date_key >= strftime(CAST(a.latest AS DATE) - INTERVAL 89 DAY, '%Y-%m-%d') AND f.date_key <= a.latest"""
 
 
-@query("hotspots_window", "fact", "conditions", sql=f"""
+def _day_index(fact):
+    """The index of a fact, written and read again."""
+    path = gold_store.write_day_index(dayindex.build_day_index(fact), dayindex.latest_days, scratch_path(fact.sparkSession, "index"))
+    return gold_store.read_day_index(fact.sparkSession, path)
+
+
+_HOTSPOTS_WINDOW = f"""
     WITH w AS ({_WINDOW_SQL})
     SELECT condition_code, condition_code AS condition_display, h3, {_LAT} AS lat, {_LON} AS lon,
            CAST(sum(case_count) AS BIGINT) AS cases, CAST(sum(case_count) AS BIGINT) AS original_cases,
            max(date_key) AS latest_date, count(DISTINCT date_key) AS days_with_cases
-    FROM w WHERE {_CHOSEN_SQL} GROUP BY condition_code, h3 HAVING sum(case_count) > 0""")
+    FROM w WHERE {_CHOSEN_SQL} GROUP BY condition_code, h3 HAVING sum(case_count) > 0"""
+
+
+@query("hotspots_window_indexed", "fact", "conditions", sql=_HOTSPOTS_WINDOW)
+def hotspots_window_indexed(spark, sf):
+    """The same from the day index: the fact is not looked at again."""
+    fact = data.published_fact(spark, sf)
+    index, latest = _day_index(fact)
+    summary = data.written(gold.condition_cells(fact), "condition-cells")
+    cells, conditions = gold.cells_dim(summary, data.STAMP), gold.conditions_dim(summary, data.STAMP)
+    points = dayindex.window_hotspots(index, latest, 90, _CHOSEN)
+    return hotspots.labelled_points(points, cells, conditions)
+
+
+@query("hotspots_window", "fact", "conditions", sql=_HOTSPOTS_WINDOW)
 def hotspots_window(spark, sf):
     """The filtered 90-day hotspot query for every condition, each anchored on its latest day."""
     fact = data.published_fact(spark, sf)
-    cells, conditions = gold.cells_dim(fact, data.STAMP), gold.conditions_dim(fact, data.STAMP)
+    summary = data.written(gold.condition_cells(fact), "condition-cells")
+    cells, conditions = gold.cells_dim(summary, data.STAMP), gold.conditions_dim(summary, data.STAMP)
     return hotspots.hotspot_points(fact, cells, conditions, 90, data.AS_OF, _CHOSEN)
 
 
@@ -53,9 +76,37 @@ def filter_predicate(spark, sf):
     return hotspots.hotspots(data.dense_fact(spark, sf), chosen)
 
 
-@query("hotspot_stats", "fact", sql=f"""
+_STATS = f"""
     SELECT CAST(coalesce(sum(case_count), 0) AS BIGINT) AS total_cases, count(DISTINCT date_key) AS active_days
-    FROM fact WHERE date_key BETWEEN '1996-01-01' AND '1999-12-31' AND {_CHOSEN_SQL}""")
+    FROM fact WHERE date_key BETWEEN '1996-01-01' AND '1999-12-31' AND {_CHOSEN_SQL}"""
+
+
+@query("hotspot_stats_indexed", "fact", sql=_STATS)
+def hotspot_stats_indexed(spark, sf):
+    chosen = Filters(None, "1996-01-01", "1999-12-31", _CHOSEN.age_groups, _CHOSEN.genders)
+    return dayindex.hotspot_stats(_day_index(data.fact(spark, sf))[0], chosen)
+
+
+@query("filter_predicate_indexed", "dense_fact", sql=f"""
+    SELECT condition_code, h3, CAST(sum(case_count) AS BIGINT) AS case_count, max(date_key) AS latest_date,
+           count(DISTINCT date_key) AS days_with_cases
+    FROM dense_fact WHERE date_key >= '1997-01-01' AND date_key <= '1999-12-01' AND condition_code = '4-NOT SPECIFIED' AND {_CHOSEN_SQL}
+    GROUP BY condition_code, h3 HAVING sum(case_count) > 0""")
+def filter_predicate_indexed(spark, sf):
+    """One condition's partition of the index, and the words of the asked days."""
+    chosen = Filters("4-NOT SPECIFIED", "1997-01-01", "1999-12-01", _CHOSEN.age_groups, _CHOSEN.genders)
+    return dayindex.hotspots(_day_index(data.dense_fact(spark, sf))[0], chosen)
+
+
+@query("daily_series_indexed", "dense_fact", sql=f"""
+    SELECT condition_code, date_key, h3, CAST(sum(case_count) AS BIGINT) AS case_count
+    FROM dense_fact WHERE date_key >= '1996-02-01' AND {_CHOSEN_SQL} GROUP BY ALL HAVING sum(case_count) > 0""")
+def daily_series_indexed(spark, sf):
+    chosen = Filters(None, "1996-02-01", None, _CHOSEN.age_groups, _CHOSEN.genders)
+    return dayindex.daily_series(_day_index(data.dense_fact(spark, sf))[0], chosen)
+
+
+@query("hotspot_stats", "fact", sql=_STATS)
 def hotspot_stats(spark, sf):
     chosen = Filters(None, "1996-01-01", "1999-12-31", _CHOSEN.age_groups, _CHOSEN.genders)
     return hotspots.hotspot_stats(data.fact(spark, sf), chosen)

@@ -247,10 +247,10 @@ def incremental_step(spark, sf):
 
 
 @query("incremental_backlog", "patients", sql="""
-    SELECT patient_id, CASE CAST(patient_id AS BIGINT) % 4 WHEN 0 THEN 'second ' WHEN 1 THEN 'third ' WHEN 2 THEN 'late ' ELSE '' END || name AS name
-    FROM patients""")
+    SELECT patient_id, CASE CAST(patient_id AS BIGINT) % 4 WHEN 0 THEN 'second ' WHEN 1 THEN 'third ' WHEN 2 THEN 'late ' ELSE 'again ' END || name AS name
+    FROM patients UNION ALL SELECT CAST(CAST(patient_id AS BIGINT) + 10000000 AS VARCHAR), name FROM patients WHERE CAST(patient_id AS BIGINT) % 4 = 1""")
 def incremental_backlog(spark, sf):
-    """Three landings meet one step, and an older landing that came late is named in another one."""
+    """Three landings meet one step, an older one that came late is named in another, and the first is landed again."""
     layout, people = Layout(scratch_path(spark, "backlog")), data.patients(spark, sf)
     renamed = lambda k, word: people.where(F.col("patient_id").cast("bigint") % 4 == k).withColumn("name", F.concat(F.lit(word + " "), "name"))
 
@@ -266,6 +266,13 @@ def incremental_backlog(spark, sf):
     bronze_to_silver(spark, layout, dt.datetime(2024, 2, 4, 7))
     land(renamed(2, "late"), "1700000000000", 1, "03")
     bronze_to_silver(spark, layout, dt.datetime(2024, 2, 5, 7), "1700000000000")
+    # The oldest run is replaced: a quarter of its patients is repaired, others are new, the rest is gone from it.
+    k = F.col("patient_id").cast("bigint")
+    fresh = people.where(k % 4 == 1).withColumn("patient_id", (k + 10_000_000).cast("string"))
+    stamped = data.patient_bronze(spark, sf, renamed(3, "again").unionByName(fresh))
+    stamped = stamped.withColumn("resource_json", F.regexp_replace("resource_json", '"lastUpdated":"2024-01', '"lastUpdated":"2024-04'))
+    bronze.write_bronze(bronze.bronze_rows(stamped, data.RUN_1, dt.datetime(2024, 2, 6, 6)), layout.bronze, replace=True)
+    bronze_to_silver(spark, layout, dt.datetime(2024, 2, 6, 7))
     return silver_table(spark, layout, "patient").select("patient_id", "name")
 
 

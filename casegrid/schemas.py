@@ -65,6 +65,9 @@ CONDITIONS_DIM = _struct(
     age_groups_json=S, genders_json=S,
 )
 CELLS_DIM = _struct(h3=S, latitude=D, longitude=D, generated_at=S, total_unique=I)
+# Kept with the dimensions, so that a change of some conditions needs no look at the others.
+CONDITION_CELLS = _struct(condition_code=S, h3=S, case_count=L)
+CONDITION_TEXTS = _struct(condition_code=S, condition_text=S, n=L)
 
 # Append-only run-state logs; the current value is the newest row per id.
 CURSOR_LOG = _struct(id=S, last_cursor=TS, last_update=TS)

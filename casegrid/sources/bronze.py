@@ -53,6 +53,23 @@ def landed_runs(spark: SparkSession, root: str, resource_type: str) -> list[str]
     return sorted(found, key=run_order)
 
 
+def run_marks(spark: SparkSession, root: str, resource_type: str) -> dict[str, dt.datetime]:
+    """When the newest file of every run of a type was written, from directory listings alone; oldest run first."""
+    kind = f"{root}/resource_type={resource_type}"
+    found: dict[str, int] = {}
+    for day in fs.partition_values(spark, kind, "ingestion_date"):
+        for run in fs.partition_values(spark, f"{kind}/ingestion_date={day}", "run_ts"):
+            newest = fs.newest_file_time(spark, f"{kind}/ingestion_date={day}/run_ts={run}")
+            found[run] = max(newest, found.get(run, 0))
+    epoch = dt.datetime(1970, 1, 1)
+    return {run: epoch + dt.timedelta(milliseconds=found[run]) for run in sorted(found, key=run_order)}
+
+
+def written_after(mark: dt.datetime) -> Column:
+    """Rows of files written after the mark; files before it are not opened."""
+    return F.col("_metadata.file_modification_time") > F.lit(mark).cast("timestamp")
+
+
 def latest_run(spark: SparkSession, root: str) -> str | None:
     """Largest all-digit run id of any type and date."""
     kinds = fs.partition_values(spark, root, "resource_type")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -31,6 +34,46 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for p in found for name in files(spark, p.toString()))
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    jvm_path, fs = _path(spark, path)
+    stream = fs.open(jvm_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file unless there is one of this name; True if this call made it.
+
+    The file appears whole: it is written beside and then renamed, which no file system that Hadoop
+    calls consistent does over an existing file.
+    """
+    target, fs = _path(spark, path)
+    beside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    if fs.exists(target):
+        return False
+    fs.mkdirs(target.getParent())
+    stream = fs.create(beside, False)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._jvm.java.lang.reflect.Array.newInstance(
+        spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0
+    )
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(target), options)  # refuses to overwrite
+    except Py4JJavaError:
+        fs.delete(beside, False)
+        if not fs.exists(target):
+            raise
+        return False
+    return True
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     """The first line of a text file; nothing else of it is read."""
     jvm_path, fs = _path(spark, path)
@@ -55,6 +98,15 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     return sorted(name[len(prefix):] for name in names if name.startswith(prefix))
 
 
+def newest_file_time(spark: SparkSession, path: str) -> int:
+    """When the newest data file below ``path`` was written, in milliseconds; 0 where there is none."""
+    jvm_path, fs = _path(spark, path)
+    found = [s for s in fs.listStatus(jvm_path) if not s.getPath().getName().startswith(("_", "."))]
+    return max(
+        (newest_file_time(spark, s.getPath().toString()) if s.isDirectory() else s.getModificationTime() for s in found), default=0
+    )
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A finished write leaves a ``_SUCCESS`` marker."""
     return exists(spark, f"{path}/_SUCCESS")

@@ -69,18 +69,29 @@ def get_cursors(spark: SparkSession, root: str, names: list[str]) -> dict[str, d
 
 
 def set_run_cursors(
-    spark: SparkSession, root: str, cursors: dict[str, dict[str, dt.datetime]], at: dt.datetime
+    spark: SparkSession,
+    root: str,
+    cursors: dict[str, dict[str, dt.datetime]],
+    at: dt.datetime,
+    marks: dict[str, dict[str, dt.datetime]] | None = None,
 ) -> None:
-    """Move the cursors of runs, by table; in one write."""
-    set_cursors(spark, root, {f"{table}@{run}": stamp for table, runs in cursors.items() for run, stamp in runs.items()}, at)
+    """Move the cursors of runs, by table, and the marks of the files read; in one write."""
+    set_cursors(
+        spark, root,
+        {
+            f"{table}{sign}{run}": stamp
+            for sign, values in (("@", cursors), ("#", marks or {})) for table, runs in values.items() for run, stamp in runs.items()
+        },
+        at,
+    )
 
 
-def get_run_cursors(spark: SparkSession, root: str, tables: list[str]) -> dict[str, dict[str, dt.datetime]]:
-    """Cursor of every run that a table has merged, in one read of the log."""
-    names = current(read_log(spark, root, "cursors").where(F.substring_index("id", "@", 1).isin(tables) & F.col("id").contains("@")))
+def get_run_cursors(spark: SparkSession, root: str, tables: list[str], sign: str = "@") -> dict[str, dict[str, dt.datetime]]:
+    """Cursor of every run that a table has merged, in one read of the log; with ``#`` the marks of the files read."""
+    names = current(read_log(spark, root, "cursors").where(F.substring_index("id", sign, 1).isin(tables) & F.col("id").contains(sign)))
     out: dict[str, dict[str, dt.datetime]] = {}
     for row in names.collect():
-        table, _, run = row["id"].partition("@")
+        table, _, run = row["id"].partition(sign)
         out.setdefault(table, {})[run] = row["last_cursor"]
     return out
 

@@ -10,7 +10,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from casegrid import schemas
 from casegrid.functions import geo
-from casegrid.operators.dedupe import merge_snapshot
 from casegrid.plans.bronze_to_silver import STATE_ID, extract
 from casegrid.plans.layout import Layout
 from casegrid.plans.silver_to_gold import refresh_gold
@@ -46,14 +45,12 @@ def _apply_batch(
     # Which of the five types arrived: read from the partition column alone.
     kinds = batch.select("resource_type").where(F.col("resource_type").isin(list(fhir.RESOURCES)))
     arrived = {row[0] for row in kinds.distinct().collect()}
-    for resource_type, (table, key, _) in fhir.RESOURCES.items():
+    for resource_type, (table, _, _) in fhir.RESOURCES.items():
         if resource_type not in arrived:
             continue
-        base = spark.read.schema(schemas.SILVER[table]).parquet(before[table]) if table in before else None
         fresh, rejects = extract(batch.where(F.col("resource_type") == resource_type), resource_type, now)
         run_ts = str(int(now.timestamp() * 1000))
-        merged = fresh if base is None else merge_snapshot(base, fresh, key)
-        after[table] = silver.write_snapshot(merged, layout.silver, table, run_ts)
+        after[table] = silver.merge_delta(spark, before.get(table), fresh, layout.silver, table, run_ts)
         # A batch that is delivered again writes the same folder again.
         rejects.write.mode("overwrite").parquet(f"{layout.rejects}/{table}/batch={stream}-{batch_id}")
     state.set_run_state(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casegrid import schemas
 from casegrid.functions import severity
-from casegrid.operators import allocate, dedupe, frames, gold, hotspots, merge, quality, ranking
+from casegrid.operators import allocate, dedupe, frames, deltas, gold, hotspots, merge, quality, ranking
 from casegrid.operators.components import connected_components
 from casegrid.operators.hotspots import Filters
 
@@ -129,9 +129,13 @@ def test_refresh_removes_the_old_band_and_emptied_groups(spark):
     before = gold.gold_fact(conditions, people, AS_OF)
     older = people.withColumn("dob", F.when(F.col("patient_id") == "4", "1950-01-01").otherwise(F.col("dob")))
     fewer = conditions.where("condition_id <> 'c'")
-    touched = gold.touched_regions((conditions, people), (fewer, older), AS_OF)
-    refreshed = gold.recount_regions(before, touched, fewer, older, AS_OF)
-    assert rows(refreshed) == rows(gold.gold_fact(fewer, older, AS_OF))
+    after = gold.located_patients(older, AS_OF)
+    changes = deltas.signed_cases(
+        deltas.signed_changes(deltas.condition_forms(conditions), deltas.condition_forms(fewer)),
+        deltas.signed_changes(gold.located_patients(people, AS_OF), after), gold.dated_conditions(conditions), after,
+    )
+    places = deltas.recounted_places(deltas.lost_places(before, changes), fewer, older, AS_OF)
+    assert rows(deltas.apply_changes(before, changes, places)) == rows(gold.gold_fact(fewer, older, AS_OF))
 
 
 # --- window queries ---
