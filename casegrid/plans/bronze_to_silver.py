@@ -82,8 +82,8 @@ def bronze_to_silver(
 
     Without ``bronze_ts`` every run that a table has not merged is read, so that landings which meet
     one step are not lost; with it that run is read whole. Each table keeps a cursor per run, moved
-    only over runs that were read and only after the new state is published: a failure in between
-    leads to a repeated merge, not to a gap. A table without new rows is carried forward by pointing
+    only over runs that were read and in the commit that publishes the new state: a failure before it
+    leads to a repeated merge, not to a gap, and of two steps at once one is refused. A table without new rows is carried forward by pointing
     at its present snapshot; of the others only the buckets that get rows are written. Rejects are
     written below a name that a repeated step writes again.
     """
@@ -97,10 +97,11 @@ def bronze_to_silver(
 
 
 def _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id) -> StepResult:
-    pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
+    base_state = state.snapshot(spark, layout.state)
+    pointer = state.run_state(base_state, STATE_ID) or {}
     published: dict[str, str] = dict(pointer.get("tables", {}))
     names = [table for table, _, _ in fhir.RESOURCES.values()]
-    cursors, marks = (state.get_run_cursors(spark, layout.state, names, sign) for sign in "@#")
+    cursors, marks = (state.run_cursors(base_state, names, sign) for sign in "@#")
     pending = {
         kind: unmerged(spark, layout, kind, cursors.get(table, {}), marks.get(table, {}), bronze_ts)
         for kind, (table, _, _) in fhir.RESOURCES.items()
@@ -135,11 +136,12 @@ def _step(spark, layout, run_time, bronze_ts, silver_ts, pipeline_run_id) -> Ste
         metrics += [(table, "rows", rows), (table, "rejects", spark.read.parquet(refused).count())]
         moved[table] = {run: max(newest, cursors.get(table, {}).get(run, newest)) for run, (_, newest) in arrived.items()}
         records += rows
-    state.set_run_state(
-        spark, layout.state, STATE_ID, target, run_time,
-        bronze_ts=source, pipeline_run_id=pipeline_run_id, tables=published,
+    # The new state and the cursors up to it are one commit, refused if another step has published since.
+    pointed = state.run_state_change(
+        STATE_ID, target, run_time, bronze_ts=source, pipeline_run_id=pipeline_run_id, tables=published
     )
-    state.set_run_cursors(spark, layout.state, moved, run_time, seen)
+    changes = {**pointed, **state.run_cursor_changes(moved), **state.run_cursor_changes(seen, "#")}
+    state.publish(spark, layout.state, base_state, changes, (state.state_name(STATE_ID),))
     state.record_quality(spark, layout.state, metrics, run_time)
     state.record_job(
         spark, layout.state, "bronze_to_silver", "completed", records, run_time,

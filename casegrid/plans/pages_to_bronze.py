@@ -62,7 +62,7 @@ def _land(spark, layout, pages, run_ts, run_time) -> Landing:
         for r in kinds if r["newest"] is not None or names[r["resource_type"]] in known
     }
     state.set_run_state(spark, layout.state, STATE_ID, run_ts, run_time, types=sorted(names))
-    state.set_cursors(spark, layout.state, cursors, run_time)
+    state.set_cursors(spark, layout.state, cursors)
     metrics = [(f"bronze:{r['resource_type']}", m, r[m]) for r in kinds for m in ("rows", "without_id")]
     state.record_quality(spark, layout.state, metrics, run_time)
     return Landing(run_ts, sum(r["rows"] for r in kinds), cursors)

@@ -33,6 +33,7 @@ def silver_to_gold(
     the existing fact and never removes a key. The join and the count run once: the dimensions are
     derived from the fact that was just written.
     """
+    base = state.snapshot(spark, layout.state)
     patients = silver_table(spark, layout, "patient", silver_ts)
     conditions = silver_table(spark, layout, "condition", silver_ts)
     if patients is None or conditions is None:
@@ -46,7 +47,7 @@ def silver_to_gold(
     state.record_quality(spark, layout.state, [("patient", name, counts[name]) for name in ("patients", "unlocated")], run_time)
     path = gold.write_fact(fact, layout.gold)
     cells = ops.condition_cells(gold.open_fact(spark, path))
-    return publish(spark, layout, path, cells, texts, run_time, parity, as_of, pipeline_run_id)
+    return publish(spark, layout, base, path, cells, texts, run_time, parity, as_of, pipeline_run_id)
 
 
 def read_published(spark: SparkSession, layout: Layout, condition_code: str | None = None) -> dict[str, DataFrame] | None:
@@ -60,10 +61,10 @@ def read_published(spark: SparkSession, layout: Layout, condition_code: str | No
     }
 
 
-def publish(spark, layout, path, cells, texts, run_time, keep_old_dimensions, as_of, pipeline_run_id=None) -> str:
-    """Write the dimensions of a fact that is written, then one state row that names all of them.
+def publish(spark, layout, base, path, cells, texts, run_time, keep_old_dimensions, as_of, pipeline_run_id=None) -> str:
+    """Write the dimensions of a fact that is written, then one commit that names all of them.
 
-    ``cells`` are the cases per condition and cell, ``texts`` the texts per condition (None: labels stay codes).
+    It is refused if Gold has been published since ``base`` was read. ``cells`` are the cases per condition and cell, ``texts`` the texts per condition (None: labels stay codes).
     """
     before = read_published(spark, layout) if keep_old_dimensions else None
     old = [before[name] if before else None for name in (gold.CONDITIONS, gold.CELLS)]
@@ -77,9 +78,10 @@ def publish(spark, layout, path, cells, texts, run_time, keep_old_dimensions, as
     labels = None if texts is None else ops.labels_of(write(texts, gold.CONDITION_TEXTS))
     write(ops.conditions_dim(cells, stamp, labels, old[0]), gold.CONDITIONS)
     write(ops.cells_dim(cells, stamp, old[1]), gold.CELLS)
-    state.set_run_state(
-        spark, layout.state, STATE_ID, path.rsplit("=", 1)[-1], run_time, path=path, dimensions=dimensions, as_of=as_of.isoformat()
+    pointed = state.run_state_change(
+        STATE_ID, path.rsplit("=", 1)[-1], run_time, path=path, dimensions=dimensions, as_of=as_of.isoformat()
     )
+    state.publish(spark, layout.state, base, pointed, (state.state_name(STATE_ID),))
     cases = cells.groupBy().sum("case_count").first()[0] or 0
     state.record_job(
         spark, layout.state, "silver_to_gold", "completed", cases, run_time, pipeline_run_id=pipeline_run_id
@@ -114,12 +116,13 @@ def refresh_gold(
         shared = set(silver.manifest(spark, after[table])["folders"]) - buckets
         return tuple(silver.open_snapshot(spark, p[table], table, b) for p, b in ((before, buckets), (after, buckets), (after, shared)))
 
-    pointer = state.get_run_state(spark, layout.state, STATE_ID)
+    base = state.snapshot(spark, layout.state)
+    pointer = state.run_state(base, STATE_ID)
     conditions, patients = whole(after, "condition"), whole(after, "patient")
     if pointer is None or "as_of" not in pointer or gold.CONDITION_TEXTS not in pointer["dimensions"]:
         path = gold.write_fact(ops.gold_fact(conditions, patients, as_of, resolution), layout.gold)
         cells = ops.condition_cells(gold.open_fact(spark, path))
-        return publish(spark, layout, path, cells, ops.condition_texts(conditions), run_time, False, as_of)
+        return publish(spark, layout, base, path, cells, ops.condition_texts(conditions), run_time, False, as_of)
 
     counted_on = dt.date.fromisoformat(pointer["as_of"])
     old, new, _ = differing("condition")
@@ -150,7 +153,7 @@ def refresh_gold(
     cells = cells.unionByName(ops.condition_cells(gold.open_fact(spark, path, codes)))
     texts = published[gold.CONDITION_TEXTS].unionByName(ops.condition_texts(condition_changes))
     texts = texts.groupBy("condition_code", "condition_text").agg(F.sum("n").alias("n")).where("n > 0")
-    return publish(spark, layout, path, cells, texts, run_time, False, as_of)
+    return publish(spark, layout, base, path, cells, texts, run_time, False, as_of)
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:

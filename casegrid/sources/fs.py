@@ -88,6 +88,14 @@ def first_line(spark: SparkSession, path: str) -> str:
         reader.close()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly below a folder, in order; nothing if there is none."""
+    jvm_path, fs = _path(spark, path)
+    if not fs.exists(jvm_path):
+        return []
+    return sorted(n for s in fs.listStatus(jvm_path) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of one partition column directly below ``path``: directory names, no file is opened."""
     jvm_path, fs = _path(spark, path)

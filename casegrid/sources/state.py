@@ -1,4 +1,7 @@
-"""Run-state logs: append-only Parquet, the newest row per id is the current value."""
+"""Run state: named cursors and pointers in a log of commits, and append-only Parquet logs of jobs, runs and quality.
+
+In the Parquet logs the newest row per id is the current value.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from casegrid import schemas
 from casegrid.operators.dedupe import conform, latest_per_key
 from casegrid.operators.ranking import largest
-from casegrid.sources import fs
+from casegrid.sources import commits, fs
 
 LOGS = {
     "cursors": schemas.CURSOR_LOG,
@@ -55,45 +58,75 @@ def current_runs(log: DataFrame) -> DataFrame:
     )
 
 
-def set_cursors(spark: SparkSession, root: str, cursors: dict[str, dt.datetime], at: dt.datetime) -> None:
+# --- named cursors and run states, in one log of commits: what a job publishes is one commit
+
+
+def snapshot(spark: SparkSession, root: str) -> commits.State:
+    """All named values as of the newest commit."""
+    return commits.read(spark, f"{root}/commits")
+
+
+def publish(spark: SparkSession, root: str, base: commits.State, changes: dict[str, Any], guard: tuple[str, ...] = ()) -> commits.State:
+    """Change named values at once; refused if a guarded one has changed since ``base`` was read."""
+    return commits.publish(spark, f"{root}/commits", base, changes, guard)
+
+
+def state_name(state_id: str) -> str:
+    return f"state:{state_id}"
+
+
+def run_state_change(state_id: str, run_ts: str, at: dt.datetime, **details: Any) -> dict[str, Any]:
+    value = {**json.loads(json.dumps(details, default=str)), "run_ts": run_ts, "last_update": at.isoformat()}
+    return {state_name(state_id): value}
+
+
+def run_state(base: commits.State, state_id: str) -> dict[str, Any] | None:
+    found = base.values.get(state_name(state_id))
+    return None if found is None else {k: v for k, v in found.items() if k != "last_update"}
+
+
+def cursor_changes(cursors: dict[str, dt.datetime]) -> dict[str, str]:
+    return {f"cursor:{name}": stamp.isoformat() for name, stamp in cursors.items()}
+
+
+def run_cursor_changes(table_cursors: dict[str, dict[str, dt.datetime]], sign: str = "@") -> dict[str, str]:
+    """Cursors of runs by table; with ``#`` the marks of the files that were read."""
+    return cursor_changes({f"{table}{sign}{run}": stamp for table, runs in table_cursors.items() for run, stamp in runs.items()})
+
+
+def run_cursors(base: commits.State, tables: list[str], sign: str = "@") -> dict[str, dict[str, dt.datetime]]:
+    """Cursor of every run that a table has merged; with ``#`` the marks of the files read."""
+    out: dict[str, dict[str, dt.datetime]] = {}
+    for name, value in base.values.items():
+        table, found, run = name.removeprefix("cursor:").partition(sign)
+        if name.startswith("cursor:") and found and table in tables:
+            out.setdefault(table, {})[run] = dt.datetime.fromisoformat(value)
+    return out
+
+
+def set_cursors(spark: SparkSession, root: str, cursors: dict[str, dt.datetime]) -> None:
     """Move named cursors. Call it after the data up to them is published."""
     if cursors:
-        rows = [(name, cursor, at) for name, cursor in cursors.items()]
-        append(spark.createDataFrame(rows, schemas.CURSOR_LOG), root, "cursors")
+        publish(spark, root, commits.State(), cursor_changes(cursors))
 
 
 def get_cursors(spark: SparkSession, root: str, names: list[str]) -> dict[str, dt.datetime]:
     """Current value of each named cursor that was ever set."""
-    rows = current(read_log(spark, root, "cursors").where(F.col("id").isin(names))).collect()
-    return {row["id"]: row["last_cursor"] for row in rows}
+    values = snapshot(spark, root).values
+    return {n: dt.datetime.fromisoformat(values[f"cursor:{n}"]) for n in names if f"cursor:{n}" in values}
 
 
-def set_run_cursors(
-    spark: SparkSession,
-    root: str,
-    cursors: dict[str, dict[str, dt.datetime]],
-    at: dt.datetime,
-    marks: dict[str, dict[str, dt.datetime]] | None = None,
-) -> None:
-    """Move the cursors of runs, by table, and the marks of the files read; in one write."""
-    set_cursors(
-        spark, root,
-        {
-            f"{table}{sign}{run}": stamp
-            for sign, values in (("@", cursors), ("#", marks or {})) for table, runs in values.items() for run, stamp in runs.items()
-        },
-        at,
-    )
+def get_run_cursors(spark: SparkSession, root: str, tables: list[str]) -> dict[str, dict[str, dt.datetime]]:
+    return run_cursors(snapshot(spark, root), tables)
 
 
-def get_run_cursors(spark: SparkSession, root: str, tables: list[str], sign: str = "@") -> dict[str, dict[str, dt.datetime]]:
-    """Cursor of every run that a table has merged, in one read of the log; with ``#`` the marks of the files read."""
-    names = current(read_log(spark, root, "cursors").where(F.substring_index("id", sign, 1).isin(tables) & F.col("id").contains(sign)))
-    out: dict[str, dict[str, dt.datetime]] = {}
-    for row in names.collect():
-        table, _, run = row["id"].partition(sign)
-        out.setdefault(table, {})[run] = row["last_cursor"]
-    return out
+def set_run_state(spark: SparkSession, root: str, state_id: str, run_ts: str, at: dt.datetime, **details: Any) -> None:
+    """Set one run state, whatever it was."""
+    publish(spark, root, commits.State(), run_state_change(state_id, run_ts, at, **details))
+
+
+def get_run_state(spark: SparkSession, root: str, state_id: str) -> dict[str, Any] | None:
+    return run_state(snapshot(spark, root), state_id)
 
 
 def record_quality(
@@ -105,19 +138,6 @@ def record_quality(
         append(spark.createDataFrame(rows, schemas.QUALITY_LOG), root, "quality")
 
 
-def set_run_state(
-    spark: SparkSession, root: str, state_id: str, run_ts: str, at: dt.datetime, **details: Any
-) -> None:
-    append_values(
-        spark, root, "run_state", id=state_id, run_ts=run_ts, details=json.dumps(details, default=str), last_update=at
-    )
-
-
-def get_run_state(spark: SparkSession, root: str, state_id: str) -> dict[str, Any] | None:
-    row = current(read_log(spark, root, "run_state").where(F.col("id") == state_id)).first()
-    return None if row is None else {**json.loads(row["details"] or "{}"), "run_ts": row["run_ts"]}
-
-
 def record_job(
     spark: SparkSession, root: str, job_name: str, status: str, records: int, at: dt.datetime,
     error: str | None = None, pipeline_run_id: str | None = None, details: dict | None = None,

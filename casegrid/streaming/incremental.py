@@ -36,7 +36,8 @@ def _apply_batch(
     a failure changes nothing.
     """
     spark = batch.sparkSession
-    pointer = state.get_run_state(spark, layout.state, STATE_ID) or {}
+    base = state.snapshot(spark, layout.state)
+    pointer = state.run_state(base, STATE_ID) or {}
     if pointer.get("stream") == stream and pointer.get("batch_id", -1) >= batch_id:
         return
     before = dict(pointer.get("tables", {}))
@@ -53,10 +54,10 @@ def _apply_batch(
         after[table] = silver.merge_delta(spark, before.get(table), fresh, layout.silver, table, run_ts)
         # A batch that is delivered again writes the same folder again.
         rejects.write.mode("overwrite").parquet(f"{layout.rejects}/{table}/batch={stream}-{batch_id}")
-    state.set_run_state(
-        spark, layout.state, STATE_ID, str(int(now.timestamp() * 1000)), now,
-        stream=stream, batch_id=batch_id, tables=after,
+    pointed = state.run_state_change(
+        STATE_ID, str(int(now.timestamp() * 1000)), now, stream=stream, batch_id=batch_id, tables=after
     )
+    state.publish(spark, layout.state, base, pointed, (state.state_name(STATE_ID),))
 
 
 def _utc_now() -> dt.datetime:

@@ -76,7 +76,7 @@ def test_incremental_runs(spark, layout):
 def test_failure_before_the_cursor_moves_is_repeated(spark, layout, monkeypatch):
     land(spark, layout, [patient("a", "A", "2026-01-01T00:00:00Z")], RUN_1, T1)
     with monkeypatch.context() as patch:
-        patch.setattr(state, "set_run_state", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        patch.setattr(state, "publish", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             b2s.bronze_to_silver(spark, layout, T1)
     assert state.get_run_cursors(spark, layout.state, ["patient"]) == {}
