@@ -8,8 +8,9 @@ count is exact. Scanning ends when no phrase is active and none can become so.
 
 What is active is known to a scan through fixed-size bit tables over phrase hashes, which let a few
 others pass; a join with the exact steps removes these before anything is added up. A first pass over
-the corpus, which also writes the shards, counts words and pairs of words in a fixed number of hash
-buckets: what falls into a bucket below the threshold cannot reach it and is never written.
+the corpus, which also writes the shards, counts words and pairs of words in hash buckets, as many as
+an eighth of the corpus has bytes: what falls into a bucket below the threshold cannot reach it and is
+never written.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ LONGEST = 4
 THRESHOLD = 30
 SHARDS = 4
 BEST = 2_000
-# Hash buckets of the first pass (a byte each in a task), in blocks that travel one by one.
-BUCKETS = 1 << 25
+# Hash buckets of the first pass, in blocks that travel one by one. Each is a byte in a task and a bit in
+# what is broadcast, hence the bound: beyond it more of what stays below the threshold is written.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 27
 BLOCK = 1 << 16
+# Most phrases (16 bytes each) that are broadcast; beyond, they are joined by a shuffle.
+MAX_BROADCAST = 1 << 20
 # Bits of the tables of phrases that have reached the threshold.
 BITS = 1 << 24
 # Occurrences that a task holds before it adds them up and writes them.
@@ -92,12 +96,18 @@ class Words:
             self.hashes = mix(RollingHash(self.data).spans(self.starts, self.ends) ^ np.array(seeds, np.uint64)[self.langs])
 
 
-def _bucket(hashes: np.ndarray, size: int) -> np.ndarray:
+def _bucket(hashes: np.ndarray, size: int, buckets: int) -> np.ndarray:
     """Buckets of words and of pairs differ."""
-    return ((hashes >> np.uint64(20 + size)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((hashes >> np.uint64(20 + size)) & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _deal(docs: DataFrame, shards: int, path: str) -> DataFrame:
+def _buckets_for(docs: DataFrame) -> int:
+    """A power of two of about an eighth of the bytes of all texts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (int(size) // 8).bit_length()))
+
+
+def _deal(docs: DataFrame, shards: int, n_buckets: int, path: str) -> DataFrame:
     """Write all texts by shard (kind 0), each task's buckets (kind 1) and words by language (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +121,9 @@ def _deal(docs: DataFrame, shards: int, path: str) -> DataFrame:
                 words = Words(part)
                 for i, k in enumerate(np.bincount(words.langs, minlength=len(words.names)).tolist()):
                     total[words.names[i]] = total.get(words.names[i], 0) + k
-                buckets = np.zeros(BUCKETS, np.uint8) if buckets is None else buckets
+                buckets = np.zeros(n_buckets, np.uint8) if buckets is None else buckets
                 pairs, _ = windows(words.hashes, words.pieces, 2)
-                place, times = np.unique(np.concatenate([_bucket(words.hashes, 1), _bucket(pairs, 2)]), return_counts=True)
+                place, times = np.unique(np.concatenate([_bucket(words.hashes, 1, n_buckets), _bucket(pairs, 2, n_buckets)]), return_counts=True)
                 buckets[place] = np.minimum(buckets[place] + times, 255)
         if buckets is not None:
             place = np.flatnonzero(buckets)
@@ -131,8 +141,8 @@ def _deal(docs: DataFrame, shards: int, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(_ddl(_LOOK)).parquet(path)
 
 
-def _possible(dealt: DataFrame, threshold: int) -> np.ndarray:
-    """Which buckets reach the threshold: a bit each, so of fixed size whatever the corpus."""
+def _possible(dealt: DataFrame, threshold: int, n_buckets: int) -> np.ndarray:
+    """Which buckets reach the threshold: a bit each, so of bounded size whatever the corpus."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total = None, np.zeros(BLOCK, np.int64)
@@ -157,7 +167,7 @@ def _possible(dealt: DataFrame, threshold: int) -> np.ndarray:
 
     # Ordered by block, so that a task holds one block at a time, however many tasks have written it.
     blocks = dealt.where("kind = 1").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    out = np.zeros(BUCKETS // 8, np.uint8)
+    out = np.zeros(n_buckets // 8, np.uint8)
     for row in blocks.mapInArrow(add, "block int, bits binary").toArrow().to_pylist():
         out[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
@@ -176,11 +186,16 @@ def _tables(reached: DataFrame, step: int, shards: int) -> np.ndarray:
     return out
 
 
-def _scan(shard: DataFrame, step: int, shards: int, longest: int, possible, tables) -> DataFrame:
+def _scan(shard: DataFrame, step: int, shards: int, longest: int, n_buckets: int, possible, tables) -> DataFrame:
     """Occurrences of what may be active in a shard, added up inside tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.unpackbits(possible.value).view(bool)
+        bits = possible.value
+
+        def allowed(hashes: np.ndarray, size: int) -> np.ndarray:
+            bucket = _bucket(hashes, size, n_buckets)
+            return (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
+
         flags = np.zeros(BITS, np.uint8)
         for i, packed in enumerate(tables.value):
             flags |= np.unpackbits(packed.view(np.uint8), bitorder="little") << np.uint8(i)
@@ -194,14 +209,12 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, possible, tabl
                 hashes, lang, prefix, suffix, times = (np.concatenate(c) for c in zip(*(p[:5] for p in parts)))
                 keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 total = np.bincount(inverse, weights=times).astype(np.int64)
-                known = {}
+                spelt = {}
                 if size == 1:
                     words = [w for p in parts for w in p[5]]
-                    known["word"] = pa.array([words[i] for i in first.tolist()], pa.string())
-                else:
-                    known = {"prefix": prefix[first].view(np.int64), "suffix": suffix[first].view(np.int64)}
-                yield _batch(_SEEN, size=np.full(len(keys), size, np.int32), lang=names.take(pa.array(lang[first])),
-                             hash=keys.view(np.int64), n=total, **known)
+                    spelt["word"] = pa.array([words[i] for i in first.tolist()], pa.string())
+                yield _batch(_SEEN, size=np.full(len(keys), size, np.int32), lang=names.take(pa.array(lang[first])), hash=keys.view(np.int64),
+                             prefix=prefix[first].view(np.int64), suffix=suffix[first].view(np.int64), n=total, **spelt)
 
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -209,7 +222,7 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, possible, tabl
                 known = np.array([langs.setdefault(name, len(langs)) for name in words.names], np.int64)
                 flag = flags[(words.hashes & np.uint64(BITS - 1)).astype(np.int64)]
                 if step < shards and len(words.hashes):
-                    some = np.flatnonzero(allowed[_bucket(words.hashes, 1)])
+                    some = np.flatnonzero(allowed(words.hashes, 1))
                     keys, first, times = np.unique(words.hashes[some], return_index=True, return_counts=True)
                     at = some[first]
                     raw = words.data.tobytes()
@@ -227,9 +240,9 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, possible, tabl
                     right = left + 1
                     a, b = flag[left], flag[right]
                     use = (a & b & 1) & ((a | b) >> 1) == 1
-                    if size == 2:
-                        use &= allowed[_bucket(hashes, 2)]
                     some = np.flatnonzero(use)
+                    if size == 2:
+                        some = some[allowed(hashes[some], 2)]
                     held.setdefault(size, []).append((
                         hashes[some], known[words.langs[at[some]]], shorter[left[some]], shorter[right[some]], np.ones(len(some), np.int64)
                     ))
@@ -253,43 +266,47 @@ def count_phrases(docs: DataFrame, path: str, longest: int = LONGEST, threshold:
     of each language. Everything is written below ``path``.
     """
     spark: SparkSession = docs.sparkSession
-    dealt = _deal(docs, shards, f"{path}/dealt")
-    possible = spark.sparkContext.broadcast(_possible(dealt, threshold))
-
-    def state(step: int, done: bool) -> DataFrame:
-        return spark.read.schema(_ddl(_STATE)).parquet(f"{path}/step-{step}").where(F.col("done") == done)
-
-    empty = spark.createDataFrame([], _ddl(_STATE))
-    finished, active, step = empty, empty, 0
+    n_buckets = _buckets_for(docs)
+    dealt = _deal(docs, shards, n_buckets, f"{path}/dealt")
+    possible = spark.sparkContext.broadcast(_possible(dealt, threshold, n_buckets))
+
+    def state(before: int) -> tuple[DataFrame, DataFrame]:
+        """Phrases that have completed their cycle before a step, and those within it."""
+        if not before:
+            empty = spark.createDataFrame([], _ddl(_STATE))
+            return empty, empty
+        rows = spark.read.schema(f"{_ddl(_STATE)}, step int").parquet(f"{path}/state")
+        return rows.where("done").drop("step"), rows.where((F.col("step") == before - 1) & ~F.col("done")).drop("step")
+
+    step = 0
     while True:
-        reached = finished.unionByName(active.where("reached is not null")).select("size", "hash", "reached")
-        if step:
-            # Anything to scan for: phrases in their cycle, or some that may start longer ones.
-            late = reached.where((F.col("size") < longest) & (F.col("reached") > step - 1 - shards))
-            if active.isEmpty() and late.isEmpty():
-                break
-        known = reached.where(F.col("size") < longest)
+        finished, active = state(step)
+        known = finished.unionByName(active).where((F.col("size") < longest) & F.col("reached").isNotNull()).select("hash", "reached")
+        # Anything to scan for: phrases in their cycle, or some that may start longer ones.
+        if step and active.isEmpty() and known.where(F.col("reached") > step - 1 - shards).isEmpty():
+            break
         tables = spark.sparkContext.broadcast(_tables(known, step, shards))
         shard = dealt.where((F.col("kind") == 0) & (F.col("shard") == step % shards))
-        seen = _scan(shard, step, shards, longest, possible, tables)
-        seen = seen.groupBy("size", "lang", "hash", "prefix", "suffix", "word").agg(F.sum("n").alias("n"))
-        # The step at which each is to start, exactly.
-        prefix, suffix = (known.select(F.col("hash").alias(c), F.col("reached").alias(f"{c}_reached")) for c in ("prefix", "suffix"))
-        longer = seen.where("size > 1").join(prefix, "prefix").join(suffix, "suffix")
-        longer = longer.withColumn("start", 1 + F.greatest("prefix_reached", "suffix_reached")).where(F.col("start") > step - shards)
-        counted = longer.select(*_SEEN, "start")
-        if step < shards:
-            counted = counted.unionByName(seen.where("size = 1").withColumn("start", F.lit(0)))
+        seen = _scan(shard, step, shards, longest, n_buckets, possible, tables)
+        # The step at which each is to start, exactly; few enough to be broadcast, or not.
+        small = known.count() <= MAX_BROADCAST
+        starts = [known.select(F.col("hash").alias(c), F.col("reached").alias(f"{c}_reached")) for c in ("prefix", "suffix")]
+        for side, c in zip(starts, ("prefix", "suffix")):
+            seen = seen.join(F.broadcast(side) if small else side, c, "left")
+        both = F.col("prefix_reached").isNotNull() & F.col("suffix_reached").isNotNull()
+        start = F.when(F.col("size") == 1, 0).when(both, 1 + F.greatest("prefix_reached", "suffix_reached"))
+        counted = seen.withColumn("start", start).where(F.col("start") > step - shards).select(*_SEEN, "start")
         counted = counted.withColumn("reached", F.lit(None).cast("int")).unionByName(active.select(*_SEEN, "start", "reached"))
         total = counted.groupBy(*[c for c in _SEEN if c != "n"], "start").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
         total = (
             total.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= threshold, step)))
             .withColumn("done", F.col("start") + shards - 1 <= step)
-            .where("not done or reached is not null")
+            .where("not done or reached is not null").withColumn("step", F.lit(step))
         )
-        total.select(*_STATE).write.partitionBy("done").parquet(f"{path}/step-{step}")
-        finished, active = finished.unionByName(state(step, True)), state(step, False)
+        total.select(*_STATE, "step").write.mode("append").partitionBy("step", "done").parquet(f"{path}/state")
+        tables.destroy()
         step += 1
+    possible.destroy()
     langs = dealt.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("total"))
     return finished.select(*_SEEN), langs
 
@@ -376,17 +393,18 @@ WITH d AS (
 ), g AS (
   SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
   FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM p, range(1, 5) AS ks(k) WHERE len(words) >= k)
-), f AS (
+), f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL
 ), t AS (
   SELECT lang, sum(n) AS total FROM f WHERE k = 1 GROUP BY lang
-), c AS (
+), c AS MATERIALIZED (
   SELECT lang, k, phrase, n, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, n, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.n, j, x.n AS l, y.n AS r, CAST(2000000 AS HUGEINT) * c.n // (x.n + y.n) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') AND x.k = j
-  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ') AND y.k = c.k - j
+  SELECT p.lang, p.phrase, p.n, j, x.n AS l, y.n AS r, CAST(2000000 AS HUGEINT) * p.n // (x.n + y.n) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.tail
 ), s AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), inside AS (
