@@ -10,6 +10,7 @@ Fitting uses a bounded sample; scoring reads every document whole.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -254,19 +255,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
                     ["doc_id", "y", "text", "metadata"],
                 )
 
-    found = with_y.unionByName(free).mapInArrow(features, "doc_id bigint, y double, text binary, metadata binary").toArrow()
-    # The same order whatever the partitions were; a labelled document is not unlabelled as well.
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _trained(pa.Table.from_batches(list(batches), _FEATURES))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    # The sample, of bounded size, meets in one task, and only weights come to the driver.
+    found = with_y.unionByName(free).mapInArrow(features, "doc_id bigint, y double, text binary, metadata binary")
+    models = found.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else None
+
+
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("text", pa.binary()), ("metadata", pa.binary())])
+
+
+def _trained(found: pa.Table) -> Model | None:
+    """The model of a sample, the same in whatever order its rows come."""
     ids, y = found.column("doc_id").to_numpy(), found.column("y").to_numpy()
+    # A labelled document is not unlabelled as well.
     order = np.lexsort((np.isnan(y), mix(ids.astype(np.uint64)) if len(ids) else ids))
     labelled = set(ids[~np.isnan(y)].tolist())
     order = np.array([i for i in order if not np.isnan(y[i]) or ids[i] not in labelled], np.int64)
     y = y[order]
     if not {0.0, 1.0} <= set(y.tolist()) or min((y == 0).sum(), (y == 1).sum()) < 6:
         return None
-    text, metadata = (
-        np.stack([np.frombuffer(v, "<f2") for v in found.column(c).to_pylist()])[order].astype(np.float32) for c in ("text", "metadata")
-    )
-    return cotrain(text, metadata, y)
+    views = []
+    for name in ("text", "metadata"):
+        texts = Texts(found.column(name))
+        views.append(texts.data.view("<f2").reshape(len(ids), -1)[order].astype(np.float32))
+    return cotrain(*views, y)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
