@@ -332,6 +332,28 @@ def plain_pairs(points, zoom):
     return found
 
 
+def test_bounds_of_tiles_agree_with_their_points(spark):
+    """Tiles that bounds accept or refuse are those of which all points, or none, are near."""
+    rng, zoom, rows = random.Random(8), 2, []
+    for tile in range(40):
+        lat, lon, size = rng.uniform(-89, 89), rng.choice([rng.uniform(-180, 180), 179.0, -179.5]), rng.choice([0.1, 2.0, 6.0])
+        for _ in range(rng.randrange(1, 6)):
+            point = (max(-90.0, min(90.0, lat + rng.uniform(0, size))), max(-180.0, min(180.0, lon + rng.uniform(0, size))))
+            rows.append((f"t{tile:02}", *point, rng.choice([1, 40_000])))
+    points = spark.createDataFrame(rows, "_tile string, lat double, lon double, cases int").withColumn("radius_km", merge._radius_km(zoom))
+    boxes = merge._boxes(points, "_tile")
+    pairs = merge._side(boxes, "l").join(merge._side(boxes, "r"), F.col("l__tile") < F.col("r__tile"))
+    got = {(r["l__tile"], r["r__tile"]): r["touches"] for r in merge._decided(pairs, zoom).collect()}
+    each = merge._side(points, "l").join(merge._side(points, "r"), F.col("l__tile") < F.col("r__tile"))
+    near = each.withColumn("near", merge._points_meet(zoom)).groupBy("l__tile", "r__tile").agg(F.every("near").alias("all"), F.some("near").alias("some"))
+    counts = {True: 0, False: 0, None: 0}
+    for row in near.collect():
+        verdict = got.get((row["l__tile"], row["r__tile"]), False)
+        counts[verdict] += 1
+        assert verdict is None or (row["all"] if verdict else not row["some"])
+    assert counts[False] > counts[None]
+
+
 @pytest.mark.parametrize("zoom, spread, lat_shift", [(2, 60.0, 0.0), (6, 8.0, 0.0), (10, 0.5, 0.0), (3, 40.0, 70.0)])
 def test_near_pairs_and_components(spark, zoom, spread, lat_shift):
     points = [(c, h, min(89.0, lat + lat_shift), lon, n, d, w) for c, h, lat, lon, n, d, w in random_points(zoom, 70, spread)]
