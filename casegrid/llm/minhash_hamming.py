@@ -254,7 +254,9 @@ def _group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
     """Pairs that may be links among the sets that long lists connect.
 
     Sets of n and m members are linked if they differ in at most (n + m) / 9; with differences of d
-    and e to anything else they differ in d + e - 2 * (what those share).
+    and e to anything else they differ in d + e - 2 * (what those share). With ``rest = 9 * d - n``, two
+    sets whose rests add up to 0 or less are linked, and both are to the set with the least rest: the
+    star. All others need ``18 * shared >= rest + rest``, so a shared element at least.
     """
     long = mixed.where(F.col("length") > SHORT)
     if long.isEmpty():
@@ -292,7 +294,7 @@ def _group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
     pairs = (
         meeting.alias("l").join(meeting.alias("r"), F.expr(
             "l.group = r.group and l.element = r.element and l.component <> r.component and l.sid < r.sid"
-            f" and 18 * least(l.left, r.left) >= l.rest + r.rest and {_FITS}"
+            f" and l.rest + r.rest > 0 and 18 * least(l.left, r.left) >= l.rest + r.rest and {_FITS}"
         ))
         .select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
     )
