@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 from casegrid.llm.bytetext import RollingHash, Texts
+from casegrid.llm.memo import Memo, distinct
 from casegrid.llm.pieces import split
 
 # Distinct pieces a worker remembers before it starts anew.
@@ -19,7 +20,8 @@ class PieceEncoder:
     """Encodes whole texts with a ``tokenizers.Tokenizer`` whose pre-tokenizer is the byte-level split.
 
     That split makes the pieces of a text independent of each other, so the library need see each
-    distinct piece only once. Pieces are told apart by 64-bit hashes.
+    distinct piece only once, as one word of a text that is split already. Pieces are told apart by
+    64-bit hashes.
 
     With ``added_tokens`` the file's added tokens are found in texts, as the library does by default;
     without, they are ordinary text.
@@ -42,24 +44,22 @@ class PieceEncoder:
         # Pieces are cut between the added tokens and hold none.
         self._tokenizer.encode_special_tokens = True
         self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._max = max_pieces
-        self._clear()
-
-    def _clear(self) -> None:
-        self._keys = np.zeros(0, np.uint64)  # ascending
-        self._begin, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._ids = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = [e.ids for e in self._tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        begin = len(self._ids) + np.cumsum(count) - count
-        self._ids = np.concatenate([self._ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))])
-        self._keys, self._begin, self._count = (
-            np.concatenate(pair) for pair in ((self._keys, keys), (self._begin, begin), (self._count, count))
-        )
-        order = np.argsort(self._keys)
-        self._keys, self._begin, self._count = self._keys[order], self._begin[order], self._count[order]
+        # Bytes of every token: one character of its byte-level form stands for one byte.
+        self._bytes = np.zeros(self.size, np.int64)
+        for token, i in self._tokenizer.get_vocab(with_added_tokens=False).items():
+            self._bytes[i] = len(token)
+        self._memo = Memo(max_pieces)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Entries of new pieces of these sizes in bytes, all encoded in one call."""
+        found = self._tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids
+        ids = np.array(found, np.uint32)
+        # Tokens cover the bytes of pieces without a gap, so lengths tell which are whose.
+        ends = np.cumsum(self._bytes[ids])
+        last = np.searchsorted(ends, np.cumsum(sizes))
+        if len(last) and (last[-1] + 1 != len(ids) or not np.array_equal(ends[last], np.cumsum(sizes))):
+            raise ValueError("tokens that do not cover the bytes of their texts")
+        return self._memo.add(keys, ids, np.diff(last, prepend=-1))
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each text."""
@@ -88,27 +88,20 @@ class PieceEncoder:
         return ids, np.bincount(owners, weights=counts + before, minlength=n).astype(np.int64)
 
     def _encode_pieces(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._keys) > self._max:
-            self._clear()
+        if self._memo.full:
+            self._memo.clear()
         bounds, counts = split(texts)
-        hashes = RollingHash(texts.data).spans(bounds[:-1], bounds[1:])
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self._keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self._keys)
-        new[inside] = self._keys[at[inside]] != keys[inside]
-        if new.any():
+        keys, first, inverse = distinct(RollingHash(texts.data).spans(bounds[:-1], bounds[1:]))
+        entries = self._memo.find(keys)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
             raw = texts.data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(bounds[first[new]].tolist(), bounds[first[new] + 1].tolist())]
-            self._learn(keys[new], pieces)
-        at = np.searchsorted(self._keys, keys)[inverse]
-        made = self._count[at]
-        total = np.cumsum(made)
-        ends = np.concatenate([[0], total])
-        per_text = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-        if not len(total) or not total[-1]:
-            return np.zeros(0, np.uint32), per_text
-        return self._ids[np.repeat(self._begin[at] - (total - made), made) + np.arange(total[-1])], per_text
+            begin, end = bounds[first[new]], bounds[first[new] + 1]
+            pieces = [raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
+            entries[new] = self._learn(keys[new], pieces, end - begin)
+        ids, made = self._memo.gather(entries[inverse])
+        ends = np.concatenate([[0], np.cumsum(made)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 @lru_cache(maxsize=1)

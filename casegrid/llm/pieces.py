@@ -28,7 +28,8 @@ def classes() -> np.ndarray:
     import tiktoken
 
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    # Planes 4 to 13 are not in use, and 15 and 16 are private: no letter, number or space is there.
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000))))
     single = {bytes([i]): i for i in range(256)}
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
         found = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(everything)
