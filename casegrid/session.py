@@ -73,11 +73,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/casegrid-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
+def cut_lineage(df, per_core: int | None = None):
     """Write the rows to the checkpoint folder and continue from there.
 
+    ``per_core`` bounds the files by so many for each core; leave it out where partitions have a meaning.
+
     Reliable storage, so a lost executor costs a re-read rather than a recomputation, and rows that
     depend on a sampled range partitioning are fixed once.
     """
     shared_folder(df.sparkSession)
+    if per_core:
+        df = df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
