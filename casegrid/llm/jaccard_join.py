@@ -6,7 +6,8 @@ members as must contain a common one are put into inverted lists, rarest first.
 way becomes cheaper than the other is computed from the table.
 
 Equal sets are one set. Every set is first compared with one partner of its lists only; sets found
-linked are one component, and what is left to compare are sets of different components.
+linked are one component, and what is left to compare are sets of different components: pair by pair
+in short lists, by what sets them apart from the consensus of their group in long ones (``near_groups``).
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
+from casegrid.llm.near_groups import SHORT, group_pairs, labelled, settled, written
 from casegrid.llm.shingles import Sets
-from casegrid.operators.components import connected_components
 from casegrid.session import scratch_path
 
 # Most entries of the broadcast table of frequent shingles (16 bytes each).
@@ -167,7 +168,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, x: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(ordered, value[maybe]), len(ordered) - 1)
                     hit = ordered[at] == value[maybe]
                     order[maybe[hit]] = top + ranks[at[hit]]
-                sort = np.argsort((owner << 53) | order)
+                sort = np.lexsort((order, owner))
                 value, owner = value[sort], owner[sort]
                 n = sets.sizes[owner]
                 position = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -245,12 +246,9 @@ def _passing(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """Write those ``pairs(a, b)`` that are links. Whole sets travel only for pairs that histograms let through."""
-    spark = pairs.sparkSession
-    _passing(pairs, sets, "histogram").write.parquet(path + "-near")
-    near = spark.read.parquet(path + "-near")
+    near = written(_passing(pairs, sets, "histogram"), path + "-near")
     ends = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    _passing(near, sets.join(ends, "sid", "left_semi"), "members").write.parquet(path)
-    return spark.read.parquet(path)
+    return written(_passing(near, sets.join(ends, "sid", "left_semi"), "members"), path)
 
 
 def _close(a: str, b: str) -> str:
@@ -263,41 +261,24 @@ def _close(a: str, b: str) -> str:
     )
 
 
-def _settle(edges: DataFrame, path: str) -> DataFrame:
-    connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).write.parquet(path)
-    return edges.sparkSession.read.parquet(path).select(F.col("node").alias("sid"), "component")
-
-
 def _attached(rows: DataFrame, by_sid: DataFrame, most: int, how: str) -> DataFrame:
     """Rows with what is known of their sets; broadcast only where that is of at most ``most`` sets."""
     return rows.join(F.broadcast(by_sid) if by_sid.count() <= most else by_sid, "sid", how)
 
 
-def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one component, with it and the commonest of the list."""
-    labelled = _attached(lists, labels, MAX_BROADCAST_IDS, "left").withColumn("component", F.coalesce("component", "sid"))
-    # All three windows lie in one partition of the key.
-    whole, same = Window.partitionBy("key"), Window.partitionBy("key", "component")
-    counted = labelled.withColumn("k", F.count("*").over(same))
-    return counted.select(
-        *lists.columns, "component", F.max(F.struct("k", "component")).over(whole)["component"].alias("commonest"),
-        F.min("component").over(whole).alias("least"), F.max("component").over(whole).alias("most"),
-    ).where("least <> most").drop("least", "most")
-
-
-def _all_pairs(mixed: DataFrame, sets: DataFrame, x: int, path: str) -> DataFrame:
-    """All but the commonest component of a list, with the rest of the list, as far as parities let through."""
-    _attached(mixed, sets.select("sid", *_PARITIES), MAX_BROADCAST_PARITIES, "inner").write.parquet(path)
-    mixed = mixed.sparkSession.read.parquet(path)
+def _short_pairs(mixed: DataFrame, sets: DataFrame, x: int, path: str) -> DataFrame:
+    """Pairs of different components in short lists, as far as parities let through."""
+    short = mixed.where(F.col("length") <= SHORT)
+    entries = written(_attached(short, sets.select("sid", *_PARITIES), MAX_BROADCAST_PARITIES, "inner"), path)
     apart = " + ".join(f"bit_count(l.{c} ^ r.{c})" for c in _PARITIES)
     return (
-        mixed.where("component <> commonest").alias("l")
-        .join(mixed.alias("r"), F.expr(
-            "l.key = r.key and l.component <> r.component and (r.component = r.commonest or l.sid < r.sid)"
+        entries.alias("l")
+        .join(entries.alias("r"), F.expr(
+            "l.key = r.key and l.component <> r.component and l.sid < r.sid"
             f" and (l.light or greatest(l.n, r.n) > {x}) and {_close('l', 'r')}"
             f" and 9 * ({apart}) <= l.n + r.n"
         ))
-        .select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct()
+        .select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
     )
 
 
@@ -323,10 +304,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # Entries of lists with two sets or more.
     rows = _postings(docs.where("doc_id is not null"), frequent, x)
-    rows.createOrReplaceTempView("jaccard_rows")
-    counted = spark.sql("select *, min(sid) over (partition by key) as least_sid, max(sid) over (partition by key) as most_sid from jaccard_rows")
-    counted.where("least_sid <> most_sid").select(*_POSTINGS, "least_sid").distinct().write.parquet(f"{root}/lists")
-    lists = spark.read.parquet(f"{root}/lists")
+    same_key = Window.partitionBy("key")
+    counted = rows.withColumn("least_sid", F.min("sid").over(same_key)).withColumn("most_sid", F.max("sid").over(same_key))
+    lists = written(counted.where("least_sid <> most_sid").select(*_POSTINGS, "least_sid").distinct(), f"{root}/lists")
 
     # The sets in them, from the text of each one's first document.
     wanted = named.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -338,20 +318,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         lists.where("sid <> least_sid").groupBy("sid").agg(F.min("least_sid").alias("a"))
         .select("a", F.col("sid").alias("b"))
     )
-    star.write.parquet(f"{root}/star")
-    star = spark.read.parquet(f"{root}/star")
+    star = written(star, f"{root}/star")
     # Sets of one doc_id are one node.
     least = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("m")).where("a <> m")
     same_doc = named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b"))
     linked = _verified(star, sets, f"{root}/star-links").unionByName(same_doc)
-    labels = _settle(linked, f"{root}/components-1")
+    labels = settled(linked, f"{root}/components-1")
 
-    # What is left: all sets of different components that meet in a list.
-    pairs = _all_pairs(_mixed(lists.drop("least_sid"), labels), sets, x, f"{root}/entries").join(star, ["a", "b"], "left_anti")
-    pairs.write.parquet(f"{root}/rest")
-    more = _verified(spark.read.parquet(f"{root}/rest"), sets, f"{root}/rest-links")
+    # What is left: sets of different components, pair by pair in short lists, by what sets them apart in long ones.
+    mixed = labelled(lists.drop("least_sid"), labels, f"{root}/mixed")
+    pairs = _short_pairs(mixed, sets, x, f"{root}/entries").unionByName(group_pairs(mixed, sets.select("sid", "members"), f"{root}/groups"))
+    pairs = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), f"{root}/rest")
+    more = _verified(pairs, sets, f"{root}/rest-links")
     if not more.isEmpty():
-        labels = _settle(linked.unionByName(more), f"{root}/components-2")
+        labels = settled(linked.unionByName(more), f"{root}/components-2")
 
     found = documents.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = found.where("doc_id is not null and n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))

@@ -7,13 +7,10 @@ leaving out any ``errors`` components of a chunk is equal: no pair within the ra
 similarity of 0.8 a pair lies beyond the radius with a probability of 5e-6 (48 components, radius 23).
 
 Sets that share a key are candidates; signatures within the radius and then the whole sets decide.
-No long list is turned into all its pairs. Each set is compared with one leader of its lists, then
-with the leaders of the commonest component of each. What short lists leave is compared pair by pair.
-Sets that long lists connect are a group, and are written as what sets them apart from the group's
-consensus, the members that more than half of its sets have: two sets differ in as many members as
-their differences do. So they are linked if both differences are small, which one star around the
-set with the smallest tells; else the differences must share members, on which rare ones first the
-sets meet. Copies that differ from a common original in places of their own share none.
+No long list is turned into all its pairs. Each set is compared with one leader of its lists. What
+short lists leave is compared pair by pair, sets of long lists meet on what sets them apart from the
+consensus of their group (``near_groups``). Copies that differ from a common original in places of
+their own share none of that.
 """
 
 from __future__ import annotations
@@ -24,20 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
+from casegrid.llm.near_groups import FITS, SHORT, group_pairs, labelled, pair, settled, written
 from casegrid.llm.shingles import Sets
-from casegrid.operators.components import connected_components
 from casegrid.session import scratch_path
 
 SHINGLE = 4
 # Most keys or ids (8 bytes each) that are broadcast; beyond, they are joined by a shuffle.
 MAX_BROADCAST = 1 << 20
-# Rounds in which sets are compared with leaders.
-ROUNDS = 2
-# Sets of a list that is compared pair by pair; beyond, its sets meet on their differences.
-SHORT = 8
 
 
 @dataclass(frozen=True)
@@ -132,11 +125,6 @@ def _entries(sets: DataFrame, index: Index) -> DataFrame:
     return sets.select("sid", "n", "signature").mapInArrow(run, "key bigint, sid bigint, n bigint")
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is in ``ids`` (written before); broadcast only where these are few."""
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, column, "left_semi")
@@ -145,7 +133,7 @@ def _semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def _members(docs: DataFrame, signed: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     """``sid, members``: the whole sets of the wanted sids, from the texts of one document of each."""
     sources = _semi(signed.where("n > 0"), wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    ids = _written(sources.where("doc_id is not null").select("doc_id").distinct(), path + "-ids")
+    ids = written(sources.where("doc_id is not null").select("doc_id").distinct(), path + "-ids")
     texts = _texts(docs)
     rows = _semi(texts.where("doc_id is not null"), ids, "doc_id").unionByName(texts.where("doc_id is null"))
 
@@ -158,7 +146,7 @@ def _members(docs: DataFrame, signed: DataFrame, wanted: DataFrame, path: str) -
                 yield pa.RecordBatch.from_arrays([pa.array(sets.names()), members], ["sid", "members"])
 
     found = _semi(rows.mapInArrow(run, "sid bigint, members binary"), wanted, "sid")
-    return _written(found.dropDuplicates(["sid"]), path)
+    return written(found.dropDuplicates(["sid"]), path)
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -186,119 +174,17 @@ def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame, index: Index,
                     keep.append(100 * common >= 80 * (len(both) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = _written(_joined(pairs, sets, "signature").mapInArrow(near, "a bigint, b bigint"), path + "-near")
-    return _written(_joined(close, members, "members").mapInArrow(similar, "a bigint, b bigint"), path)
-
-
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _settled(links: DataFrame, path: str) -> DataFrame:
-    if links.isEmpty():
-        return links.sparkSession.createDataFrame([], "sid bigint, component bigint")
-    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return _written(found.select(F.col("node").alias("sid"), "component"), path)
-
-
-def _labelled(lists: DataFrame, labels: DataFrame, path: str) -> DataFrame:
-    """Entries of lists that hold several components, with their own, the commonest, and a set of that.
-
-    Counts are combined before they are shuffled, so a long list costs a row per component and task.
-    """
-    entries = lists.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    counted = entries.groupBy("key", "component").agg(F.count("*").alias("k"), F.max("sid").alias("leader"))
-    top = counted.groupBy("key").agg(
-        F.max(F.struct("k", "component", "leader")).alias("top"), F.count("*").alias("of"), F.sum("k").alias("length")
-    ).where("of > 1")
-    top = top.select("key", F.col("top.component").alias("commonest"), F.col("top.leader").alias("leader"), "length")
-    return _written(entries.join(top, "key"), path)
-
-
-_FITS = "4 * greatest(l.n, r.n) <= 5 * least(l.n, r.n)"
+    close = written(_joined(pairs, sets, "signature").mapInArrow(near, "a bigint, b bigint"), path + "-near")
+    return written(_joined(close, members, "members").mapInArrow(similar, "a bigint, b bigint"), path)
 
 
 def _short_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs of different components in short lists."""
     lists = mixed.where(F.col("length") <= SHORT)
     return (
-        lists.alias("l").join(lists.alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and l.sid < r.sid and {_FITS}"))
-        .select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
-    )
-
-
-def _differences(grouped: DataFrame, consensus: DataFrame) -> DataFrame:
-    """``group, element, sid, d`` for every element in which a set and the consensus of its group differ, ``d`` in number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "members"):
-                found = [
-                    np.setxor1d(np.frombuffer(x, "<i8"), np.array([] if y is None else y, np.int64), assume_unique=True)
-                    for x, y in zip(part.column("members").to_pylist(), part.column("consensus").to_pylist())
-                ]
-                d = np.array([len(x) for x in found], np.int64)
-                # A set that is the consensus itself has one row without an element.
-                place = np.repeat(np.arange(len(d)), np.maximum(d, 1))
-                element = pa.array([e for x in found for e in (x.tolist() or [None])], pa.int64())
-                take = pa.array(place)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("group").take(take), element, part.column("sid").take(take), pa.array(d[place])], ["group", "element", "sid", "d"]
-                )
-
-    rows = grouped.join(consensus, "group", "left").select("group", "sid", "members", "consensus")
-    return rows.mapInArrow(run, "`group` bigint, element bigint, sid bigint, d bigint")
-
-
-def _group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
-    """Pairs that may be links among the sets that long lists connect.
-
-    Sets of n and m members are linked if they differ in at most (n + m) / 9; with differences of d
-    and e to anything else they differ in d + e - 2 * (what those share). With ``rest = 9 * d - n``, two
-    sets whose rests add up to 0 or less are linked, and both are to the set with the least rest: the
-    star. All others need ``18 * shared >= rest + rest``, so a shared element at least.
-    """
-    long = mixed.where(F.col("length") > SHORT)
-    if long.isEmpty():
-        return mixed.sparkSession.createDataFrame([], "a bigint, b bigint")
-    found = connected_components(long.select(F.col("sid").alias("src"), F.col("leader").alias("dst")))
-    sets = long.select("sid", "n", "component").distinct().join(found.select(F.col("node").alias("sid"), F.col("component").alias("group")), "sid")
-    sets = _written(sets, path + "-sets")
-    grouped = members.join(sets.select("sid", "group"), "sid")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "members"):
-                held = Texts(part.column("members"))
-                element = np.frombuffer(held.data.tobytes(), "<i8")
-                take = pa.array(np.repeat(np.arange(len(held)), np.diff(held.offsets) // 8))
-                yield pa.RecordBatch.from_arrays([part.column("group").take(take), pa.array(element)], ["group", "element"])
-
-    sizes = sets.groupBy("group").agg(F.count("*").alias("of"))
-    common = grouped.select("group", "members").mapInArrow(elements, "`group` bigint, element bigint").groupBy("group", "element").count()
-    # At most twice the mean size of the group's sets.
-    consensus = common.join(sizes, "group").where("2 * count > of").groupBy("group").agg(F.collect_list("element").alias("consensus"))
-    apart = _written(_differences(grouped, consensus), path + "-apart").join(sets, ["sid", "group"]).withColumn("rest", F.expr("9 * d - n"))
-
-    least = apart.groupBy("group").agg(F.min_by(F.struct("sid", "rest", "component"), F.struct("rest", "sid")).alias("least"))
-    star = (
-        apart.select("group", "sid", "rest", "component").distinct().join(least, "group")
-        .where("component <> least.component and rest + least.rest <= 0").select(*_pair("sid", "least.sid"))
-    )
-    times = apart.where("element is not null").groupBy("group", "element").agg(
-        F.count("*").alias("times"), (F.min("component") != F.max("component")).alias("mixed")
-    )
-    place = F.row_number().over(Window.partitionBy("sid").orderBy("times", "element")) - 1
-    meeting = apart.join(times, ["group", "element"]).withColumn("left", F.col("d") - place).where("mixed")
-    meeting = _written(meeting.select("group", "element", "sid", "n", "component", "rest", "left"), path + "-meeting")
-    pairs = (
-        meeting.alias("l").join(meeting.alias("r"), F.expr(
-            "l.group = r.group and l.element = r.element and l.component <> r.component and l.sid < r.sid"
-            f" and l.rest + r.rest > 0 and 18 * least(l.left, r.left) >= l.rest + r.rest and {_FITS}"
-        ))
+        lists.alias("l").join(lists.alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and l.sid < r.sid and {FITS}"))
         .select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
     )
-    return star.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, index: Index = PRODUCTION) -> DataFrame:
@@ -313,43 +199,39 @@ def near_duplicates(docs: DataFrame, index: Index = PRODUCTION) -> DataFrame:
     null and the row is kept. Shingles are compared by 52-bit hashes. Other columns are not looked at.
     """
     root = scratch_path(docs.sparkSession, "minhash")
-    signed = _written(_signed(docs, index), f"{root}/signed")
+    _signed(docs, index).write.parquet(f"{root}/signed")
+    signed = docs.sparkSession.read.parquet(f"{root}/signed")
     named = signed.where("n > 0")
-    sets = _written(named.where("signature is not null").dropDuplicates(["sid"]).select("sid", "n", "signature"), f"{root}/sets")
+    sets = written(named.where("signature is not null").dropDuplicates(["sid"]).select("sid", "n", "signature"), f"{root}/sets")
 
     # Entries of the lists that hold two sets or more.
     entries = _entries(sets, index)
-    shared = _written(entries.groupBy("key").count().where("count > 1").select("key"), f"{root}/shared")
-    lists = _written(_semi(entries, shared, "key"), f"{root}/lists")
-    listed = _written(lists.select("sid").distinct(), f"{root}/listed")
-    sets = _written(_semi(sets, listed, "sid"), f"{root}/listed-sets")
+    shared = written(entries.groupBy("key").count().where("count > 1").select("key"), f"{root}/shared")
+    lists = written(_semi(entries, shared, "key"), f"{root}/lists")
+    listed = written(lists.select("sid").distinct(), f"{root}/listed")
+    sets = written(_semi(sets, listed, "sid"), f"{root}/listed-sets")
     members = _members(docs, signed, listed, f"{root}/members")
 
     # Sets of one doc_id are one node.
     least = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("m")).where("a <> m")
-    links = _written(named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), f"{root}/same")
-    labels = _settled(links, f"{root}/labels")
-
-    # Sets against leaders: in the first round the one they share most lists with.
-    compared = None
-    for number in range(ROUNDS):
-        mixed = _labelled(lists, labels, f"{root}/round-{number}")
-        ranked = mixed.where("component <> commonest").groupBy("sid", "leader").agg(F.count("*").alias("k"))
-        if number == 0:
-            ranked = ranked.groupBy("sid").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
-        pairs = ranked.select(*_pair("sid", "leader")).distinct()
-        pairs = _written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), f"{root}/pairs-{number}")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = links.unionByName(_links(pairs, sets, members, index, f"{root}/links-{number}"))
-        labels = _settled(links, f"{root}/labels-{number}")
+    links = written(named.join(least, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), f"{root}/same")
+    labels = settled(links, f"{root}/labels")
+
+    # Each set against one leader: that with which it shares most lists.
+    mixed = labelled(lists, labels, f"{root}/first")
+    ranked = mixed.where("component <> commonest").groupBy("sid", "leader").agg(F.count("*").alias("k"))
+    ranked = ranked.groupBy("sid").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
+    compared = written(ranked.select(*pair("sid", "leader")).distinct(), f"{root}/pairs-first")
+    links = links.unionByName(_links(compared, sets, members, index, f"{root}/links-first"))
+    labels = settled(links, f"{root}/labels-first")
 
     # What is left: pairs of different components.
-    mixed = _labelled(lists, labels, f"{root}/rest")
-    rest = _short_pairs(mixed).unionByName(_group_pairs(mixed, members, f"{root}/groups"))
-    rest = _written(rest.distinct().join(compared, ["a", "b"], "left_anti"), f"{root}/pairs-rest")
+    mixed = labelled(lists, labels, f"{root}/rest")
+    rest = _short_pairs(mixed).unionByName(group_pairs(mixed, members, f"{root}/groups"))
+    rest = written(rest.distinct().join(compared, ["a", "b"], "left_anti"), f"{root}/pairs-rest")
     more = _links(rest, sets, members, index, f"{root}/links-rest")
     if not more.isEmpty():
-        labels = _settled(links.unionByName(more), f"{root}/labels-rest")
+        labels = settled(links.unionByName(more), f"{root}/labels-rest")
 
     found = signed.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = found.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
