@@ -35,6 +35,7 @@ GRAMS = 2048  # hashed byte 3-grams
 _DENSE = 8  # shares of upper case, digits, marks, symbols, distinct words, repeated word pairs; two lengths
 META = 1024  # hashed source, language and length classes
 _META_DENSE = 3
+_BLOCK = 512  # rows that are scored at once while fitting
 
 COLUMNS = ("text", "source", "lang", "n_chars")
 SCHEMA = "doc_id bigint, p_text double, p_metadata double, p_quality double, kept boolean"
@@ -127,7 +128,9 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Weights and, last, the bias, by accelerated gradient descent on the mean loss."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    wide = np.ones((len(x), x.shape[1] + 1), np.float32)
+    wide[:, :-1] = x
+    x = wide
     weight = (weight / max(1e-9, weight.sum())).astype(np.float32)
     # The loss curves by no more than a quarter of the largest eigenvalue of the weighted features.
     v = np.ones(x.shape[1], np.float32)
@@ -146,7 +149,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    # In blocks, as a product with doubles copies the features.
+    parts = [x[at : at + _BLOCK] @ w[:-1] + w[-1] for at in range(0, len(x), _BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 @dataclass
@@ -280,8 +285,17 @@ def _trained(found: pa.Table) -> Model | None:
         return None
     views = []
     for name in ("text", "metadata"):
-        texts = Texts(found.column(name))
-        views.append(texts.data.view("<f2").reshape(len(ids), -1)[order].astype(np.float32))
+        column = found.column(name)
+        view = np.empty((len(order), len(column[0].as_py()) // 2), np.float32)
+        place = np.full(len(ids), -1)
+        place[order] = np.arange(len(order))
+        at = 0
+        for chunk in column.chunks:
+            rows = Texts(chunk).data.view("<f2").reshape(len(chunk), -1)
+            here = place[at : at + len(chunk)]
+            view[here[here >= 0]] = rows[here >= 0]
+            at += len(chunk)
+        views.append(view)
     return cotrain(*views, y)
 
 
