@@ -134,6 +134,65 @@ class Merges:
                 j += 1
 
 
+class Steps:
+    """Numbers of the transitions learnt, by state and symbol: a hash table, as a state has few of them."""
+
+    def __init__(self, slots: int = 1 << 12):
+        self._held = 0
+        self._keys, self._steps = np.full(slots, -1, np.int64), np.zeros(slots, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self._keys).bit_length())).astype(np.int64)
+
+    def find(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The step of each, -1 where it is not learnt yet."""
+        keys = (states.astype(np.int64) << 9) | symbols
+        slots = self._slots(keys)
+        there = self._keys[slots]
+        out = np.where(there == keys, self._steps[slots], -1)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            slots[more] = (slots[more] + 1) & (len(self._keys) - 1)
+            there = self._keys[slots[more]]
+            hit = there == keys[more]
+            out[more[hit]] = self._steps[slots[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return out
+
+    def _slot(self, key: int) -> int:
+        """The slot that holds the key, or the free one where it belongs."""
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (65 - len(self._keys).bit_length())
+        while (there := self._keys.item(slot)) >= 0 and there != key:
+            slot = (slot + 1) & (len(self._keys) - 1)
+        return slot
+
+    def get(self, state: int, symbol: int) -> int:
+        """The step, -1 where it is not learnt yet."""
+        slot = self._slot((state << 9) | symbol)
+        return self._steps.item(slot) if self._keys.item(slot) >= 0 else -1
+
+    def add(self, state: int, symbol: int, step: int) -> None:
+        if 2 * (self._held + 1) > len(self._keys):
+            keys, steps = self._keys[self._keys >= 0], self._steps[self._keys >= 0]
+            self.__init__(2 * len(self._keys))
+            self._place(keys, steps)
+        key = (state << 9) | symbol
+        slot = self._slot(key)
+        self._keys[slot], self._steps[slot] = key, step
+        self._held += 1
+
+    def _place(self, keys: np.ndarray, steps: np.ndarray) -> None:
+        """Put new and distinct keys into the next free slots."""
+        self._held += len(keys)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self._keys[slots] < 0)
+            self._keys[slots[free]] = keys[free]
+            placed = self._keys[slots] == keys
+            self._steps[slots[placed]] = steps[placed]
+            keys, steps, slots = keys[~placed], steps[~placed], (slots[~placed] + 1) & (len(self._keys) - 1)
+
+
 class Transducer:
     """Lazily determinised; ``run`` encodes many pieces at once."""
 
@@ -157,11 +216,9 @@ class Transducer:
 
     def _clear(self) -> None:
         # A configuration: (trie node, last token or -1, tokens not yet emitted).
-        self._column = np.full(257, -1, np.int32)
-        self._width = 64
         self._states: dict[tuple, int] = {}
         self._keys: list[tuple] = []
-        self._table = np.full((1024, self._width), -1, np.int32)
+        self._steps = Steps()
         self._next = np.zeros(1024, np.int32)
         self._out: list[tuple[int, ...]] = []
         self._out_arrays = None
@@ -172,8 +229,6 @@ class Transducer:
         if number is None:
             number = self._states[key] = len(self._keys)
             self._keys.append(key)
-            if number == len(self._table):
-                self._table = np.concatenate([self._table, np.full_like(self._table, -1)])
         return number
 
     def _advance(self, key: tuple, symbol: int) -> tuple[tuple, tuple[int, ...]]:
@@ -211,21 +266,16 @@ class Transducer:
             return tuple(grown), ()
         return tuple([(node, last, held[agreed:]) for node, last, held in grown]), first[:agreed]
 
-    def _learn(self, state: int, symbol: int) -> None:
+    def _learn(self, state: int, symbol: int) -> int:
         key, out = self._advance(self._keys[state], symbol)
-        column = self._column[symbol]
-        if column < 0:
-            column = self._column[symbol] = int((self._column >= 0).sum())
-            if column == self._width:
-                self._width *= 2
-                self._table = np.concatenate([self._table, np.full_like(self._table, -1)], axis=1)
         number = self._intern(key)
         step = len(self._out)
         if step == len(self._next):
             self._next = np.concatenate([self._next, np.zeros_like(self._next)])
         self._next[step] = number
         self._out.append(out)
-        self._table[state, column] = step
+        self._steps.add(state, symbol, step)
+        return step
 
     def _outputs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all transitions, with where each transition's begin and how many they are."""
@@ -241,14 +291,12 @@ class Transducer:
     def _walk(self, state: int, data: np.ndarray, steps: np.ndarray, place: int) -> None:
         """The rest of one piece, byte by byte."""
         for symbol in [*data.tolist(), END]:
-            column = self._column[symbol]
-            step = self._table[state, column] if column >= 0 else -1
+            step = self._steps.get(state, symbol)
             if step < 0:
-                self._learn(state, symbol)
-                step = self._table[state, self._column[symbol]]
+                step = self._learn(state, symbol)
             steps[place] = step
             place += 1
-            state = self._next[step]
+            state = self._next.item(step)
             if len(self._keys) > 2 * self.max_states:
                 (state,) = self._shrink([int(state)])
 
@@ -256,7 +304,7 @@ class Transducer:
         """Forget all states but these; transitions taken keep their numbers until the run is over."""
         keys = [self._keys[s] for s in states]
         self._states, self._keys = {}, []
-        self._table[:] = -1
+        self._steps = Steps()
         self._intern(START)
         return [self._intern(key) for key in keys]
 
@@ -282,13 +330,12 @@ class Transducer:
             symbol = np.full(alive, END, np.int32)
             symbol[:going] = data[begins[:going] + k]
             now = state[:alive]
-            column = self._column[symbol]
-            step = self._table[now, column]
-            unknown = np.flatnonzero((step < 0) | (column < 0))
+            step = self._steps.find(now, symbol)
+            unknown = np.flatnonzero(step < 0)
             if len(unknown):
                 for s, b in set(zip(now[unknown].tolist(), symbol[unknown].tolist())):
                     self._learn(s, b)
-                step[unknown] = self._table[now[unknown], self._column[symbol[unknown]]]
+                step[unknown] = self._steps.find(now[unknown], symbol[unknown])
             steps[places[:alive] + k] = step
             state[:alive] = self._next[step]
             if len(self._keys) > 2 * self.max_states:
