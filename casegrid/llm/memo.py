@@ -22,15 +22,14 @@ class Memo:
 
     def clear(self) -> None:
         self._slots = np.full((2, SLOTS), -1, np.int32)
-        self._room(1 << 16, 1 << 18)
         self.entries = self.held = 0
+        self._room(1 << 16, 1 << 18)
 
     def _room(self, entries: int, values: int) -> None:
         """Arrays of at least these lengths, with what they held."""
-        old = getattr(self, "keys", None) if getattr(self, "entries", 0) else None
         keys, begin, count = np.zeros(entries, np.uint64), np.zeros(entries, np.int64), np.zeros(entries, np.int64)
         store = np.zeros(values, self._dtype)
-        if old is not None:
+        if self.entries:
             for new, was in ((keys, self.keys), (begin, self.begin), (count, self.count)):
                 new[: self.entries] = was[: self.entries]
             store[: self.held] = self.values[: self.held]

@@ -207,6 +207,19 @@ def test_memo():
     assert (memo.find(np.array([1 << 50], np.uint64)) < 0).all()
 
 
+def test_memo_cleared_when_it_holds_more_than_a_new_one_has_room_for():
+    rng = np.random.default_rng(2)
+    memo = Memo(50_000)
+    for _ in range(3):
+        keys = np.unique(rng.integers(0, 1 << 63, 70_000, dtype=np.uint64))
+        counts = np.full(len(keys), 6)
+        values = rng.integers(0, 1 << 32, int(counts.sum()), dtype=np.uint32)
+        added = memo.add(keys, values, counts)
+        assert memo.full and np.array_equal(memo.gather(added)[0], values)
+        memo.clear()
+        assert not memo.full and (memo.find(keys) < 0).all()
+
+
 def test_character_classes_of_the_libraries():
     """Every code point between letters, digits and marks, against both libraries."""
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
