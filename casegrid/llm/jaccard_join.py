@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
-from casegrid.llm.near_groups import SHORT, group_pairs, labelled, settled, written
+from casegrid.llm.near_groups import group_pairs, labelled, settled, written
 from casegrid.llm.shingles import Sets
 from casegrid.session import scratch_path
 
@@ -268,7 +268,7 @@ def _attached(rows: DataFrame, by_sid: DataFrame, most: int, how: str) -> DataFr
 
 def _short_pairs(mixed: DataFrame, sets: DataFrame, x: int, path: str) -> DataFrame:
     """Pairs of different components in short lists, as far as parities let through."""
-    short = mixed.where(F.col("length") <= SHORT)
+    short = mixed.where("short")
     entries = written(_attached(short, sets.select("sid", *_PARITIES), MAX_BROADCAST_PARITIES, "inner"), path)
     apart = " + ".join(f"bit_count(l.{c} ^ r.{c})" for c in _PARITIES)
     return (
@@ -311,7 +311,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # The sets in them, from the text of each one's first document.
     wanted = named.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     sets = _set_table(docs, wanted.select("doc_id").distinct(), f"{root}/sets")
-    sets = sets.dropDuplicates(["sid"])
+    # A set is there again where a doc_id has several rows: seen by the names alone, as the sets are large.
+    if not sets.groupBy("sid").count().where("count > 1").isEmpty():
+        sets = written(sets.dropDuplicates(["sid"]), f"{root}/one-of-each")
 
     # Each set against the first set of one of its lists: near copies become one component early.
     star = (
@@ -326,7 +328,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = settled(linked, f"{root}/components-1")
 
     # What is left: sets of different components, pair by pair in short lists, by what sets them apart in long ones.
-    mixed = labelled(lists.drop("least_sid"), labels, f"{root}/mixed")
+    mixed = labelled(lists.drop("least_sid"), labels, f"{root}/mixed", by_size=True)
     pairs = _short_pairs(mixed, sets, x, f"{root}/entries").unionByName(group_pairs(mixed, sets.select("sid", "members"), f"{root}/groups"))
     pairs = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), f"{root}/rest")
     more = _verified(pairs, sets, f"{root}/rest-links")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
-from casegrid.llm.near_groups import FITS, SHORT, group_pairs, labelled, pair, settled, written
+from casegrid.llm.near_groups import FITS, group_pairs, labelled, pair, settled, written
 from casegrid.llm.shingles import Sets
 from casegrid.session import scratch_path
 
@@ -180,7 +180,7 @@ def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame, index: Index,
 
 def _short_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs of different components in short lists."""
-    lists = mixed.where(F.col("length") <= SHORT)
+    lists = mixed.where("short")
     return (
         lists.alias("l").join(lists.alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and l.sid < r.sid and {FITS}"))
         .select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))

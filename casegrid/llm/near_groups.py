@@ -19,6 +19,10 @@ from casegrid.operators.components import connected_components
 
 # Sets of a list that is compared pair by pair; beyond, its sets meet on their differences.
 SHORT = 8
+# Where asked for, a list of large sets is also compared pair by pair: up to a set for so many members that
+# its sets have on average, and up to so many sets. Large texts that share a passage are in few lists
+# together, and their pairs are far fewer than the members that set them apart.
+MEMBERS_PER_ENTRY, MOST_PAIRED = 32, 64
 # Files for each core that a step writes at most: partitions of a shuffle may be many and small.
 FILES_PER_CORE = 8
 
@@ -40,17 +44,22 @@ def settled(links: DataFrame, path: str) -> DataFrame:
     return written(found.select(F.col("node").alias("sid"), "component"), path)
 
 
-def labelled(lists: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+def labelled(lists: DataFrame, labels: DataFrame, path: str, by_size: bool = False) -> DataFrame:
     """Entries of lists that hold several components, with their own, the commonest, and a set of that.
 
-    Counts are combined before they are shuffled, so a long list costs a row per component and task.
+    ``short`` says which lists are to be compared pair by pair, with ``by_size`` also by the size of
+    their sets. Counts are combined before they are shuffled, so a long list costs a row per component
+    and task.
     """
     entries = lists.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    counted = entries.groupBy("key", "component").agg(F.count("*").alias("k"), F.max("sid").alias("leader"))
+    counted = entries.groupBy("key", "component").agg(F.count("*").alias("k"), F.max("sid").alias("leader"), F.sum("n").alias("members"))
     top = counted.groupBy("key").agg(
-        F.max(F.struct("k", "component", "leader")).alias("top"), F.count("*").alias("of"), F.sum("k").alias("length")
+        F.max(F.struct("k", "component", "leader")).alias("top"), F.count("*").alias("of"), F.sum("k").alias("length"), F.sum("members").alias("members")
     ).where("of > 1")
-    top = top.select("key", F.col("top.component").alias("commonest"), F.col("top.leader").alias("leader"), "length")
+    short = F.col("length") <= SHORT
+    if by_size:
+        short = short | ((F.col("length") <= MOST_PAIRED) & (MEMBERS_PER_ENTRY * F.col("length") * F.col("length") <= F.col("members")))
+    top = top.select("key", F.col("top.component").alias("commonest"), F.col("top.leader").alias("leader"), "length", short.alias("short"))
     return written(entries.join(top, "key"), path)
 
 
@@ -89,7 +98,7 @@ def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
     sets whose rests add up to 0 or less are linked, and both are to the set with the least rest: the
     star. All others need ``18 * shared >= rest + rest``, so a shared element at least.
     """
-    long = mixed.where(F.col("length") > SHORT)
+    long = mixed.where(~F.col("short"))
     if long.isEmpty():
         return mixed.sparkSession.createDataFrame([], "a bigint, b bigint")
     found = connected_components(long.select(F.col("sid").alias("src"), F.col("leader").alias("dst")))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from casegrid.llm import chat_rotation, cotraining, decontaminate, jaccard_join, licence_scan, line_dedup, warc
+from casegrid.llm import chat_rotation, cotraining, decontaminate, jaccard_join, licence_scan, line_dedup, near_groups, warc
 from casegrid.session import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +85,18 @@ def test_jaccard_components(spark, seed):
     assert [(r["component_id"], r["n_shingles"]) for r in got if r["doc_id"] is None] == [(None, len(set(shingles(rows[-1][1]))))]
 
 
+def test_large_sets_with_a_passage_in_common_meet_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"u{rng.randrange(10**9)}" for _ in range(900)] for _ in range(10)]
+    texts += [edited(rng, texts[0], 3), edited(rng, texts[1], 20)]
+    rows = list(enumerate(map(" ".join, texts)))
+    monkeypatch.setattr(near_groups, "_differences", lambda *_: pytest.fail("members of large sets that share a passage were compared"))
+    # A row in each task, so that no shingle is known to be frequent.
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == components(rows)
+
+
 def test_jaccard_empty_table_and_first_rows(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     rows = [(1, "a b c d e f"), (2, "A b  c d e f"), (3, "x"), (4, ""), (None, "a b c d e f"), (5, None)]
