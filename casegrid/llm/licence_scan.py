@@ -3,8 +3,8 @@
 A paragraph is a line, or a line with those that follow it where a notice is wrapped. Candidates are
 all that share a word 2-gram with any template, so none that could be confirmed is left out. Sparse word
 1- and 2-grams of a candidate go through a multinomial logistic regression over licence families and
-``unknown``; a family counts where its probability passes a threshold calibrated on held-out candidates
-of the corpus and a template of the family shares enough word 2-grams with the paragraph. DataFrame and
+``unknown``, fitted on all candidates of one half of the documents; a family counts where its probability
+passes a threshold calibrated on all those of the other half and a template of the family shares enough word 2-grams with the paragraph. DataFrame and
 SQL functions only.
 """
 
@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casegrid.session import scratch_path
+
 UNKNOWN = "unknown"
 # Words of public licence texts and notices, by family.
 TEMPLATES = {
@@ -83,8 +85,9 @@ TEMPLATES = {
 ANCHORS = ("licens", "licenc", "rights reserved", "copyright", "permission", "redistribut", "warrant", "public domain")
 
 FEATURES = 1 << 13
-# Bound on the paragraphs of the corpus used for fitting, and again for calibration.
-SAMPLE_PARAGRAPHS = 2_000
+# Weight of all background candidates together, times that of the templates' rows: however many they are,
+# the families stay as likely.
+BACKGROUND_WEIGHT = 4
 MIN_SIMILARITY = 0.6  # share of a template's 2-grams
 LEAST_THRESHOLD = 0.5
 # Background paragraphs share less of every template than this; between it and MIN_SIMILARITY are parts of notices.
@@ -221,24 +224,22 @@ def _templates(spark: SparkSession) -> DataFrame:
     return _with_grams(spark.createDataFrame(rows, "family string, template int, paragraph string"))
 
 
-def _sample(docs: DataFrame, fold: int) -> DataFrame:
-    """``words, grams`` of at most about ``SAMPLE_PARAGRAPHS`` candidates that are no part of a notice, of documents picked by hash."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_PARAGRAPHS / 4 / max(1, n))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1_000_000_000))
-    some = docs.where((part >= int(fold * share * 1e9 / 2)) & (part < int((fold + 1) * share * 1e9 / 2)))
-    rows = candidates(some).where(F.col("closest") < BACKGROUND_SIMILARITY).orderBy(F.xxhash64("doc_id", "row", "no"), "words").limit(SAMPLE_PARAGRAPHS)
-    return rows.select("words", F.concat("words", _pairs(F.col("words"))).alias("grams"))
+def _background(found: DataFrame, fold: int) -> DataFrame:
+    """``grams`` of the candidates that are no part of a notice, of that half of the documents."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(2))
+    return found.where((part == fold) & (F.col("closest") < BACKGROUND_SIMILARITY)).select("grams")
 
 
-def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
-    """The model, its classes and the threshold.
+def fit(found: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
+    """The model, its classes and the threshold, of all ``found`` candidates.
 
-    Positive rows are the templates whole, and each with one word left out. Negative rows are a bounded
-    sample of candidates of the corpus, and the single words of each template without its 2-grams. The threshold is the largest probability of any family among
-    held-out candidates, and at least ``LEAST_THRESHOLD``.
+    Positive rows are the templates whole, and each with one word left out. Negative rows are all background
+    candidates of one half of the documents, and the single words of each template without its 2-grams; the
+    former weigh ``BACKGROUND_WEIGHT`` times as much as the positive rows at most, all together. The
+    threshold is the largest probability of any family among all background candidates of the other half,
+    and at least ``LEAST_THRESHOLD``.
     """
-    spark = docs.sparkSession
+    spark = found.sparkSession
     classes = [UNKNOWN, *TEMPLATES]
     whole = _templates(spark)
     index = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
@@ -248,17 +249,19 @@ def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
             F.array("words"),
             F.transform("words", lambda _, i: F.filter("words", lambda __, j: j != i)),
         )).alias("words"),
-    ).withColumn("grams", F.concat("words", _pairs(F.col("words"))))
+    ).select("family", F.concat("words", _pairs(F.col("words"))).alias("grams"), F.lit(1.0).alias("weight"))
     # Single words of licences in another order are not a licence.
-    loose = whole.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("grams"))
-    background = _sample(docs, 0).select(F.lit(UNKNOWN).alias("family"), "grams")
-    rows = variants.select("family", "grams").unionByName(loose).unionByName(background).withColumn("label", index.cast("double"))
+    loose = whole.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("grams"), F.lit(1.0).alias("weight"))
+    fitted = _background(found, 0)
+    share = min(1.0, BACKGROUND_WEIGHT * variants.count() / max(1, fitted.count()))
+    # Equal candidates are one row, which weighs as much as all of them.
+    background = fitted.groupBy("grams").agg((F.count("*") * share).alias("weight")).select(F.lit(UNKNOWN).alias("family"), "grams", "weight")
+    rows = variants.coalesce(1).unionByName(loose.coalesce(1)).unionByName(background).withColumn("label", index.cast("double"))
     features = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    # A small table: one partition, so that the fit does not depend on how it was cut.
-    data = features.transform(rows).select("label", "features").coalesce(1).cache()
-    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(data)
+    data = features.transform(rows).select("label", "weight", "features").cache()
+    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False, weightCol="weight").fit(data)
     data.unpersist()
-    held_out = model.transform(features.transform(_sample(docs, 1))).select(_best("probability").alias("best"))
+    held_out = model.transform(features.transform(_background(found, 1))).select(_best("probability").alias("best"))
     highest = held_out.agg(F.max("best.p")).first()[0]
     return model, classes, max(LEAST_THRESHOLD, float(highest or 0.0))
 
@@ -280,8 +283,11 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     by one. Without any background paragraph (an empty table) the result is empty or rests on the templates
     alone.
     """
-    model, classes, threshold = fit(docs)
-    found = candidates(docs).withColumn("grams", F.concat("words", _pairs(F.col("words"))))
+    # Found once, then read to fit, to calibrate and to score.
+    path = scratch_path(docs.sparkSession, "licences")
+    candidates(docs).withColumn("grams", F.concat("words", _pairs(F.col("words")))).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    model, classes, threshold = fit(found)
     features = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
     scored = model.transform(features.transform(found)).withColumn("best", _best("probability"))
     scored = scored.select(

@@ -352,6 +352,17 @@ def test_licences_without_anchor_and_wrapped(spark):
         assert mine and mine[0] == expected and {f for _, f in mine} == {expected[1]}, (i, mine, [r for r in rows if r["doc_id"] == 20_000 + i])
 
 
+def test_licences_are_fitted_on_all_candidates(spark, monkeypatch):
+    rows = [(i, f"The licence of boat {i} was under the bridge {i * 7}.\nNothing more.") for i in range(6000)]
+    used, fit = [], licence_scan.LogisticRegression.fit
+    monkeypatch.setattr(licence_scan.LogisticRegression, "fit", lambda self, data: (used.append(data.count()), fit(self, data))[1])
+    df = spark.createDataFrame(rows + [(9000, "Released under the MIT License.")], "doc_id bigint, text string")
+    got = licence_scan.scan_licences(df)
+    assert got.where("family <> 'unknown'").select("doc_id", "family").collect() == [(9000, "mit")]
+    # One half of the documents; the other half is for the threshold.
+    assert used[0] > 2800 and got.count() == 6001
+
+
 # --- Quality
 
 
