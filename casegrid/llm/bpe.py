@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks
+from casegrid.llm.memo import kept
 from casegrid.llm.pieces import split
 
 END = 256  # the input symbol after the last byte of a piece
@@ -34,8 +35,8 @@ START = ((0, -1, ()),)
 # Fewer pieces than this are walked one by one.
 FEW = 16
 
-# The largest pieces of text and id lists handled at once.
-RUN_BYTES = 1 << 20
+# The largest pieces of text and id lists handled at once: arrays of some 100 bytes for each byte of text.
+RUN_BYTES = 1 << 18
 DECODE_IDS = 1 << 16
 
 
@@ -52,7 +53,7 @@ class Merges:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self._kept: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._spines: tuple[dict, dict] = ({}, {})
 
@@ -109,9 +110,10 @@ class Merges:
 
     def fit(self, left: int, right: int) -> bool:
         """Do two tokens encode, together, to these two?"""
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            known = self._pairs[left, right] = self._fit(self.tokens[left], self.tokens[right])
+            known = self._pairs[pair] = self._fit(self.tokens[left], self.tokens[right])
         return known
 
     def _fit(self, left: bytes, right: bytes) -> bool:
@@ -193,6 +195,24 @@ class Steps:
             keys, steps, slots = keys[~placed], steps[~placed], (slots[~placed] + 1) & (len(self._keys) - 1)
 
 
+def _packed_state(key: tuple) -> bytes:
+    """A state's configurations as 32-bit integers: a worker keeps very many of them."""
+    flat = array("i")
+    for node, last, held in key:
+        flat.extend((node, last, len(held)))
+        flat.extend(held)
+    return flat.tobytes()
+
+
+def _unpacked_state(data: bytes) -> tuple:
+    flat, at, key = memoryview(data).cast("i").tolist(), 0, []
+    while at < len(flat):
+        end = at + 3 + flat[at + 2]
+        key.append((flat[at], flat[at + 1], tuple(flat[at + 3 : end])))
+        at = end
+    return tuple(key)
+
+
 class Transducer:
     """Lazily determinised; ``run`` encodes many pieces at once."""
 
@@ -215,16 +235,17 @@ class Transducer:
         return len(self._trie) - 1
 
     def _clear(self) -> None:
-        # A configuration: (trie node, last token or -1, tokens not yet emitted).
-        self._states: dict[tuple, int] = {}
-        self._keys: list[tuple] = []
+        # A configuration: (trie node, last token or -1, tokens not yet emitted); a state has several, packed.
+        self._states: dict[bytes, int] = {}
+        self._keys: list[bytes] = []
         self._steps = Steps()
         self._next = np.zeros(1024, np.int32)
+        # Tokens of the transitions learnt since the arrays of all others were made.
         self._out: list[tuple[int, ...]] = []
-        self._out_arrays = None
-        self._intern(START)
+        self._out_arrays = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self._intern(_packed_state(START))
 
-    def _intern(self, key: tuple) -> int:
+    def _intern(self, key: bytes) -> int:
         number = self._states.get(key)
         if number is None:
             number = self._states[key] = len(self._keys)
@@ -267,9 +288,9 @@ class Transducer:
         return tuple([(node, last, held[agreed:]) for node, last, held in grown]), first[:agreed]
 
     def _learn(self, state: int, symbol: int) -> int:
-        key, out = self._advance(self._keys[state], symbol)
-        number = self._intern(key)
-        step = len(self._out)
+        key, out = self._advance(_unpacked_state(self._keys[state]), symbol)
+        number = self._intern(_packed_state(key))
+        step = len(self._out_arrays[1]) + len(self._out)
         if step == len(self._next):
             self._next = np.concatenate([self._next, np.zeros_like(self._next)])
         self._next[step] = number
@@ -279,13 +300,12 @@ class Transducer:
 
     def _outputs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all transitions, with where each transition's begin and how many they are."""
-        if self._out_arrays is None or len(self._out_arrays[1]) != len(self._out):
-            done = 0 if self._out_arrays is None else len(self._out_arrays[1])
-            sizes = np.fromiter(map(len, self._out[done:]), np.int32, len(self._out) - done)
-            flat = np.fromiter((t for out in self._out[done:] for t in out), np.uint32, int(sizes.sum()))
-            if done:
-                flat, sizes = np.concatenate([self._out_arrays[0], flat]), np.concatenate([self._out_arrays[1], sizes])
+        if self._out:
+            sizes = np.fromiter(map(len, self._out), np.int32, len(self._out))
+            flat = np.fromiter((t for out in self._out for t in out), np.uint32, int(sizes.sum()))
+            flat, sizes = np.concatenate([self._out_arrays[0], flat]), np.concatenate([self._out_arrays[1], sizes])
             self._out_arrays = (flat, sizes, np.cumsum(sizes, dtype=np.int64) - sizes)
+            self._out = []
         return self._out_arrays
 
     def _walk(self, state: int, data: np.ndarray, steps: np.ndarray, place: int) -> None:
@@ -305,7 +325,7 @@ class Transducer:
         keys = [self._keys[s] for s in states]
         self._states, self._keys = {}, []
         self._steps = Steps()
-        self._intern(START)
+        self._intern(_packed_state(START))
         return [self._intern(key) for key in keys]
 
     def run(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +371,7 @@ class Transducer:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
-@lru_cache(maxsize=2)
+@kept
 def transducer(path: str) -> Transducer:
     """One machine for a worker process: what it has learnt serves the next task."""
     return Transducer(load_ranks(path))
@@ -432,7 +452,7 @@ class StreamDecoder:
         return data[:cut].decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@kept
 def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all tokens and their offsets by id; ids that the file leaves out are empty."""
     tokens = {i: t for t, i in load_ranks(path).items()}
@@ -458,7 +478,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, keep: Iterable[str] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(ranks_path)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", RUN_BYTES):
                 ids, counts = encode(Texts(part.column("text")), machine)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [packed(ids, counts)], [*keep, "ids"])
 
@@ -489,7 +509,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
         machine, vocab = transducer(ranks_path), vocabulary(ranks_path)
         decimals = np.array([str(i) for i in range(len(vocab[1]) - 1)], dtype=object)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", RUN_BYTES):
                 texts = Texts(part.column("text"))
                 ids, counts = encode(texts, machine)
                 ends = np.cumsum(counts)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import RollingHash, Texts, chunks, mix, repeated, windows
+from casegrid.llm.memo import forget
 
 # Bounds of the sample, in rows.
 LABELLED_ROWS = 5_000
@@ -251,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     free = rows.where("doc_id is not null").where(_picked("doc_id", min(1.0, UNLABELLED_ROWS / max(1, docs.count())), "unlabelled")).withColumn("_y", F.lit(None).cast("double"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = Texts(part.column("text"))
@@ -310,6 +312,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_verdict(model, part)], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -333,6 +336,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     wide = docs.select("*", *(F.col(c).cast("bigint" if c == "n_chars" else "string").alias(f"_{c}_") for c in COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in chunks(batch, len(names)):
                 inputs = pa.RecordBatch.from_arrays([part.column(len(names) + i) for i in range(len(COLUMNS))], list(COLUMNS))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
+from casegrid.llm.memo import forget
 from casegrid.llm.near_groups import group_pairs, labelled, settled, written
 from casegrid.llm.shingles import Sets
 from casegrid.session import scratch_path
@@ -68,6 +69,7 @@ def _stats(docs: DataFrame, path: str) -> DataFrame:
     """One pass: a row per document (size and name of its set), and rows for shingles that repeat in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen, held, count = np.zeros(0, np.int64), [], 0
 
         def tally():
@@ -145,6 +147,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, x: int) -> DataFrame:
                 yield int((mix(np.add.reduce(spread[list(chosen)], dtype=np.uint64).reshape(1) ^ np.uint64(c)) >> np.uint64(1))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ranked, ordered, ranks = shared.value
         known = np.zeros(1 << 22, bool)
         known[ordered & ((1 << 22) - 1)] = True

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 
 SLOTS = 1 << 21
 
+_KEPT: list[Callable] = []
+
+
+def kept(make: Callable) -> Callable:
+    """``make`` with its last results kept for the next task of the worker, until ``forget``."""
+    _KEPT.append(lru_cache(maxsize=2)(make))
+    return _KEPT[-1]
+
+
+def forget() -> None:
+    """Drop what other operators have kept: Spark reuses workers, and an executor's memory is for the one at work."""
+    for make in _KEPT:
+        make.cache_clear()
+
 
 class Memo:
     """Arrays of integers by key: entry ``e`` is ``values[begin[e]:begin[e] + count[e]]``.

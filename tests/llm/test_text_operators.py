@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from casegrid.llm import bpe, huffman, repetition
+from casegrid.llm import bpe, huffman, memo, repetition
 from casegrid.llm.bytetext import Texts
 from casegrid.llm.library_bpe import PieceEncoder
 from casegrid.llm.pieces import split
@@ -104,6 +105,22 @@ def test_transducer_encodes_like_the_library(reference_encoding, max_states):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def deep_size(value):
+    return sys.getsizeof(value) + (sum(map(deep_size, value)) if isinstance(value, (tuple, list)) else 0)
+
+
+def test_what_a_machine_has_learnt_is_small_and_goes_with_the_operator():
+    rng = random.Random(5)
+    memo.forget()
+    machine = bpe.transducer(RANKS)
+    bpe.encode(texts_of(["".join(rng.choice(LETTERS) for _ in range(400)) for _ in range(20)]), machine)
+    assert len(machine._keys) > 1000
+    assert sum(map(deep_size, machine._keys)) < 120 * len(machine._keys)
+    assert bpe.transducer(RANKS) is machine
+    memo.forget()
+    assert bpe.transducer.cache_info().currsize == 0
+
+
 def test_pairs_that_fit_are_those_that_merges_keep():
     merges = bpe.Merges(bpe.load_ranks(RANKS))
     rng, tokens = random.Random(3), list(merges.ranks)
