@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from casegrid.llm.bytetext import LOWER, RollingHash, Texts, chunks, mix, windows
+from casegrid.llm.bytetext import LOWER, RollingHash, Texts, chunks, mix
 from casegrid.session import scratch_path
 
 LONGEST = 4
@@ -50,7 +50,8 @@ _STOP[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BLANK[[0x20, 0x09]] = True
 
 _LOOK = {"kind": "int", "shard": "int", "lang": "string", "text": "string", "block": "int", "counts": "binary", "n": "bigint"}
-_SEEN = {"size": "int", "lang": "string", "hash": "bigint", "prefix": "bigint", "suffix": "bigint", "word": "string", "n": "bigint"}
+# A phrase is told by the hashes of its prefix and suffix, its own follows from them: it is not shuffled.
+_SEEN = {"size": "int", "lang": "string", "prefix": "bigint", "suffix": "bigint", "word": "string", "n": "bigint"}
 _STATE = {**_SEEN, "start": "int", "reached": "int", "done": "boolean"}
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -96,6 +97,26 @@ class Words:
             self.hashes = mix(RollingHash(self.data).spans(self.starts, self.ends) ^ np.array(seeds, np.uint64)[self.langs])
 
 
+def _joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their parts without the last and without the first word: as ``HASH`` in SQL."""
+    x = prefix ^ ((suffix << np.uint64(1)) | (suffix >> np.uint64(63)))
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x << np.uint64(31)) | (x >> np.uint64(33))
+    x *= np.uint64(0x9E3779B185EBCA87)
+    x ^= np.uint64((42 + 0x27D4EB2F165667C5 + 8) & 0xFFFFFFFFFFFFFFFF)
+    x = (x << np.uint64(27)) | (x >> np.uint64(37))
+    x = x * np.uint64(0x9E3779B185EBCA87) + np.uint64(0x85EBCA77C2B2AE63)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    return x ^ (x >> np.uint64(32))
+
+
+# Spark's xxhash64 of one bigint; a word is its own prefix and suffix.
+HASH = "if(size = 1, prefix, xxhash64(prefix ^ (shiftleft(suffix, 1) | shiftrightunsigned(suffix, 63))))"
+
+
 def _bucket(hashes: np.ndarray, size: int, buckets: int) -> np.ndarray:
     """Buckets of words and of pairs differ."""
     return ((hashes >> np.uint64(20 + size)) & np.uint64(buckets - 1)).astype(np.int64)
@@ -122,7 +143,8 @@ def _deal(docs: DataFrame, shards: int, n_buckets: int, path: str) -> DataFrame:
                 for i, k in enumerate(np.bincount(words.langs, minlength=len(words.names)).tolist()):
                     total[words.names[i]] = total.get(words.names[i], 0) + k
                 buckets = np.zeros(n_buckets, np.uint8) if buckets is None else buckets
-                pairs, _ = windows(words.hashes, words.pieces, 2)
+                begins = np.flatnonzero(words.pieces[:-1] == words.pieces[1:])
+                pairs = _joined(words.hashes[begins], words.hashes[begins + 1])
                 place, times = np.unique(np.concatenate([_bucket(words.hashes, 1, n_buckets), _bucket(pairs, 2, n_buckets)]), return_counts=True)
                 buckets[place] = np.minimum(buckets[place] + times, 255)
         if buckets is not None:
@@ -213,7 +235,7 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, n_buckets: int
                 if size == 1:
                     words = [w for p in parts for w in p[5]]
                     spelt["word"] = pa.array([words[i] for i in first.tolist()], pa.string())
-                yield _batch(_SEEN, size=np.full(len(keys), size, np.int32), lang=names.take(pa.array(lang[first])), hash=keys.view(np.int64),
+                yield _batch(_SEEN, size=np.full(len(keys), size, np.int32), lang=names.take(pa.array(lang[first])),
                              prefix=prefix[first].view(np.int64), suffix=suffix[first].view(np.int64), n=total, **spelt)
 
         for batch in batches:
@@ -234,10 +256,10 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, n_buckets: int
                 for size in range(2, longest + 1):
                     if len(shorter) < 2:
                         break
-                    hashes, at = windows(words.hashes, words.pieces, size)
-                    # Where the shorter phrases at this word and the next begin.
-                    left = np.searchsorted(begins, at)
+                    # Where the shorter phrases at a word and the next begin.
+                    left = np.flatnonzero((begins[1:] == begins[:-1] + 1) & (words.pieces[begins[:-1]] == words.pieces[begins[1:]]))
                     right = left + 1
+                    hashes, at = _joined(shorter[left], shorter[right]), begins[left]
                     a, b = flag[left], flag[right]
                     use = (a & b & 1) & ((a | b) >> 1) == 1
                     some = np.flatnonzero(use)
@@ -281,7 +303,7 @@ def count_phrases(docs: DataFrame, path: str, longest: int = LONGEST, threshold:
     step = 0
     while True:
         finished, active = state(step)
-        known = finished.unionByName(active).where((F.col("size") < longest) & F.col("reached").isNotNull()).select("hash", "reached")
+        known = finished.unionByName(active).where((F.col("size") < longest) & F.col("reached").isNotNull()).select(F.expr(HASH).alias("hash"), "reached")
         # Anything to scan for: phrases in their cycle, or some that may start longer ones.
         if step and active.isEmpty() and known.where(F.col("reached") > step - 1 - shards).isEmpty():
             break
@@ -308,7 +330,7 @@ def count_phrases(docs: DataFrame, path: str, longest: int = LONGEST, threshold:
         step += 1
     possible.destroy()
     langs = dealt.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("total"))
-    return finished.select(*_SEEN), langs
+    return finished.select(*_SEEN, F.expr(HASH).alias("hash")), langs
 
 
 def _spelt(phrases: DataFrame, path: str, longest: int) -> list[DataFrame]:

@@ -294,6 +294,15 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_a_phrase_is_told_by_its_parts_and_hashed_alike_in_sql(spark):
+    assert "hash" not in collocations._SEEN  # what every occurrence takes through the shuffles
+    values = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 64, (2, 200), dtype=np.uint64)
+    rows = spark.createDataFrame([(2, *map(int, pair)) for pair in values.view(np.int64).T], "size int, prefix bigint, suffix bigint")
+    got = [r["h"] for r in rows.selectExpr(f"{collocations.HASH} as h").collect()]
+    assert got == collocations._joined(*values).view(np.int64).tolist()
+    assert rows.selectExpr("1 as size", "prefix", "suffix").where(f"{collocations.HASH} <> prefix").count() == 0
+
+
 def test_phrases_are_counted_for_one_cycle(spark):
     """Counts are exact although longer phrases start in the middle of a cycle, and no step scans more than a shard."""
     rows = [("en", "one two three four")] * 40 + [("en", "late pair")] * 2
