@@ -85,6 +85,8 @@ TEMPLATES = {
 ANCHORS = ("licens", "licenc", "rights reserved", "copyright", "permission", "redistribut", "warrant", "public domain")
 
 FEATURES = 1 << 13
+# Rows that a task of the fit reads at least: each sends a gradient of all features and classes in every round.
+ROWS_A_TASK = 50_000
 # Weight of all background candidates together, times that of the templates' rows: however many they are,
 # the families stay as likely.
 BACKGROUND_WEIGHT = 4
@@ -134,14 +136,16 @@ def _strings(values: list[str]) -> Column:
 
 def _hits(words: Column) -> Column:
     """The distinct 2-grams that some template has."""
-    return F.array_intersect(_pairs(words), _strings(sorted({p for _, _, pairs in TEMPLATE_PAIRS for p in pairs})))
+    # Looked up in one constant set; array_intersect would build a set of all of them for every line.
+    known = sorted({p for _, _, pairs in TEMPLATE_PAIRS for p in pairs})
+    return F.array_distinct(F.filter(_pairs(words), lambda p: p.isin(known)))
 
 
 def _shares(hits: Column) -> Column:
     """Every template's ``share`` of 2-grams in ``hits``, its ``k`` (negative number), ``family`` and ``pairs``."""
     templates = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(k).alias("k"), _strings(p).alias("pairs")) for f, k, p in TEMPLATE_PAIRS))
     return _let(hits, lambda h: F.transform(templates, lambda t: F.struct(
-        (F.size(F.array_intersect(h, t["pairs"])) / F.size(t["pairs"])).alias("share"), (-t["k"]).alias("k"), t["family"].alias("family"),
+        (F.size(F.array_intersect(t["pairs"], h)) / F.size(t["pairs"])).alias("share"), (-t["k"]).alias("k"), t["family"].alias("family"),
         t["pairs"].alias("pairs"),
     )))
 
@@ -225,9 +229,14 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _background(found: DataFrame, fold: int) -> DataFrame:
-    """``grams`` of the candidates that are no part of a notice, of that half of the documents."""
+    """``features`` of the candidates that are no part of a notice, of that half of the documents."""
     part = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(2))
-    return found.where((part == fold) & (F.col("closest") < BACKGROUND_SIMILARITY)).select("grams")
+    return found.where((part == fold) & (F.col("closest") < BACKGROUND_SIMILARITY)).select("features")
+
+
+def _with_features(df: DataFrame) -> DataFrame:
+    """Adds ``features`` of ``grams``."""
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df)
 
 
 def fit(found: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
@@ -253,15 +262,16 @@ def fit(found: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
     # Single words of licences in another order are not a licence.
     loose = whole.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("grams"), F.lit(1.0).alias("weight"))
     fitted = _background(found, 0)
-    share = min(1.0, BACKGROUND_WEIGHT * variants.count() / max(1, fitted.count()))
+    n = fitted.count()
+    share = min(1.0, BACKGROUND_WEIGHT * variants.count() / max(1, n))
     # Equal candidates are one row, which weighs as much as all of them.
-    background = fitted.groupBy("grams").agg((F.count("*") * share).alias("weight")).select(F.lit(UNKNOWN).alias("family"), "grams", "weight")
-    rows = variants.coalesce(1).unionByName(loose.coalesce(1)).unionByName(background).withColumn("label", index.cast("double"))
-    features = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    data = features.transform(rows).select("label", "weight", "features").cache()
+    background = fitted.groupBy("features").agg((F.count("*") * share).alias("weight")).select(F.lit(UNKNOWN).alias("family"), "features", "weight")
+    rows = _with_features(variants.unionByName(loose)).drop("grams").unionByName(background).withColumn("label", index.cast("double"))
+    tasks = max(spark.sparkContext.defaultParallelism, n // ROWS_A_TASK)
+    data = rows.select("label", "weight", "features").coalesce(tasks).cache()
     model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False, weightCol="weight").fit(data)
     data.unpersist()
-    held_out = model.transform(features.transform(_background(found, 1))).select(_best("probability").alias("best"))
+    held_out = model.transform(_background(found, 1)).select(_best("probability").alias("best"))
     highest = held_out.agg(F.max("best.p")).first()[0]
     return model, classes, max(LEAST_THRESHOLD, float(highest or 0.0))
 
@@ -285,11 +295,11 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """
     # Found once, then read to fit, to calibrate and to score.
     path = scratch_path(docs.sparkSession, "licences")
-    candidates(docs).withColumn("grams", F.concat("words", _pairs(F.col("words")))).write.option("compression", "zstd").parquet(path)
+    grams = candidates(docs).withColumn("grams", F.concat("words", _pairs(F.col("words"))))
+    _with_features(grams).select("doc_id", "no", "hits", "closest", "features").write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
     model, classes, threshold = fit(found)
-    features = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    scored = model.transform(features.transform(found)).withColumn("best", _best("probability"))
+    scored = model.transform(found).withColumn("best", _best("probability"))
     scored = scored.select(
         "doc_id", F.col("no").cast("bigint").alias("paragraph_no"), "hits",
         F.col("best.p").alias("p"), F.element_at(F.array(*map(F.lit, classes)), F.col("best.k") + 1).alias("guess"),

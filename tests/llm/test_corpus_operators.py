@@ -363,6 +363,13 @@ def test_licences_are_fitted_on_all_candidates(spark, monkeypatch):
     assert used[0] > 2800 and got.count() == 6001
 
 
+def test_pairs_of_templates_are_looked_up_not_intersected(spark):
+    words = spark.createDataFrame([("under the mit license under the".split(),), ([],)], "words array<string>")
+    hits = words.select(licence_scan._hits(F.col("words")).alias("hits"))
+    assert [sorted(r["hits"]) for r in hits.collect()] == [["mit license", "the mit", "under the"], []]
+    assert "array_intersect" not in hits._jdf.queryExecution().toString()
+
+
 # --- Quality
 
 
