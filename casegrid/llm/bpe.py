@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks
-from casegrid.llm.memo import kept
+from casegrid.llm.memo import kept, lean, release
 from casegrid.llm.pieces import split
 
 END = 256  # the input symbol after the last byte of a piece
 # Rows of the transition table; a machine that has more states starts anew with those in use.
 MAX_STATES = 250_000
+# Pairs of tokens whose answer is remembered; beyond, all are asked anew.
+MAX_PAIRS = 1 << 16
 
 # Before a piece: at the root of the trie, no last token, nothing held.
 START = ((0, -1, ()),)
@@ -113,6 +117,8 @@ class Merges:
         pair = left << 32 | right
         known = self._pairs.get(pair)
         if known is None:
+            if len(self._pairs) >= MAX_PAIRS:
+                self._pairs.clear()
             known = self._pairs[pair] = self._fit(self.tokens[left], self.tokens[right])
         return known
 
@@ -219,21 +225,15 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.merges = Merges(ranks)
         self.max_states = max_states
-        self._trie: list[dict[int, int]] = [{}]
-        self._token: list[int] = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                node = self._trie[node].setdefault(byte, len(self._trie)) if byte in self._trie[node] else self._grow(node, byte)
-            self._token[node] = rank
+        # The trie in flat arrays: nodes by depth, then bytes, so that the children of node i are the nodes
+        # children[i]..children[i + 1], and labels has the last byte of each node.
+        nodes = sorted({token[:k] for token in ranks for k in range(len(token) + 1)}, key=lambda x: (len(x), x))
+        self._labels = bytes(x[-1] if x else 0 for x in nodes)
+        self._token = array("i", (ranks.get(x, -1) for x in nodes))
+        below = Counter(x[:-1] for x in nodes if x)
+        self._children = array("i", itertools.accumulate((below[x] for x in nodes), initial=1))
         self._clear()
 
-    def _grow(self, node: int, byte: int) -> int:
-        self._trie[node][byte] = len(self._trie)
-        self._trie.append({})
-        self._token.append(-1)
-        return len(self._trie) - 1
-
     def _clear(self) -> None:
         # A configuration: (trie node, last token or -1, tokens not yet emitted); a state has several, packed.
         self._states: dict[bytes, int] = {}
@@ -264,15 +264,15 @@ class Transducer:
             raise ValueError("the ranks do not cover all bytes")
         # Oldest place first, so that equal sets are equal tuples.
         grown, new = [], None
-        merges = self.merges
+        merges, labels, children = self.merges, self._labels, self._children
         for node, last, held in key:
-            child = self._trie[node].get(symbol)
-            if child is None:
+            child = labels.find(symbol, children[node], children[node + 1])
+            if child < 0:
                 continue
             token = self._token[child]
             if token >= 0 and merges.keeps(token) and (last < 0 or merges.fit(last, token)):
                 new = (0, token, held + (token,))
-            if self._trie[child] or (last < 0 and token >= 0):
+            if children[child] < children[child + 1] or (last < 0 and token >= 0):
                 grown.append((child, last, held))
         if new:
             grown.append(new)
@@ -481,11 +481,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, keep: Iterable[str] = ("d
             for part in chunks(batch, "text", RUN_BYTES):
                 ids, counts = encode(Texts(part.column("text")), machine)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [packed(ids, counts)], [*keep, "ids"])
+            release()
 
     selected = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = [f for f in selected.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return selected.mapInArrow(run, f"{schema}, ids binary")
+    return selected.mapInArrow(lean(run, keep=True), f"{schema}, ids binary")
 
 
 def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -534,5 +535,6 @@ def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
                     [part.column("doc_id"), *(pa.array(c) for c in columns)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"],
                 )
+            release()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run, keep=True), DIGEST)

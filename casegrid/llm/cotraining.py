@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import RollingHash, Texts, chunks, mix, repeated, windows
-from casegrid.llm.memo import forget
+from casegrid.llm.memo import lean
 
 # Bounds of the sample, in rows.
 LABELLED_ROWS = 5_000
@@ -252,7 +252,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     free = rows.where("doc_id is not null").where(_picked("doc_id", min(1.0, UNLABELLED_ROWS / max(1, docs.count())), "unlabelled")).withColumn("_y", F.lit(None).cast("double"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = Texts(part.column("text"))
@@ -267,8 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
 
     # The sample, of bounded size, meets in one task, and only weights come to the driver.
-    found = with_y.unionByName(free).mapInArrow(features, "doc_id bigint, y double, text binary, metadata binary")
-    models = found.repartition(1).mapInArrow(train, "model binary").collect()
+    found = with_y.unionByName(free).mapInArrow(lean(features), "doc_id bigint, y double, text binary, metadata binary")
+    models = found.repartition(1).mapInArrow(lean(train), "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else None
 
 
@@ -312,12 +311,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             for part in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_verdict(model, part)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return _columns(docs).mapInArrow(run, SCHEMA)
+    return _columns(docs).mapInArrow(lean(run), SCHEMA)
 
 
 def _verdict(model: Model | None, batch: pa.RecordBatch) -> list[pa.Array]:
@@ -336,11 +334,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     wide = docs.select("*", *(F.col(c).cast("bigint" if c == "n_chars" else "string").alias(f"_{c}_") for c in COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             for part in chunks(batch, len(names)):
                 inputs = pa.RecordBatch.from_arrays([part.column(len(names) + i) for i in range(len(COLUMNS))], list(COLUMNS))
                 kept = _verdict(model, inputs)[-1]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))], names).filter(kept)
 
-    return wide.mapInArrow(run, docs.schema)
+    return wide.mapInArrow(lean(run), docs.schema)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import LOWER, RollingHash, Texts, chunks, mix, windows
+from casegrid.llm.memo import lean
 from casegrid.llm.shingles import SHINGLE
 
 BLOCKS = 8  # of 8 bits
@@ -180,7 +181,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             [c.split()[0] for c in SCHEMA.split(", ")],
                         )
 
-        found = texts.mapInArrow(run, SCHEMA)
+        found = texts.mapInArrow(lean(run), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
-from casegrid.llm.memo import forget
+from casegrid.llm.memo import lean
 from casegrid.llm.near_groups import group_pairs, labelled, settled, written
 from casegrid.llm.shingles import Sets
 from casegrid.session import scratch_path
@@ -69,7 +69,6 @@ def _stats(docs: DataFrame, path: str) -> DataFrame:
     """One pass: a row per document (size and name of its set), and rows for shingles that repeat in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         seen, held, count = np.zeros(0, np.int64), [], 0
 
         def tally():
@@ -95,7 +94,7 @@ def _stats(docs: DataFrame, path: str) -> DataFrame:
         if held:
             yield tally()
 
-    _texts(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in _STATS.items())).write.partitionBy("kind").parquet(path)
+    _texts(docs).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in _STATS.items())).write.partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(", ".join(f"{c} {t}" for c, t in _STATS.items())).parquet(path)
 
 
@@ -147,7 +146,6 @@ def _postings(docs: DataFrame, frequent: np.ndarray, x: int) -> DataFrame:
                 yield int((mix(np.add.reduce(spread[list(chosen)], dtype=np.uint64).reshape(1) ^ np.uint64(c)) >> np.uint64(1))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         ranked, ordered, ranks = shared.value
         known = np.zeros(1 << 22, bool)
         known[ordered & ((1 << 22) - 1)] = True
@@ -193,7 +191,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, x: int) -> DataFrame:
                         pos=np.zeros(len(keys), np.int32), leads=np.ones(len(keys), bool), light=np.ones(len(keys), bool),
                     )
 
-    return _texts(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in _POSTINGS.items()))
+    return _texts(docs).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in _POSTINGS.items()))
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
@@ -220,7 +218,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
                 yield _batch(schema, sid=sets.names(), n=sets.sizes, members=cells[0], histogram=cells[1],
                              **{c: words[:, i] for i, c in enumerate(_PARITIES)})
 
-    rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in schema.items())).write.parquet(path)
+    rows.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in schema.items())).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -244,7 +242,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
                     keep.append(9 * common >= 4 * (n + m) or not exact and max(n, m) >= 65535)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks
+from casegrid.llm.memo import lean
 from casegrid.operators.components import connected_components
 
 # Sets of a list that is compared pair by pair; beyond, its sets meet on their differences.
@@ -87,7 +88,7 @@ def _differences(grouped: DataFrame, consensus: DataFrame) -> DataFrame:
                 )
 
     rows = grouped.join(consensus, "group", "left").select("group", "sid", "members", "consensus")
-    return rows.mapInArrow(run, "`group` bigint, element bigint, sid bigint, d bigint")
+    return rows.mapInArrow(lean(run), "`group` bigint, element bigint, sid bigint, d bigint")
 
 
 def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
@@ -115,7 +116,7 @@ def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("group").take(take), pa.array(element)], ["group", "element"])
 
     sizes = sets.groupBy("group").agg(F.count("*").alias("of"))
-    common = grouped.select("group", "members").mapInArrow(elements, "`group` bigint, element bigint").groupBy("group", "element").count()
+    common = grouped.select("group", "members").mapInArrow(lean(elements), "`group` bigint, element bigint").groupBy("group", "element").count()
     # At most twice the mean size of the group's sets.
     consensus = common.join(sizes, "group").where("2 * count > of").groupBy("group").agg(F.collect_list("element").alias("consensus"))
     apart = written(_differences(grouped, consensus), path + "-apart").join(sets, ["sid", "group"]).withColumn("rest", F.expr("9 * d - n"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -121,6 +122,36 @@ def test_what_a_machine_has_learnt_is_small_and_goes_with_the_operator():
     assert bpe.transducer.cache_info().currsize == 0
 
 
+def test_a_machine_remembers_a_bounded_number_of_pairs(monkeypatch, reference_encoding):
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 50, raising=False)
+    rng, machine = random.Random(6), bpe.Transducer(bpe.load_ranks(RANKS))
+    texts = ["".join(rng.choice(LETTERS) for _ in range(200)) for _ in range(20)]
+    ids, _ = bpe.encode(texts_of(texts), machine)
+    assert ids.tolist() == [i for t in texts for i in reference_encoding.encode_ordinary(t)]
+    assert len(machine.merges._pairs) <= 50
+    # Some 90 000 nodes: a dictionary for each took over 20 MB.
+    assert sum(sys.getsizeof(x) for x in (machine._labels, machine._children, machine._token)) < 2_000_000
+
+
+def test_a_worker_gives_its_tables_back_when_no_task_follows(monkeypatch):
+    monkeypatch.setattr(memo, "IDLE_SECONDS", 1.0, raising=False)
+
+    def run(batches):
+        machines.append(bpe.transducer(RANKS))
+        yield from batches
+
+    machines = []
+    memo.forget()
+    for _ in range(2):
+        assert list(memo.lean(run, keep=True)(iter([1, 2]))) == [1, 2]
+    assert machines[0] is machines[1]
+    assert bpe.transducer.cache_info().currsize == 1
+    until = time.monotonic() + 20
+    while bpe.transducer.cache_info().currsize and time.monotonic() < until:
+        time.sleep(0.1)
+    assert bpe.transducer.cache_info().currsize == 0
+
+
 def test_pairs_that_fit_are_those_that_merges_keep():
     merges = bpe.Merges(bpe.load_ranks(RANKS))
     rng, tokens = random.Random(3), list(merges.ranks)
