@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
+from casegrid.llm.common import written
 from casegrid.llm.memo import lean
-from casegrid.llm.near_groups import group_pairs, labelled, settled, written
+from casegrid.llm.near_groups import group_pairs, labelled, settled
 from casegrid.llm.shingles import Sets
-from casegrid.session import scratch_path
+from casegrid.session import in_few_files, scratch_path
 
 # Most entries of the broadcast table of frequent shingles (16 bytes each).
 MAX_FREQUENT = 1 << 20
@@ -94,8 +95,7 @@ def _stats(docs: DataFrame, path: str) -> DataFrame:
         if held:
             yield tally()
 
-    _texts(docs).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in _STATS.items())).write.partitionBy("kind").parquet(path)
-    return docs.sparkSession.read.schema(", ".join(f"{c} {t}" for c, t in _STATS.items())).parquet(path)
+    return written(in_few_files(_texts(docs)).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in _STATS.items())), path)
 
 
 _STATS = {"kind": "int", "doc_id": "bigint", "sid": "bigint", "n": "bigint", "key": "bigint"}
@@ -218,8 +218,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
                 yield _batch(schema, sid=sets.names(), n=sets.sizes, members=cells[0], histogram=cells[1],
                              **{c: words[:, i] for i, c in enumerate(_PARITIES)})
 
-    rows.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in schema.items())).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(in_few_files(rows).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in schema.items())), path)
 
 
 def _passing(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:

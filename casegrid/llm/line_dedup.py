@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casegrid.llm.common import written
 from casegrid.session import scratch_path
 
 MIN_CHARS = 20
@@ -67,32 +68,26 @@ def _picked(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def _meeting(rows: DataFrame, path: str) -> DataFrame:
     """Rows ``h, key, ...`` whose key is also that of another line."""
     keys = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    keys.write.parquet(path)
-    return _picked(rows, rows.sparkSession.read.parquet(path), "key")
+    return _picked(rows, written(keys, path), "key")
 
 
 def _near(lines: DataFrame, path: str) -> DataFrame:
     """``h`` of the lines (each with its first place) that have an earlier line within one edit."""
-    spark = lines.sparkSession
     zero, one = F.lit(0), F.lit(1)
     line = F.col("line")
     rows = lines.select("*", F.inline(F.concat(_parts(line, zero, zero), _parts(line, one, zero))))
-    (
-        _meeting(rows, f"{path}/keys-0").groupBy("h", "key", "role")
-        .agg(F.min(_place()).alias("place"), F.any_value("middle").alias("middle"), F.any_value("line").alias("line"))
-        .write.parquet(f"{path}/rows-0")
+    met = _meeting(rows, f"{path}/keys-0").groupBy("h", "key", "role").agg(
+        F.min(_place()).alias("place"), F.any_value("middle").alias("middle"), F.any_value("line").alias("line")
     )
-    rows, level = spark.read.parquet(f"{path}/rows-0"), 0
+    rows, level = written(met, f"{path}/rows-0"), 0
     candidates = rows.groupBy("h").agg(F.min("place").alias("place"), F.any_value("line").alias("line"))
-    candidates.write.parquet(f"{path}/candidates")
-    candidates = spark.read.parquet(f"{path}/candidates")
+    candidates = written(candidates, f"{path}/candidates")
     rows = rows.select("h", "key", "role", "middle")
     m = F.length("middle") - F.col("role")
     while (rows.agg(F.max(m)).first()[0] or 0) > FINE:
         level += 1
         cut = rows.where(m > FINE).select("h", F.inline(_parts(F.col("middle"), F.col("role"), F.col("key"))))
-        _meeting(cut, f"{path}/keys-{level}").unionByName(rows.where(m <= FINE)).distinct().write.parquet(f"{path}/rows-{level}")
-        rows = spark.read.parquet(f"{path}/rows-{level}")
+        rows = written(_meeting(cut, f"{path}/keys-{level}").unionByName(rows.where(m <= FINE)).distinct(), f"{path}/rows-{level}")
     # The rests of what is left: with one character deleted, and of the shorter role whole.
     n = F.length("middle")
     rest = lambda i: F.xxhash64("key", F.concat(F.substr("middle", one, i - 1), F.substr("middle", i + 1, n)))
@@ -101,8 +96,7 @@ def _near(lines: DataFrame, path: str) -> DataFrame:
     none = F.array().cast("array<struct<at:int,rest:bigint>>")
     variants = rows.select("h", "role", F.inline(F.concat(F.coalesce(itself, none), F.coalesce(deleted, none))))
     met = _meeting(variants.withColumnRenamed("rest", "key"), f"{path}/rests").distinct().join(candidates.select("h", "place"), "h")
-    met.write.parquet(f"{path}/variants")
-    met = spark.read.parquet(f"{path}/variants")
+    met = written(met, f"{path}/variants")
     first = F.min(F.struct("place", "h")).alias("first")
     # A replacement: two of the shorter role with the same rest at the same place.
     replaced = met.where("role = 0 and at > 0")
@@ -129,14 +123,12 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool
     spark = docs.sparkSession
     path = scratch_path(spark, "lines")
     lines = _lines(docs, min_chars)
-    _near(lines, path).write.parquet(f"{path}/near")
-    near = spark.read.parquet(f"{path}/near").select("h", F.lit(True).alias("near"))
+    near = written(_near(lines, path), f"{path}/near").select("h", F.lit(True).alias("near"))
     repeated = (
         lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("k")).where("k > 1")
         .join(near, "h", "full_outer").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
-    repeated.write.parquet(f"{path}/repeated")
-    repeated = spark.read.parquet(f"{path}/repeated")
+    repeated = written(repeated, f"{path}/repeated")
     few = repeated.count() <= MAX_BROADCAST_KEYS // 4  # wider rows
     places = lines.select("doc_id", "row", "no", "h")
     drops = (
@@ -145,8 +137,7 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool
         .groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("no")).alias("drops"))
         .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "drops")
     )
-    drops.write.parquet(f"{path}/drops")
-    drops = spark.read.parquet(f"{path}/drops")
+    drops = written(drops, f"{path}/drops")
     found = docs.alias("d").join(
         drops.alias("x"),
         F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("x._id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("x._row")), "left",

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks, mix
-from casegrid.llm.near_groups import FITS, group_pairs, labelled, pair, settled, written
+from casegrid.llm.common import written
+from casegrid.llm.near_groups import FITS, group_pairs, labelled, pair, settled
 from casegrid.llm.shingles import Sets
 from casegrid.session import scratch_path
 

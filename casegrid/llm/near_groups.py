@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casegrid.llm.bytetext import Texts, chunks
+from casegrid.llm.common import written
 from casegrid.llm.memo import lean
 from casegrid.operators.components import connected_components
 
@@ -24,14 +25,6 @@ SHORT = 8
 # its sets have on average, and up to so many sets. Large texts that share a passage are in few lists
 # together, and their pairs are far fewer than the members that set them apart.
 MEMBERS_PER_ENTRY, MOST_PAIRED = 32, 64
-# Files for each core that a step writes at most: partitions of a shuffle may be many and small.
-FILES_PER_CORE = 8
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows, written and read again; for what a shuffle has dealt."""
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
 
 def pair(a: str, b: str) -> list:

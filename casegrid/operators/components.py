@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from casegrid.session import cut_lineage
 
-# Files of a round for each core, at most: links are narrow and shuffle partitions may be many.
-_PER_CORE = 8
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour.
@@ -59,12 +56,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Node ids are any orderable type. The number of rounds grows with the logarithm of the longest
     chain. Each round is written to the checkpoint folder; only a yes or no reaches the driver.
     """
-    links = cut_lineage(edges.select("src", "dst").distinct(), _PER_CORE)
+    links = cut_lineage(edges.select("src", "dst").distinct(), few=True)
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     links = links.where("src <> dst")
     settled = False
     while not settled:
-        links = cut_lineage(_small_star(_large_star(links)), _PER_CORE)
+        links = cut_lineage(_small_star(_large_star(links)), few=True)
         settled = _is_settled(links)
     labels = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

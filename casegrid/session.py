@@ -24,6 +24,9 @@ SETTINGS = {
 # expression costs more than building the expression.
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
+# Bounds of the files that a step of intermediate rows writes.
+FILES_PER_CORE, PARTITIONS_PER_FILE = 2, 8
+
 
 def build_session(app_name: str = "casegrid", **extra: str) -> SparkSession:
     """Session for ``spark-submit``: the master and the sizing come from the submit command."""
@@ -73,15 +76,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/casegrid-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, per_core: int | None = None):
+def in_few_files(df):
+    """The rows in as many partitions as a step's scratch files may be: two a core, or one for 8 shuffle partitions.
+
+    Partitions may be many and small, and every file has a price: on a local file system Hadoop starts
+    ``chmod`` for it and for its checksums, and until that runs, the new process counts with all of the JVM's memory.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, partitions // PARTITIONS_PER_FILE))
+
+
+def cut_lineage(df, few: bool = False):
     """Write the rows to the checkpoint folder and continue from there.
 
-    ``per_core`` bounds the files by so many for each core; leave it out where partitions have a meaning.
+    ``few`` bounds the files; leave it out where partitions have a meaning.
 
     Reliable storage, so a lost executor costs a re-read rather than a recomputation, and rows that
     depend on a sampled range partitioning are fixed once.
     """
     shared_folder(df.sparkSession)
-    if per_core:
-        df = df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
-    return df.checkpoint(eager=True)
+    return (in_few_files(df) if few else df).checkpoint(eager=True)

@@ -104,6 +104,31 @@ def test_jaccard_empty_table_and_first_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 4, 5]
 
 
+def test_intermediate_rows_are_in_few_files(spark, monkeypatch, tmp_path):
+    for module in (jaccard_join, line_dedup):
+        monkeypatch.setattr(module, "scratch_path", lambda _, name: str(tmp_path / name))
+    rows = corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(40)
+    # Lines of one text that meet within one edit, so that every step has rows.
+    lines = spark.createDataFrame([(i, f"a line that is there again {i // 2} {'x' * (i % 2)}\n" * 2) for i in range(80)], "doc_id int, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = [(r[0], r[2]) for r in jaccard_join.jaccard_components(docs).collect()]
+        line_dedup.deduplicate_lines(lines.repartition(40)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(found, key=repr) == sorted(((d, c) for d, _, c in components(rows)), key=repr)
+    steps = {p.parent for p in tmp_path.rglob("part-*")}
+    assert {"stats", "lists", "sets", "keys-0", "rows-0"} <= {p.name for p in steps}
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {p.name: n for p in steps if (n := len(list(p.glob("part-*")))) > most} == {}
+    assert not list(tmp_path.rglob("_SUCCESS"))
+
+
 def test_boundary_goes_by_cost():
     assert jaccard_join.boundary({n: 1000 for n in range(1, 30)}, 1000.0) > jaccard_join.boundary({n: 1000 for n in range(1, 30)}, 0.0)
     for n in range(1, 17):
