@@ -62,7 +62,8 @@ FITS = "4 * greatest(l.n, r.n) <= 5 * least(l.n, r.n)"
 
 
 def _differences(grouped: DataFrame, consensus: DataFrame) -> DataFrame:
-    """``group, element, sid, d`` for every element in which a set and the consensus of its group differ, ``d`` in number."""
+    """``group, sid, n, component, element, d`` for every element in which a set and the consensus of its group differ, ``d`` in number."""
+    own = ["group", "sid", "n", "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,12 +77,10 @@ def _differences(grouped: DataFrame, consensus: DataFrame) -> DataFrame:
                 place = np.repeat(np.arange(len(d)), np.maximum(d, 1))
                 element = pa.array([e for x in found for e in (x.tolist() or [None])], pa.int64())
                 take = pa.array(place)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("group").take(take), element, part.column("sid").take(take), pa.array(d[place])], ["group", "element", "sid", "d"]
-                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in own), element, pa.array(d[place])], [*own, "element", "d"])
 
-    rows = grouped.join(consensus, "group", "left").select("group", "sid", "members", "consensus")
-    return rows.mapInArrow(lean(run), "`group` bigint, element bigint, sid bigint, d bigint")
+    rows = grouped.join(consensus, "group", "left").select("group", "sid", F.col("n").cast("bigint").alias("n"), "component", "members", "consensus")
+    return rows.mapInArrow(lean(run), "`group` bigint, sid bigint, n bigint, component bigint, element bigint, d bigint")
 
 
 def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
@@ -98,7 +97,7 @@ def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
     found = connected_components(long.select(F.col("sid").alias("src"), F.col("leader").alias("dst")))
     sets = long.select("sid", "n", "component").distinct().join(found.select(F.col("node").alias("sid"), F.col("component").alias("group")), "sid")
     sets = written(sets, path + "-sets")
-    grouped = members.join(sets.select("sid", "group"), "sid")
+    grouped = members.join(sets, "sid")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +111,8 @@ def group_pairs(mixed: DataFrame, members: DataFrame, path: str) -> DataFrame:
     common = grouped.select("group", "members").mapInArrow(lean(elements), "`group` bigint, element bigint").groupBy("group", "element").count()
     # At most twice the mean size of the group's sets.
     consensus = common.join(sizes, "group").where("2 * count > of").groupBy("group").agg(F.collect_list("element").alias("consensus"))
-    apart = written(_differences(grouped, consensus), path + "-apart").join(sets, ["sid", "group"]).withColumn("rest", F.expr("9 * d - n"))
+    # A set's own values come with its rows: a join would make those again wherever they are read.
+    apart = written(_differences(grouped, consensus), path + "-apart").withColumn("rest", F.expr("9 * d - n"))
 
     least = apart.groupBy("group").agg(F.min_by(F.struct("sid", "rest", "component"), F.struct("rest", "sid")).alias("least"))
     star = (

@@ -97,6 +97,15 @@ def test_large_sets_with_a_passage_in_common_meet_pair_by_pair(spark, monkeypatc
     assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == components(rows)
 
 
+def test_differences_carry_the_values_of_their_sets(spark):
+    sets = [(1, 7, 3, 5, [10, 20, 30]), (2, 7, 2, 6, [10, 40]), (3, 7, 2, 6, [10, 20])]
+    rows = [(sid, group, n, component, b"".join(e.to_bytes(8, "little") for e in held)) for sid, group, n, component, held in sets]
+    grouped = spark.createDataFrame(rows, "sid bigint, `group` bigint, n int, component bigint, members binary")
+    consensus = spark.createDataFrame([(7, [10, 20])], "`group` bigint, consensus array<bigint>")
+    got = near_groups._differences(grouped, consensus).select("sid", "group", "n", "component", "element", "d").collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 7, 3, 5, 30, 1), (2, 7, 2, 6, 20, 2), (2, 7, 2, 6, 40, 2), (3, 7, 2, 6, None, 0)]
+
+
 def test_jaccard_empty_table_and_first_rows(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     rows = [(1, "a b c d e f"), (2, "A b  c d e f"), (3, "x"), (4, ""), (None, "a b c d e f"), (5, None)]
