@@ -112,9 +112,9 @@ def pages_to_bronze_run(spark, sf):
     rows = data.condition_bronze(spark, sf)
     entry = F.concat(F.lit('{"resource":'), F.col("resource_json"), F.lit("}"))
     pages = rows.groupBy(F.floor(F.col("resource_id").cast("bigint") / 100).alias("page")).agg(
-        F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value")
+        F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("bundle_json")
     )
-    pages.write.partitionBy("page").text(root)
+    fhir.write_bundle_pages(pages, root)
     pages_to_bronze(spark, layout, root, data.RUN_1, data.RUN_TIME)
     run = state.get_run_state(spark, layout.state, "bronze_latest_run")["run_ts"]
     cursor = state.get_cursors(spark, layout.state, ["pages_to_bronze:Condition"])["pages_to_bronze:Condition"]

@@ -306,9 +306,26 @@ def transaction_bundle(*entries: Column) -> Column:
 # --- searchset pages ------------------------------------------------------------------------------
 
 
+# Between pages of one file: the record separator of JSON text sequences (RFC 7464), which no JSON text
+# holds unescaped.
+PAGE_END = "\x1e"
+
+
 def read_bundle_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed searchset pages, one whole file per row. A page holds at most a few hundred resources."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "bundle_json")
+    """Landed searchset pages, one per row: a file is a page, or several with ``PAGE_END`` after each.
+
+    A page holds at most a few hundred resources; it may have line breaks.
+    """
+    return spark.read.text(path, lineSep=PAGE_END).withColumnRenamed("value", "bundle_json")
+
+
+def write_bundle_pages(pages: DataFrame, path: str) -> None:
+    """Land the column ``bundle_json``, many pages to a file.
+
+    A folder or file of its own for every page is created, listed and opened on its own, which takes
+    longer than its few kilobytes.
+    """
+    pages.select("bundle_json").write.text(path, compression="gzip", lineSep=PAGE_END)
 
 
 def explode_bundles(pages: DataFrame, column: str = "bundle_json") -> DataFrame:

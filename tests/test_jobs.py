@@ -221,6 +221,31 @@ def test_bundle_pages(spark, layout, tmp_path):
     assert json.loads(got[0]["resource_json"])["v"] == 1.5
 
 
+def test_many_bundle_pages_in_a_file(spark, layout, tmp_path):
+    text = lambda *ids: json.dumps({"resourceType": "Bundle", "entry": [{"resource": {"id": i, "note": "a\nb"}} for i in ids]}, indent=1)
+    pages = spark.createDataFrame([(text("a", "b"),), (text("c"),), (text(),)], "bundle_json string")
+    fhir.write_bundle_pages(pages.coalesce(1), str(tmp_path / "pages"))
+    (tmp_path / "pages" / "alone.json").write_text(text("d"))
+    assert len(fs.files(spark, str(tmp_path / "pages"))) == 2
+    got = fhir.explode_bundles(fhir.read_bundle_pages(spark, str(tmp_path / "pages"))).collect()
+    assert sorted((r["resource_id"], json.loads(r["resource_json"])["note"]) for r in got) == [(i, "a\nb") for i in "abcd"]
+
+
+def test_pages_are_landed_in_few_files(spark, layout, tmp_path, monkeypatch):
+    from casegrid.queries import QUERIES, medallion
+
+    roots = {}
+    monkeypatch.setattr(medallion, "scratch_path", lambda spark, name: roots.setdefault(name, str(tmp_path / name)))
+    orders = spark.range(3000).selectExpr(
+        "id * 7 as o_orderkey", "id as o_custkey", "'O' as o_orderstatus", "timestamp_ntz'1999-01-01' as o_orderdate",
+        "if(id % 2 = 0, '1-URGENT', '5-LOW') as o_orderpriority",
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["pages_to_bronze"](spark, str(tmp_path)).collect()
+    assert len(got) == len({r["resource_id"] for r in got}) == 3000 and all(r["at_cursor"] for r in got)
+    assert len(fs.files(spark, roots["page-files"])) <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # of 210 pages
+
+
 def test_latest_source_time(spark):
     df = spark.createDataFrame([(patient("a", "A", "2026-01-01T00:00:00-05:00")[2],), ("{}",)], "resource_json string")
     assert fhir.latest_source_time(df, None).first()[0] == dt.datetime(2026, 1, 1, 5)
